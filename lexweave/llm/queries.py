@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import lookalike, splitting
+from lexweave.llm import lookalike, mixing, packing, splitting, subjects
 from lexweave.session import read
 
 
@@ -31,5 +31,32 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("chunk_id", lookalike.consistent(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms)}
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of at most 2,048 tokens: which part of which document lies in which."""
+    return packing.pack(packing.sized(read(spark, d, "documents")))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_pack(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(*(read(spark, d, t) for t in ("documents", "subjects", "subject_labels")))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject and their share of all documents."""
+    n = read(spark, d, "documents").count()
+    return p8_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.count(F.lit(1)) / F.lit(max(n, 1)), 6).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_composition)}
 SQL: dict[str, str] = {}
