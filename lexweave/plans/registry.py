@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.plans import corpus
+from lexweave.plans import corpus, retrieval, texts
 
-QUERIES = {**corpus.QUERIES}
-SQL = {**corpus.SQL}
+QUERIES = {**corpus.QUERIES, **retrieval.QUERIES, **texts.QUERIES}
+SQL = {**corpus.SQL, **retrieval.SQL, **texts.SQL}
