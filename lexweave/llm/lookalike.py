@@ -12,13 +12,12 @@ from __future__ import annotations
 import html as _html
 import re
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave import session
 from lexweave.functions.html import TAG_JAVA
 from lexweave.functions.keys import digest
 from lexweave.operators.snapshots import held
@@ -77,58 +76,56 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", _RUN.sub(" ", text).strip(" ")))
 
 
+#: Stands for a tag; a private character (a text that holds it is read as if a tag stood there).
+TAG_MARK = "\ue000"
 #: Finds a character that is not its own skeleton in composed form: all but printable ASCII and the precomposed Latin
 #: letters and signs of Western European print. Texts without one don't leave the JVM.
-ODD = (
-    "[^ -~\\n\\r\\t\\u00A0ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜŒÆàáâäçèéêëìíîïñòóôöùúûüœæß°²³«»€§–—…”“’]"
-)
-_BLANK_RUN = "[ \\u00A0\\n\\r\\t]+"
+ODD = "[^ -~\\n\\r\\t\\u00A0\\uE000ÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜŒÆàáâäçèéêëìíîïñòóôöùúûüœæß°²³«»€§–—…”“’]"
+_BLANK_RUN = "[ \\u00A0\\uE000\\n\\r\\t]+"
 
 
-def consistent(text: Column, is_html: bool = False) -> Column:
-    """`skeleton` as a column; null stays null. is_html: the text holds character references, read as their characters.
+def with_form(rows: DataFrame, text: str, form: str, is_html: bool = False) -> DataFrame:
+    """rows plus `form`, the skeleton of column `text`; null stays null. TAG_MARK counts as a blank; is_html: the text
+    holds character references, read as their characters.
 
     Texts of plain characters are brought to form by built-in functions; only the others go through Arrow to Python.
+    Each step is a column of its own, so that nothing is computed twice.
     """
 
     @F.pandas_udf("string")
     def slow(batch):  # type: ignore[no-untyped-def]
-        read = (lambda x: skeleton(_html.unescape(x))) if is_html else skeleton
+        read = (lambda x: skeleton(_html.unescape(x.replace(TAG_MARK, " ")))) if is_html else (lambda x: skeleton(x.replace(TAG_MARK, " ")))
         return batch.map(read, na_action="ignore")
 
-    odd = text.rlike(ODD)
+    odd = F.col(text).rlike(ODD)
     if is_html:
         odd = odd | F.contains(text, F.lit("&"))
-    fast = F.btrim(F.regexp_replace(F.translate(text, "’", "'"), _BLANK_RUN, " "), F.lit(" "))
-    return F.when(odd, slow(F.when(odd, text))).otherwise(fast)
+    rows = rows.withColumn("_odd", odd)
+    rows = rows.withColumn("_slow", slow(F.when(F.col("_odd"), F.col(text))))
+    fast = F.btrim(F.regexp_replace(F.replace(text, F.lit("’"), F.lit("'")), _BLANK_RUN, " "), F.lit(" "))
+    return rows.withColumn(form, F.when(F.col("_odd"), F.col("_slow")).otherwise(fast)).drop("_odd", "_slow")
 
 
 # --- the project's texts ---------------------------------------------------------------------------------------------
 
-#: Stands for a tag; a private character that texts don't hold (one that does is read as a tag).
-_TAG_MARK = "\ue000"
-
-
-def html_forms(fragment: Column) -> tuple[Column, Column]:
-    """(characters between the tags as they are, consistent form with every tag as a blank) of an HTML fragment."""
-    marked = F.regexp_replace(fragment, TAG_JAVA, _TAG_MARK)
-    return F.translate(marked, _TAG_MARK, ""), consistent(F.translate(marked, _TAG_MARK, " "), is_html=True)
-
 
 def article_forms(articles: DataFrame) -> DataFrame:
-    """(snapshot_no, cid, original, form) of all held articles with a texteHtml, as digests of 128 bits.
+    """(snapshot_no, cid, original, form) of all held articles with a texteHtml, as digests of 128 bits: of the
+    characters between the tags as they are, and of the skeleton with every tag as a blank.
 
     The texts are reduced to two digests where they are read; only these are shuffled.
     """
-    raw, form = html_forms(F.col("texteHtml"))
-    return held(articles, {"original": digest(raw), "form": digest(form)}).where("form IS NOT NULL").select("snapshot_no", "cid", "original", "form")
+    rows = articles.withColumn("_marked", F.regexp_replace("texteHtml", TAG_JAVA, TAG_MARK))
+    rows = with_form(rows, "_marked", "_form", is_html=True)
+    payload = {"original": digest(F.replace("_marked", F.lit(TAG_MARK), F.lit(""))), "form": digest("_form")}
+    return held(rows, payload).where("form IS NOT NULL").select("snapshot_no", "cid", "original", "form")
 
 
 def article_twins(articles: DataFrame) -> DataFrame:
     """Articles whose text between the tags differs from the next snapshot's in characters but looks the same."""
-    forms = article_forms(articles)
-    nexts = forms.select((F.col("snapshot_no") - 1).alias("snapshot_no"), "cid", F.col("original").alias("original_b"), F.col("form").alias("form_b"))
-    both = forms.join(nexts, ["snapshot_no", "cid"]).where("form = form_b AND original <> original_b")
+    following = Window.partitionBy("cid").orderBy("snapshot_no")  # a row per snapshot
+    rows = article_forms(articles).withColumn("b", F.lead(F.struct("snapshot_no", "original", "form")).over(following))
+    both = rows.where("b.snapshot_no = snapshot_no + 1 AND b.form = form AND b.original <> original")
     return both.select(F.concat_ws("#", "cid", "snapshot_no").alias("key_a"), F.concat_ws("#", "cid", F.col("snapshot_no") + 1).alias("key_b"))
 
 
@@ -137,12 +134,14 @@ def twins(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     Originals are grouped by equal skeleton. A group of copies of one text is counted before anything is paired: only
     groups that hold two different originals go on, and exact copies are never paired with each other. Null texts or
-    keys are left out; a key that has several texts takes part with each; repeated rows count once.
+    keys are left out; a key that has several texts takes part with each; repeated rows count once. The digests are
+    written to the shared folder, since they are read three times.
     """
-    rows = texts.select(F.col(key).alias("k"), digest(F.col(text)).alias("original"), digest(consistent(F.col(text))).alias("form")).where("k IS NOT NULL AND form IS NOT NULL")
+    rows = with_form(texts.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL"), "t", "f")
+    rows = session.cut(rows.select("k", digest("t").alias("original"), digest("f").alias("form")).distinct())
     originals = rows.groupBy("form", "original").agg(F.count(F.lit(1)).alias("n"))
     mixed = originals.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
-    rows = rows.distinct().join(mixed, "form", "left_semi")
+    rows = rows.join(mixed, "form", "left_semi")
     other = rows.select("form", F.col("k").alias("key_b"), F.col("original").alias("original_b"))
     both = rows.withColumnRenamed("k", "key_a").join(other, "form").where("original <> original_b AND key_a < key_b")
     return both.select("key_a", "key_b").distinct()

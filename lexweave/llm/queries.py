@@ -28,7 +28,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     """Every text of a fiche chunk in its consistent form."""
     rows = read(spark, d, "fiche_chunks").select("chunk_id", "text").distinct()
-    return rows.select("chunk_id", lookalike.consistent(F.col("text")).alias("form"))
+    return lookalike.with_form(rows, "text", "form").select("chunk_id", "form")
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
