@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave import session
@@ -95,75 +95,73 @@ def _lifetimes(rows: DataFrame, space: str) -> DataFrame:
 
 @dataclass
 class Step:
-    """One advance: the state after it, the references of the batch that dangle on their date, and the counts."""
+    """One advance: the state after it, and the (space, key, at) of the batch at which a key asked for has no parent."""
 
     state: DataFrame
-    dangling: DataFrame
-    counts: DataFrame
+    gone: DataFrame
+
+
+def _zeros(ref_tables: Sequence[str]) -> list[Column]:
+    return [F.lit(0).cast("long").alias(t) for t in ref_tables]
 
 
 def empty_state(spark: SparkSession, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
-    """State before any batch: per key the number of parents that exist now and, per table, of references seen so far.
+    """State before any batch: per key the parents that exist now and before the last batch, and per table the
+    references seen before it and in it.
 
     The references of a key wait while it has no parent. The state grows with the keys, not with the references, so a
     key that a third of all references name is one row.
     """
-    return spark.createDataFrame([], "space string, key string, open long, before long, " + ", ".join(f"refs_{t} long, new_{t} long" for t in ref_tables))
+    return spark.createDataFrame([], "space string, key string, open long, before long, " + ", ".join(f"old_{t} long, new_{t} long" for t in ref_tables))
+
+
+def asked(refs: DataFrame, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
+    """References reduced to the dates on which a key is asked for: (space, key, at, delta, *one count per table)."""
+    counts = [F.sum(F.when(F.col("ref_table") == t, 1).otherwise(0)).alias(t) for t in ref_tables]
+    return refs.groupBy("space", F.col("missing_key").alias("key"), "at").agg(F.lit(0).cast("long").alias("delta"), *counts)
+
+
+def happened(parents: DataFrame, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
+    """Lifetimes reduced to the change per key and date, in the same columns."""
+    return parents.groupBy("space", "key", "at").agg(F.sum("delta").cast("long").alias("delta")).select("space", "key", "at", "delta", *_zeros(ref_tables))
 
 
-def advance(state: DataFrame, parents: DataFrame, refs: DataFrame, until: dt.date, ref_tables: Sequence[str] = REF_TABLES) -> Step:
-    """Applies one batch of lifetimes (space, key, at, delta) and references to the state; all dates before `until`.
+def advance(state: DataFrame, events: DataFrame, ref_tables: Sequence[str] = REF_TABLES) -> Step:
+    """Applies one batch of events (`asked` and `happened`, all later than the batches before) to the state.
 
     New references probe the parents as of their date, where what happens to a parent on a day counts before that day's
-    references. Arriving parents resolve the references that wait for them, deletions reopen them. Within the batch a
-    running sum per key over its distinct dates replaces per-event work: references are first reduced to the dates on
-    which a key is asked for, so a hot key is a few rows, and only the dates without parent are joined back (the join is
-    broadcast by Spark itself if they are few). The new state is written to the shared folder.
+    references. Arriving parents resolve the references that wait for them, deletions reopen them. A running sum per key
+    over its distinct dates does this for all events of the batch; it starts from the parents the state holds. Both
+    results are written to the shared folder.
     """
-    spark_refs = refs.groupBy("space", F.col("missing_key").alias("key"), "ref_table", "at").agg(F.count(F.lit(1)).alias("n"))
-    zero = F.lit(0).cast("long")
-    # one aggregate gives the state after the batch
-    old = state.select("space", "key", F.col("open").alias("before"), zero.alias("delta"), *(F.col(f"refs_{t}").alias(f"old_{t}") for t in ref_tables), *(zero.alias(f"new_{t}") for t in ref_tables))
-    moved = parents.select("space", "key", zero.alias("before"), F.col("delta").cast("long").alias("delta"), *(zero.alias(f"old_{t}") for t in ref_tables), *(zero.alias(f"new_{t}") for t in ref_tables))
-    asked = spark_refs.select("space", "key", zero.alias("before"), zero.alias("delta"), *(zero.alias(f"old_{t}") for t in ref_tables), *(F.when(F.col("ref_table") == t, F.col("n")).otherwise(0).alias(f"new_{t}") for t in ref_tables))
-    after = (
-        old.unionByName(moved)
-        .unionByName(asked)
-        .groupBy("space", "key")
-        .agg((F.sum("before") + F.sum("delta")).alias("open"), F.sum("before").alias("before"), *(c for t in ref_tables for c in ((F.sum(f"old_{t}") + F.sum(f"new_{t}")).alias(f"refs_{t}"), F.sum(f"new_{t}").alias(f"new_{t}"))))
-    )
-    after = session.cut(after)
-    # the parents a key has on the dates it is asked for
-    timeline = (
-        state.select("space", "key", F.lit(ALWAYS).alias("at"), F.col("open").alias("delta"), F.lit(False).alias("asked"))
-        .unionByName(parents.select("space", "key", "at", F.col("delta").cast("long").alias("delta"), F.lit(False).alias("asked")))
-        .unionByName(spark_refs.select("space", "key", "at", zero.alias("delta"), F.lit(True).alias("asked")))
-        .groupBy("space", "key", "at")
-        .agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
-        .withColumn("open", F.sum("delta").over(Window.partitionBy("space", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-        .where("asked AND open <= 0")
-        .select("space", F.col("key").alias("missing_key"), "at")
-    )
-    dangling = refs.join(timeline, ["space", "missing_key", "at"], "left_semi").select("ref_table", "record_key", "missing_key", "at")
+    carried = state.select("space", "key", F.lit(ALWAYS).alias("at"), F.col("open").alias("delta"), *_zeros(ref_tables))
+    timeline = carried.unionByName(events).groupBy("space", "key", "at").agg(F.sum("delta").alias("delta"), *(F.sum(t).alias(t) for t in ref_tables))
+    some = sum((F.col(t) for t in ref_tables), F.lit(0)) > 0
+    running = F.sum("delta").over(Window.partitionBy("space", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    gone = session.cut(timeline.withColumn("open", running).where(some & (F.col("open") <= 0)).select("space", "key", "at"))
+    old = state.select("space", "key", F.col("open").alias("before"), F.lit(0).cast("long").alias("delta"), *((F.col(f"old_{t}") + F.col(f"new_{t}")).alias(f"old_{t}") for t in ref_tables), *(z.alias(f"new_{t}") for t, z in zip(ref_tables, _zeros(ref_tables))))
+    new = events.select("space", "key", F.lit(0).cast("long").alias("before"), "delta", *(z.alias(f"old_{t}") for t, z in zip(ref_tables, _zeros(ref_tables))), *(F.col(t).alias(f"new_{t}") for t in ref_tables))
+    after = old.unionByName(new).groupBy("space", "key").agg((F.sum("before") + F.sum("delta")).alias("open"), F.sum("before").alias("before"), *(F.sum(f"{x}_{t}").alias(f"{x}_{t}") for t in ref_tables for x in ("old", "new")))
+    return Step(session.cut(after), gone)
+
+
+def counts(state: DataFrame, until: dt.date, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
+    """The periodic snapshot of a state: per table the references that arrived in its last batch, the waiting ones that
+    it resolved or reopened, and those that wait now."""
     gone, was = F.col("open") <= 0, F.col("before") <= 0
-    counts = after.select(
-        F.explode(
-            F.array(
-                *(
-                    F.struct(
-                        F.lit(t).alias("ref_table"),
-                        F.col(f"new_{t}").alias("arrived"),
-                        F.when(was & ~gone, F.col(f"refs_{t}") - F.col(f"new_{t}")).otherwise(0).alias("resolved"),
-                        F.when(~was & gone, F.col(f"refs_{t}") - F.col(f"new_{t}")).otherwise(0).alias("reopened"),
-                        F.when(gone, F.col(f"refs_{t}")).otherwise(0).alias("pending"),
-                    )
-                    for t in ref_tables
-                )
-            )
-        ).alias("c")
-    )
-    counts = counts.groupBy("c.ref_table").agg(*(F.sum(f"c.{x}").alias(x) for x in ("arrived", "resolved", "reopened", "pending"))).withColumn("until", F.lit(until))
-    return Step(after, dangling, counts)
+
+    def of(t: str) -> Column:
+        old, new = F.col(f"old_{t}"), F.col(f"new_{t}")
+        return F.struct(
+            F.lit(t).alias("ref_table"),
+            new.alias("arrived"),
+            F.when(was & ~gone, old).otherwise(0).alias("resolved"),
+            F.when(~was & gone, old).otherwise(0).alias("reopened"),
+            F.when(gone, old + new).otherwise(0).alias("pending"),
+        )
+
+    rows = state.select(F.explode(F.array(*map(of, ref_tables))).alias("c"))
+    return rows.groupBy("c.ref_table").agg(*(F.sum(f"c.{x}").alias(x) for x in ("arrived", "resolved", "reopened", "pending"))).withColumn("until", F.lit(until))
 
 
 def run(parents: DataFrame, refs: DataFrame, bounds: Sequence[dt.date], ref_tables: Sequence[str] = REF_TABLES) -> tuple[DataFrame, DataFrame]:
@@ -171,19 +169,22 @@ def run(parents: DataFrame, refs: DataFrame, bounds: Sequence[dt.date], ref_tabl
 
     Returns the dangling references (ref_table, record_key, missing_key, at), each distinct reference once, and the
     counts (ref_table, until, arrived, resolved, reopened, pending) at the end of every period. The result doesn't
-    depend on the bounds: an incremental run and one over everything agree.
+    depend on the bounds: an incremental run and one over everything agree. The references are joined once, with the
+    dates at which their keys have no parent, which are few; Spark broadcasts these if they are small enough.
     """
     refs = session.cut(refs.select("ref_table", "space", "record_key", "missing_key", "at").distinct())
-    parents = session.cut(parents)
-    state, steps = empty_state(refs.sparkSession, ref_tables), []
-    ends = [*sorted(set(bounds)), dt.date(9999, 12, 31)]
+    events = session.cut(asked(refs, ref_tables).unionByName(happened(parents, ref_tables)))
+    state, steps, snapshots = empty_state(refs.sparkSession, ref_tables), [], []
+    ends = [*sorted(set(bounds)), None]
     for low, high in zip([None, *ends], ends):
-        inside = (F.col("at") < high) & (F.lit(True) if low is None else F.col("at") >= low)
-        if high == ends[-1]:
-            inside = F.lit(True) if low is None else F.col("at") >= low
-        steps.append(advance(state, parents.where(inside), refs.where(inside), high, ref_tables))
-        state = steps[-1].state
-    return reduce(DataFrame.unionByName, (s.dangling for s in steps)), reduce(DataFrame.unionByName, (s.counts for s in steps))
+        inside = (F.lit(True) if low is None else F.col("at") >= low) & (F.lit(True) if high is None else F.col("at") < high)
+        step = advance(state, events.where(inside), ref_tables)
+        state = step.state
+        steps.append(step.gone)
+        snapshots.append(counts(state, high or dt.date(9999, 12, 31), ref_tables))
+    gone = reduce(DataFrame.unionByName, steps).withColumnRenamed("key", "missing_key")
+    dangling = refs.join(gone, ["space", "missing_key", "at"], "left_semi").select("ref_table", "record_key", "missing_key", "at")
+    return dangling, reduce(DataFrame.unionByName, snapshots)
 
 
 def corpus_orphans(articles: DataFrame, sections: DataFrame, fiches: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame]:
