@@ -6,8 +6,10 @@ a longer paragraph isn't enough. Sentences are embedded as weighted sums of term
 subject of the nearest centroid; there is one centroid per subject and language, since a subject's terms in different
 languages don't occur together.
 
-1. Every document is encoded once as numbers of its words (`encode`), written to the shared folder.
-2. Document frequencies of all terms over all paragraphs.
+1. Every document is encoded once as numbers of its words, written to the shared folder (`encode`). Terms are the words
+   and the pairs of neighbouring words in a sentence, frequent words left out of pairs; `control` and `beneficiary` may
+   say little where `technical control` and `beneficiary clause` do.
+2. How often each term occurs in all documents, counted on the way.
 3. The first model is fitted on labelled documents, at most SAMPLE of them: terms weigh by inverse document frequency
    and by how unevenly they spread over the subjects (log-entropy), the SVD is that of the sample's paragraphs, and the
    seeds are the means of paragraphs by label; a paragraph of a document with several labels goes to the nearest.
@@ -32,8 +34,8 @@ from pyspark.sql import functions as F
 
 from lexweave import session
 
-RANK, ROUNDS, SAMPLE, SHARE = 96, 1, 5_000, 0.5
-#: A term stays in the vocabulary if it occurs in this share of the paragraphs, and in three of them.
+RANK, ROUNDS, SAMPLE, SHARE = 64, 1, 2_000, 0.4
+#: A term stays in the vocabulary if it occurs this often per paragraph, and three times.
 LEAST = 1e-4
 #: Unevenness of the spread over subjects from which a term counts, from 0 (even) to 1 (one subject only).
 TOPICAL = 0.45
@@ -87,15 +89,40 @@ def encode_text(text: str) -> np.ndarray:
     return np.array(out, np.int32)
 
 
+@lru_cache(maxsize=1)
+def _frequent() -> np.ndarray:
+    return np.sort(np.array([code(w) for words in STOPWORDS.values() for w in words.split()], np.int32))
+
+
+def pair_numbers(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, number) of the pairs of neighbouring words, frequent words left out."""
+    stop = _frequent()
+    good = (flat >= 0) & (stop[np.minimum(np.searchsorted(stop, flat), len(stop) - 1)] != flat)
+    at = np.flatnonzero(good[:-1] & good[1:])
+    return at, ((flat[at].astype(np.int64) * 1_000_003 ^ flat[at + 1]) & 0x7FFFFFFF).astype(np.int32)
+
+
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, codes BINARY) of all documents with a text; whole texts, no exchange."""
+    """(doc_id, codes BINARY, counts BINARY) of all documents with a text; whole texts, no exchange.
+
+    Each task adds one row without doc_id: the numbers of all its terms in `codes` and how often they occur in `counts`;
+    its first number is PARAGRAPH_END, for the paragraphs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = np.array([PARAGRAPH_END], np.int32), np.zeros(1, np.int64)
         for batch in batches:
-            codes = [encode_text(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["doc_id", "codes"])
+            parts = [encode_text(t.as_py()) for t in batch.column(1)]
+            codes = [x.tobytes() for x in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary()), pa.nulls(len(codes), pa.binary())], ["doc_id", "codes", "counts"])
+            if parts:
+                flat = np.concatenate(parts)
+                here, n = np.unique(np.concatenate([flat[flat != SENTENCE_END], pair_numbers(flat)[1]]), return_counts=True)
+                known, place = np.unique(np.concatenate([known, here]), return_inverse=True)
+                total = np.bincount(place, weights=np.concatenate([total, n]), minlength=len(known)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([known.tobytes()], pa.binary()), pa.array([total.tobytes()], pa.binary())], ["doc_id", "codes", "counts"])
 
-    return documents.where(F.length(text) > 0).where(F.col(key).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, codes binary")
+    return documents.where(F.length(text) > 0).where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id bigint, codes binary, counts binary")
 
 
 # --- numbers of a batch ----------------------------------------------------------------------------------------------
@@ -103,8 +130,8 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 @dataclass
 class Words:
-    """The words of some documents in order: term numbers (-1: none), sentence and paragraph of each; sentences with
-    words are numbered through, `par_of` is a sentence's paragraph and `doc_of` a paragraph's document."""
+    """The terms of some documents, words first and then pairs: place in the vocabulary and sentence of each; sentences
+    with words are numbered through, `par_of` is a sentence's paragraph and `doc_of` a paragraph's document."""
 
     term: np.ndarray
     sent: np.ndarray
@@ -119,13 +146,18 @@ def lay_out(codes: list[bytes], vocabulary: np.ndarray) -> Words:
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     par_raw = np.cumsum(flat == PARAGRAPH_END) - (flat == PARAGRAPH_END)
     sent_raw = np.cumsum(flat < 0) - (flat < 0)
-    word = flat >= 0
-    flat, doc, par_raw, sent_raw = flat[word], doc[word], par_raw[word], sent_raw[word]
-    first, sent = _runs(sent_raw)
-    first_p, par = _runs(par_raw)
-    at = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
-    term = np.where(vocabulary[at] == flat, at, -1) if len(vocabulary) else np.full(len(flat), -1)
-    return Words(term, sent, par[first], doc[first_p])
+    word = np.flatnonzero(flat >= 0)
+    first, sent = _runs(sent_raw[word])
+    first_p, par = _runs(par_raw[word])
+    sent_of = np.zeros(len(flat), np.int64)
+    sent_of[word] = sent
+    at, pairs = pair_numbers(flat) if len(flat) else (word, flat)
+    number, place = np.concatenate([flat[word], pairs]), np.concatenate([word, at])
+    if not len(vocabulary):
+        return Words(np.empty(0, np.int64), np.empty(0, np.int64), par[first], doc[word][first_p])
+    term = np.minimum(np.searchsorted(vocabulary, number), len(vocabulary) - 1)
+    known = vocabulary[term] == number
+    return Words(term[known], sent_of[place[known]], par[first], doc[word][first_p])
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,9 +168,9 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def distinct_in(term: np.ndarray, group: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (term, group) of the words with a term, ordered by group."""
-    on = term >= 0
-    pairs = np.unique(group[on].astype(np.int64) * terms + term[on])
+    """Distinct pairs (term, group), ordered by group."""
+    pairs = np.unique(group.astype(np.int64) * max(1, terms) + term)
+    terms = max(1, terms)
     return pairs % terms, pairs // terms
 
 
@@ -190,7 +222,7 @@ def unevenness(counts: np.ndarray) -> np.ndarray:
 def languages_of(words: Words, model_language: np.ndarray) -> np.ndarray:
     """Language of each paragraph by its frequent words; the first language where none tells."""
     par = words.par_of[words.sent]
-    lang = np.where(words.term >= 0, model_language[np.maximum(words.term, 0)], -1)
+    lang = model_language[words.term]
     counts = np.stack([np.bincount(par[lang == i], minlength=len(words.doc_of)) for i in range(len(LANGUAGES))], 1)
     return counts.argmax(1)
 
@@ -203,8 +235,8 @@ def assign(words: Words, model: Model) -> tuple[np.ndarray, np.ndarray]:
     among equals, if these are at least SHARE of all its sentences.
     """
     n, pars, s = len(words.par_of), len(words.doc_of), model.subjects
-    topical = np.append(model.weight > 0, False)[words.term]
-    term, sent = distinct_in(np.where(topical, words.term, -1), words.sent, len(model.vocabulary))
+    topical = (model.weight > 0)[words.term]
+    term, sent = distinct_in(words.term[topical], words.sent[topical], len(model.vocabulary))
     # a sentence's products with the centroids are the sums of its terms'; its length doesn't change which is nearest
     products = (model.weight[:, None] * (model.basis @ model.centroids.T)).astype(np.float32)
     near = _sums(products, term, sent, n).reshape(n, -1, s).max(1)
@@ -244,15 +276,15 @@ def gather(words: Words, model: Model) -> Sums:
     _, par_subject = assign(words, model)
     par = words.par_of[words.sent]
     of = par_subject[par]
-    known = (words.term >= 0) & (of >= 0)
+    known = of >= 0
     counts = np.bincount(words.term[known] * s + of[known], minlength=v * s).reshape(v, s).astype(np.float64)
     weight = model.weight
     table = (weight[:, None] * model.basis).astype(np.float32)
-    heavy = np.append(weight > 0, False)[words.term]
-    term, group = distinct_in(np.where(heavy, words.term, -1), par, v)
+    heavy = (weight > 0)[words.term]
+    term, group = distinct_in(words.term[heavy], par[heavy], v)
     z = _unit(_sums(table, term, group, len(words.doc_of)))
-    spread = counts.max(1) >= 0.5 * counts.sum(1)  # terms that are even over the subjects will have no weight
-    rare = known & np.append(spread, False)[words.term]
+    spread = counts.max(1, initial=0) >= 0.5 * counts.sum(1)  # terms that are even over the subjects will have no weight
+    rare = known & spread[words.term]
     sums = _sums(z, par[rare], words.term[rare], v)
     cell = np.where(par_subject >= 0, languages_of(words, model.language) * s + par_subject, -1)
     set_ = np.flatnonzero(cell >= 0)
@@ -272,6 +304,20 @@ def refit(model: Model, sums: Sums) -> Model:
     return Model(model.vocabulary, model.idf, uneven, basis, _unit(moved).astype(np.float32), model.subjects, model.language)
 
 
+def _leading(term: np.ndarray, group: np.ndarray, weight: np.ndarray, groups: int, rank: int, steps: int = 8) -> np.ndarray:
+    """Leading right singular vectors (terms x rank) of the weighted paragraphs of length one, by subspace iteration."""
+    length = np.sqrt(np.maximum(np.bincount(group, weights=weight[term] ** 2, minlength=groups), 1e-12))
+    value = (weight[term] / length[group]).astype(np.float32)
+    axes, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(len(weight), min(rank, len(weight)))))
+    for _ in range(steps):
+        rows, images = np.empty(groups), np.empty_like(axes)
+        for j in range(axes.shape[1]):
+            rows = np.bincount(group, weights=value * axes[term, j], minlength=groups)
+            images[:, j] = np.bincount(term, weights=value * rows[group], minlength=len(weight))
+        axes, _ = np.linalg.qr(images)
+    return axes
+
+
 def first_model(sample: list[tuple[bytes, list[int]]], vocabulary: np.ndarray, idf: np.ndarray, subjects: int, rank: int = RANK) -> Model:
     """Fits weights, SVD and seeds on labelled documents (codes, subjects)."""
     language = np.full(len(vocabulary), -1)
@@ -301,18 +347,10 @@ def first_model(sample: list[tuple[bytes, list[int]]], vocabulary: np.ndarray, i
     topical = np.flatnonzero(weight > 0)
     place = np.full(v, -1)
     place[topical] = np.arange(len(topical))
-    gram = np.zeros((len(topical), len(topical)))
     heavy = weight[term] > 0
     term, group = place[term[heavy]], group[heavy]
-    for low in range(0, pars, 2000):
-        a, b = np.searchsorted(group, [low, low + 2000])
-        block = np.zeros((2000, len(topical)), np.float32)
-        block[group[a:b] - low, term[a:b]] = weight[topical][term[a:b]]
-        block = _unit(block)
-        gram += block.T @ block
-    _, vectors = np.linalg.eigh(gram)
     basis = np.zeros((v, rank), np.float32)
-    basis[topical, : min(rank, len(topical))] = vectors[:, ::-1][:, :rank]
+    basis[topical, : min(rank, len(topical))] = _leading(term, group, weight[topical], pars, rank)
     z = _unit(_sums(weight[topical][:, None] * basis[topical], term, group, pars))
     cell = np.where(guess >= 0, lang * subjects + guess, -1)
     known = np.flatnonzero(cell >= 0)
@@ -323,26 +361,17 @@ def first_model(sample: list[tuple[bytes, list[int]]], vocabulary: np.ndarray, i
 # --- the pipeline ----------------------------------------------------------------------------------------------------
 
 
-def document_frequencies(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """(vocabulary, paragraphs that hold each term, paragraphs in all), over all documents."""
+def vocabulary_of(encoded: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """(vocabulary, how often each term occurs, paragraphs), over all documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, total, pars = np.empty(0, np.int32), np.empty(0, np.int64), 0
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = batch.column(0).to_pylist()
-            flat = np.concatenate([np.frombuffer(c, np.int32) for c in codes]) if codes else np.empty(0, np.int32)
-            here = np.unique(flat[flat >= 0])
-            words = lay_out(codes, here)
-            term, _ = distinct_in(words.term, words.par_of[words.sent], len(here))
-            pars += len(words.doc_of)
-            both, place = np.unique(np.concatenate([known, here]), return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([total, np.bincount(term, minlength=len(here))]), minlength=len(both)).astype(np.int64)
-            known = both
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(known, -1), pa.int32()), pa.array(np.append(total, pars), pa.int64())], ["term", "n"])
-
-    table = session.cut(encoded.select("codes").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")))
-    pars = (table.where("term = -1").collect() or [(0, 0)])[0][1]
-    rows = table.where(f"term >= 0 AND n >= {max(3, LEAST * pars)}").orderBy("term").toPandas()  # at most words per paragraph / LEAST
+            for terms, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(terms, np.int32), pa.int32()), pa.array(np.frombuffer(counts, np.int64), pa.int64())], ["term", "n"])
+
+    table = session.cut(encoded.where("doc_id IS NULL").select("codes", "counts").mapInArrow(read, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")))
+    pars = (table.where(f"term = {PARAGRAPH_END}").collect() or [(0, 0)])[0][1]
+    rows = table.where(f"term >= 0 AND n >= {max(3, LEAST * pars)}").orderBy("term").toPandas()  # at most terms per paragraph / LEAST
     return rows["term"].to_numpy(np.int32), rows["n"].to_numpy(np.int64), int(pars)
 
 
@@ -351,28 +380,30 @@ def gather_all(encoded: DataFrame, model: Model) -> Sums:
     v, k, s = len(model.vocabulary), model.basis.shape[1], model.subjects
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((v + len(LANGUAGES) * s, k + s), np.float32)
+        total = np.zeros((v + len(LANGUAGES) * s, s + k), np.float32)  # counts, then vectors
         for batch in batches:
             sums = gather(lay_out(batch.column(0).to_pylist(), model.vocabulary), model)
-            total[:v, :k] += sums.terms
-            total[:v, k:] += sums.counts
-            total[v:, :k] += sums.centroids
+            total[:v, :s] += sums.counts
+            total[:v, s:] += sums.terms
+            total[v:, s:] += sums.centroids
         some = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i].tobytes() for i in some], pa.binary())], ["id", "vector"])
+        wide = np.abs(total[:, s:]).sum(1) > 0
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([total[i, : s + k * wide[i]].tobytes() for i in some], pa.binary())], ["id", "vector"])
 
     def add(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("id"))
-        rows = np.stack([np.frombuffer(x, np.float32) for x in table.column("vector").to_pylist()])
         present, place = np.unique(ids, return_inverse=True)
-        out = np.zeros((len(present), rows.shape[1]), np.float64)
-        np.add.at(out, place, rows)
+        out = np.zeros((len(present), s + k), np.float64)
+        for i, x in zip(place, table.column("vector").to_pylist()):
+            row = np.frombuffer(x, np.float32)
+            out[i, : len(row)] += row
         return pa.table({"id": pa.array(present, pa.int32()), "vector": pa.array([x.astype(np.float32).tobytes() for x in out], pa.binary())})
 
-    rows = encoded.select("codes").mapInArrow(part, "id int, vector binary").groupBy(F.pmod("id", F.lit(16))).applyInArrow(add, "id int, vector binary").collect()
-    total = np.zeros((v + len(LANGUAGES) * s, k + s), np.float32)
+    rows = encoded.where("doc_id IS NOT NULL").select("codes").mapInArrow(part, "id int, vector binary").groupBy(F.pmod("id", F.lit(16))).applyInArrow(add, "id int, vector binary").collect()
+    total = np.zeros((v + len(LANGUAGES) * s, s + k), np.float32)
     for r in rows:
         total[r[0]] = np.frombuffer(bytes(r[1]), np.float32)
-    return Sums(total[:v, k:].astype(np.float64), total[:v, :k], total[v:, :k])
+    return Sums(total[:v, :s].astype(np.float64), total[:v, s:], total[v:, s:])
 
 
 def fit(encoded: DataFrame, subjects: DataFrame, labels: DataFrame, rank: int = RANK, rounds: int = ROUNDS, sample: int = SAMPLE) -> tuple[Model, list[str]]:
@@ -384,8 +415,8 @@ def fit(encoded: DataFrame, subjects: DataFrame, labels: DataFrame, rank: int =
     """
     notes = subjects.where("subject IS NOT NULL").select("subject", F.concat_ws("\n\n", "titre", "scope_note").alias("note")).groupBy("subject").agg(F.max("note").alias("note")).orderBy("subject").collect()  # one row a subject
     names = [r[0] for r in notes]
-    vocabulary, frequency, pars = document_frequencies(encoded)
-    idf = np.log(max(pars, 1) / np.maximum(frequency, 1)).astype(np.float32)
+    vocabulary, frequency, pars = vocabulary_of(encoded)
+    idf = np.log(max(pars, 1) / np.clip(frequency, 1, max(pars, 1))).astype(np.float32)
     clean = labels.select("doc_id", F.lower(F.btrim("subject")).alias("s")).where("doc_id IS NOT NULL AND s IS NOT NULL").distinct().groupBy("doc_id").agg(F.collect_set("s").alias("s"))
     drawn = clean.join(encoded, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("codes", "s").collect()
     index = {n.lower().strip(): i for i, n in enumerate(names)}
@@ -409,7 +440,7 @@ def label(encoded: DataFrame, model: Model, names: list[str]) -> DataFrame:
             doc, subject = pairs // max(1, model.subjects), pairs % max(1, model.subjects)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array([names[i] for i in subject], pa.string())], ["doc_id", "subject"])
 
-    return encoded.select("doc_id", "codes").mapInArrow(run, "doc_id bigint, subject string").distinct()
+    return encoded.where("doc_id IS NOT NULL").select("doc_id", "codes").mapInArrow(run, "doc_id bigint, subject string").distinct()
 
 
 def subject_areas(documents: DataFrame, subjects: DataFrame, labels: DataFrame, rank: int = RANK, rounds: int = ROUNDS, sample: int = SAMPLE) -> DataFrame:
