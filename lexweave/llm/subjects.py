@@ -306,6 +306,8 @@ def refit(model: Model, sums: Sums) -> Model:
 
 def _leading(term: np.ndarray, group: np.ndarray, weight: np.ndarray, groups: int, rank: int, steps: int = 8) -> np.ndarray:
     """Leading right singular vectors (terms x rank) of the weighted paragraphs of length one, by subspace iteration."""
+    if not len(weight):
+        return np.zeros((0, 0))
     length = np.sqrt(np.maximum(np.bincount(group, weights=weight[term] ** 2, minlength=groups), 1e-12))
     value = (weight[term] / length[group]).astype(np.float32)
     axes, _ = np.linalg.qr(np.random.default_rng(7).normal(size=(len(weight), min(rank, len(weight)))))
@@ -322,9 +324,7 @@ def first_model(sample: list[tuple[bytes, list[int]]], vocabulary: np.ndarray, i
     """Fits weights, SVD and seeds on labelled documents (codes, subjects)."""
     language = np.full(len(vocabulary), -1)
     for i, name in enumerate(LANGUAGES):
-        numbers = np.array([code(w) for w in STOPWORDS[name].split()])
-        at = np.minimum(np.searchsorted(vocabulary, numbers), max(0, len(vocabulary) - 1))
-        language[at[vocabulary[at] == numbers]] = i
+        language[np.isin(vocabulary, [code(w) for w in STOPWORDS[name].split()])] = i
     words = lay_out([c for c, _ in sample], vocabulary)
     v, pars = len(vocabulary), len(words.doc_of)
     allowed = np.zeros((len(sample), subjects), bool)

@@ -38,7 +38,13 @@ def test_encoding_reads_sentences_and_paragraphs():
     c = s.encode_text("L'Été, 3 fois. Oui !\n \nDEJA déjà")
     assert c.tolist() == [s.code("ete"), s.code("fois"), -1, s.code("oui"), -1, -2, s.code("deja"), s.code("deja"), -2]
     w = s.lay_out([c.tobytes(), s.encode_text("").tobytes()], np.sort(np.array([s.code("ete"), s.code("deja")])))
-    assert w.sent.tolist() == [0, 0, 1, 2, 2] and w.par_of.tolist() == [0, 0, 1] and w.doc_of.tolist() == [0, 0]
+    assert w.sent.tolist() == [0, 2, 2] and w.par_of.tolist() == [0, 0, 1] and w.doc_of.tolist() == [0, 0]
+
+
+def test_pairs_leave_frequent_words_out():
+    flat = s.encode_text("La clause bénéficiaire. Le contrôle de la technique")
+    at, numbers = s.pair_numbers(flat)
+    assert at.tolist() == [1] and len(numbers) == 1 and numbers[0] >= 0
 
 
 def test_unevenness():
