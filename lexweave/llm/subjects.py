@@ -49,7 +49,7 @@ _EMPTY_LINE = re.compile(r"\n[ \t\r]*\n\s*")
 _CLOSING = "\"'»”’)]"
 # Frequent words that tell the languages apart.
 STOPWORDS = {
-    "fr": "le la les des du et un une pour est que dans par sur qui au aux pas il vous ou",
+    "fr": "le la les de des du et un une pour est que dans par sur qui au aux pas il vous ou",
     "en": "the of and to for is in not that be by with on if under your our this",
     "de": "der die das und den nicht mit fur ein eine sich von zu auf ist im wer bitte",
 }
@@ -295,11 +295,9 @@ def refit(model: Model, sums: Sums) -> Model:
     """The model of the next round. A centroid that nothing was assigned to stays."""
     uneven = unevenness(sums.counts)
     weight = model.idf * np.where(uneven >= TOPICAL, uneven, 0) ** 2
-    basis, _ = np.linalg.qr(weight[:, None] * sums.terms)
-    # the old axes as near as the new space allows, so that the centroids can be carried over
-    turn = basis.T @ (weight[:, None] * sums.terms)
-    u, _, vt = np.linalg.svd(turn)
-    basis = (basis @ u @ vt).astype(np.float32)
+    # the orthonormal axes nearest to the new images of the old ones, so that the centroids can be carried over
+    u, _, vt = np.linalg.svd(weight[:, None] * sums.terms, full_matrices=False)
+    basis = (u @ vt).astype(np.float32)
     moved = np.where(np.linalg.norm(sums.centroids, axis=1, keepdims=True) > 0, sums.centroids, model.centroids)
     return Model(model.vocabulary, model.idf, uneven, basis, _unit(moved).astype(np.float32), model.subjects, model.language)
 
