@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from lexweave.functions import ids, text
 from lexweave.functions.keys import norm_key
-from lexweave.operators import answers, chunking, gates, search, snapshots
+from lexweave.operators import annotation, answers, chunking, gates, search, snapshots
 from lexweave.operators.records import current
 from lexweave.plans.corpus import _HELD
 from lexweave.session import read
+from lexweave.sources.readers import guide_headers
 
 LATEST = 6
 
@@ -166,11 +167,37 @@ def prompt_render(spark: SparkSession, d: str) -> DataFrame:
     return answers.render_contexts(contexts)
 
 
+def annotation_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Golden items by state and tag, each item once."""
+    return annotation.progress(_golden(spark, d))
+
+
+def working_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Which evaluation sets every golden item of the working set belongs to."""
+    items = _golden(spark, d).withColumnRenamed("turns", "history")
+    one = lambda f, n: f(items).select("id", F.lit(n).alias("part"))
+    return one(annotation.working_set, "all").unionByName(one(annotation.article_set, "articles")).unionByName(one(annotation.floor_set, "floor"))
+
+
+def outside_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Gold articles that none of the sections of the item's guides holds."""
+    items = _golden(spark, d).withColumn("gold_articles", F.array_compact(F.transform("gold_articles", lambda k: norm_key(k))))
+    guides = guide_headers(current(read(spark, d, "fiches"))).select("fiche_id", "section_ids")
+    shortlist = annotation.section_shortlist(items, guides, _articles(spark, d, "sectionParentId").select("cid", norm_key("sectionParentId").alias("section_id")))
+    return annotation.outside_sections(items, shortlist)
+
+
+def guide_headers_all(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of all current guides."""
+    rows = guide_headers(current(read(spark, d, "fiches")))
+    return rows.withColumn("section_ids", F.array_join("section_ids", ","))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lookup_keys, reference_sets, short_circuit_path, history_trim, condense_status, breadcrumbs, point_ids, article_gate, golden_gate, lexical_shortlist, verbatim_spans, citation_check,
-        chunk_sizes, html_blocks, article_chunks, fiche_chunks, chunk_gate, prompt_render,
+        chunk_sizes, html_blocks, article_chunks, fiche_chunks, chunk_gate, prompt_render, annotation_progress, working_sets, outside_sections, guide_headers_all,
     )
 }
 
@@ -185,6 +212,11 @@ _REF = r"regexp_extract({0}, '\b[LRAD]\*?\s?\.?\s?\d+(?:-\d+)*\b')"
 _TERMS = "list_filter(regexp_extract_all(lower({0}), '[a-zà-ÿ0-9]+'), lambda t: length(t) >= 3)"
 
 SQL = {
+    "annotation_progress": f"""WITH {_ITEMS} SELECT 'all' AS kind, 'all' AS name, count(*) AS n FROM golden
+UNION ALL SELECT 'state', expected_state, count(*) FROM golden GROUP BY expected_state
+UNION ALL SELECT 'tag', tag, count(*) FROM (SELECT DISTINCT id, unnest(tags) AS tag FROM golden) GROUP BY tag""",
+    "working_sets": f"""WITH {_ITEMS}, w AS (SELECT * FROM golden WHERE coalesce(len(history), 0) = 0 AND (coalesce(len(gold_fiches), 0) > 0 OR coalesce(len(gold_articles), 0) > 0))
+SELECT id, 'all' AS part FROM w UNION ALL SELECT id, 'articles' FROM w WHERE len(gold_articles) > 0 UNION ALL SELECT id, 'floor' FROM w WHERE expected_state = 'reponse_sans_article'""",
     "lookup_keys": f"WITH {_LAST} SELECT cid, citation_id, {_KEY.replace('{0}', 'citation_id')} AS lookup_key FROM last",
     "short_circuit_path": f"""WITH {_LAST}, {_ITEMS}, keys AS (SELECT DISTINCT {_KEY.replace('{0}', 'citation_id')} AS k FROM last),
 turns AS (SELECT id, nullif(translate(upper({_REF.replace('{0}', _TURN)}), ' .*', ''), '') AS ref FROM golden)
