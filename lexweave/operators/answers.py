@@ -47,6 +47,25 @@ def state(envelope: Column) -> Column:
     return F.when(envelope["type"] == "refus", F.concat(F.lit("refus:"), envelope["motif"])).when(F.size(cited(envelope)) == 0, "reponse_sans_article").otherwise("reponse")
 
 
+def view_state(envelope: Column) -> Column:
+    """How an answer is shown: refusal, unfounded (no citation, or all were taken out), or founded."""
+    return F.when(envelope["type"] == "refus", "refusal").when(F.size(cited(envelope)) == 0, "unfounded").otherwise("founded")
+
+
+def citation_links(answers: DataFrame, contexts: DataFrame, url: str) -> DataFrame:
+    """(qid, citation_id, link): every citation of an answer with the address of the version that was retrieved; `url` is
+    a format with one %s. Of several pieces of an article the first by slot counts."""
+    wanted = answers.select("qid", F.explode(cited(F.col("envelope"))).alias("citation_id")).distinct()
+    found = contexts.where("register = 'article'").groupBy("qid", "citation_id").agg(F.min_by("version", "slot").alias("version"))
+    return wanted.join(found, ["qid", "citation_id"]).select("qid", "citation_id", F.format_string(url, F.col("version")).alias("link"))
+
+
+def human_label(raw: Column, default: Column) -> Column:
+    """pass or fail of what an annotator typed: p, pass, f or fail in any case; blank is the default, else null."""
+    x = F.lower(F.trim(raw))
+    return F.when(x == "", default).when(x.isin("p", "pass"), "pass").when(x.isin("f", "fail"), "fail")
+
+
 def citation_correctness(cited_documents: Column, gold: Column) -> Column:
     """Share of the gold articles that are cited, by document; null without gold."""
     g = F.array_distinct(gold)

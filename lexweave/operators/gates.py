@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions.text import lookup_key
@@ -28,7 +28,11 @@ def union(*frames: DataFrame) -> DataFrame:
 
 def enforce(found: DataFrame, shown: int = 20) -> None:
     """Raises ValueError naming every failed check with its number of violations and `shown` of the keys."""
-    rows = found.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set(F.substring("key", 1, 60))), 1, shown).alias("keys")).orderBy("check").collect()
+    found = found.select("check", F.substring("key", 1, 60).alias("key"))
+    counts = {r[0]: r[1] for r in found.groupBy("check").agg(F.count(F.lit(1))).collect()}  # one row a check
+    order = Window.partitionBy("check").orderBy("key")
+    some = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= shown).orderBy("check", "key").collect() if counts else []
+    rows = [{"check": c, "n": n, "keys": [r["key"] for r in some if r["check"] == c]} for c, n in sorted(counts.items())]
     if rows:
         raise ValueError("; ".join(f"{r['check']}: {r['n']} ({', '.join(map(str, r['keys']))})" for r in rows))
 

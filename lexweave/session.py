@@ -27,7 +27,7 @@ def build(cpus: int | str = "*", shuffle: int = 8, name: str = "lexweave") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, a laptop) a folder below the warehouse is set instead.
+    Only where the session names none (tests, a laptop) a temporary folder of this machine is set instead.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:

@@ -44,3 +44,12 @@ def test_condensing(spark):
     known = spark.createDataFrame([("L1",), (None,)], "lookup_key string")
     got = rows(a.condense(turns, known).select("qid", "condense_status", "query", "condensed_query"))
     assert got == [(0, a.NO_HISTORY, "q", None), (1, a.SHORT_CIRCUIT, "voir L1", None), (2, a.FALLBACK_ERROR, "q", None), (3, a.FALLBACK_SANITIZER, "q", "a\nb"), (4, a.UNCHANGED, " q ", "q"), (5, a.REWRITTEN, "better", "better"), (6, a.REWRITTEN, "y L9", "y L9"), (7, a.NO_HISTORY, "q", None)]
+
+
+def test_views_links_and_labels(spark):
+    env = envelopes(spark, (0, "reponse", ["L1", "L9"], None), (1, "refus", [], "m"), (2, "reponse", [], None))
+    assert rows(env.select("qid", a.view_state(F.col("envelope")))) == [(0, "founded"), (1, "refusal"), (2, "unfounded")]
+    ctx = spark.createDataFrame([(0, 2, "article", "L1", "v2"), (0, 1, "article", "L1", "v1")], "qid long, slot int, register string, citation_id string, version string")
+    assert rows(a.citation_links(env, ctx, "https://legi.example/%s")) == [(0, "L1", "https://legi.example/v1")]
+    labels = spark.createDataFrame([(" P ",), ("fail",), ("",), ("x",), (None,)], "r string").select(a.human_label(F.col("r"), F.lit("pass")))
+    assert [r[0] for r in labels.collect()] == ["pass", "fail", "pass", None, None]
