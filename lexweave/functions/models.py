@@ -112,5 +112,5 @@ def overlap_scorer() -> Score:
 
 
 def extractive_answer() -> Ask:
-    """The first line of the prompt that looks like a heading."""
-    return lambda prompts: [next((x for x in p.splitlines() if x.startswith("[")), "") for p in prompts]
+    """The label of the first context of the prompt."""
+    return lambda prompts: [next((x for x in p.splitlines() if x.startswith("— ")), "") for p in prompts]

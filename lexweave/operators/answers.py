@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions import text
 from lexweave.functions.text import MAX_CONDENSED_CHARS, first_reference, sanitize_condensed, strip_breadcrumb_root
 from lexweave.operators.search import MARKER, short_circuit
 
 #: Envelope of an answer: a tagged union in one struct.
 ENVELOPE = "struct<type:string, explanation:string, fondement_juridique:array<struct<article_id:string, gloss:string>>, aucun_fondement:string, motif:string>"
 #: Fixed value: what an answer without any valid citation says in the place of one.
-NO_BASIS = "Aucun article applicable n'a été retrouvé."
-#: The outcomes of the condensing decision.
-NO_HISTORY, SHORT_CIRCUIT, REWRITTEN, UNCHANGED, FALLBACK_ERROR, FALLBACK_SANITIZER = "no_history", "short_circuit", "rewritten", "unchanged", "fallback_error", "fallback_sanitizer"
+NO_BASIS = "Pas de fondement juridique direct dans le corpus."
+#: Headings of the two parts of a prompt's context.
+FICHE_HEADING, ARTICLE_HEADING = "### Fiches", "### Articles"
+# The outcomes of the condensing decision.
+NO_HISTORY, SHORT_CIRCUIT, UNCHANGED, REWRITTEN = "skipped_no_history", "skipped_short_circuit", "passthrough", "rewritten"
+FALLBACK_SANITIZER, FALLBACK_ERROR = "fallback_sanitizer", "fallback_error"
 
 
 def retrieved_citations(contexts: DataFrame) -> DataFrame:
@@ -43,13 +47,13 @@ def repair(envelope: Column, false_ids: Column) -> Column:
 
 
 def state(envelope: Column) -> Column:
-    """The state of an answer: refus:<motif>, reponse_sans_article where it cites nothing, else reponse."""
-    return F.when(envelope["type"] == "refus", F.concat(F.lit("refus:"), envelope["motif"])).when(F.size(cited(envelope)) == 0, "reponse_sans_article").otherwise("reponse")
+    """The state of an answer: refus:<motif>, reponse_sans_article where it says why it has no basis, else reponse."""
+    return F.when(envelope["type"] == "refus", F.concat(F.lit("refus:"), envelope["motif"])).when(envelope["aucun_fondement"].isNotNull(), "reponse_sans_article").otherwise("reponse")
 
 
 def view_state(envelope: Column) -> Column:
-    """How an answer is shown: refusal, unfounded (no citation, or all were taken out), or founded."""
-    return F.when(envelope["type"] == "refus", "refusal").when(F.size(cited(envelope)) == 0, "unfounded").otherwise("founded")
+    """How an answer is shown: as `state`, with all refusals but hors_corpus as refus_regule."""
+    return F.when((envelope["type"] == "refus") & (envelope["motif"] == "hors_corpus"), "hors_corpus").when(envelope["type"] == "refus", "refus_regule").otherwise(state(envelope))
 
 
 def citation_links(answers: DataFrame, contexts: DataFrame, url: str) -> DataFrame:
@@ -91,12 +95,21 @@ def score_answers(items: DataFrame, answers: DataFrame, contexts: DataFrame) ->
     )
 
 
-def render_contexts(contexts: DataFrame) -> DataFrame:
-    """(qid, context): the contexts of every query as numbered blocks in slot order; articles with citation and
-    breadcrumb, guides with title, the marker as its own line."""
-    head = F.when(F.col("register") == MARKER, F.lit(NO_BASIS)).when(F.col("register") == "article", F.concat_ws(" — ", "citation_id", strip_breadcrumb_root(F.col("breadcrumb")))).otherwise(F.col("title"))
-    block = F.concat_ws("\n", F.concat(F.lit("["), F.col("slot").cast("string"), F.lit("] "), F.coalesce(head, F.lit(""))), F.col("text"))
-    return contexts.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("context"))
+def render_contexts(contexts: DataFrame, fiche_heading: str = FICHE_HEADING, article_heading: str = ARTICLE_HEADING) -> DataFrame:
+    """(qid, context): the guides of every query under their heading, then its articles under theirs, each in slot order.
+
+    contexts: (qid, slot, register, text, title, chapitre_titre, cas_label, citation_id, breadcrumb). A guide is labelled
+    by its non-empty titles, an article by its citation and the breadcrumb below the root; the marker is a line.
+    """
+    guide = text.enriched([F.coalesce(c, F.lit("")) for c in ("title", "chapitre_titre", "cas_label")], " · ")
+    article = text.enriched([F.coalesce("citation_id", F.lit("")), F.coalesce(strip_breadcrumb_root(F.col("breadcrumb")), F.lit(""))], " · ")
+    label = F.when(F.col("register") == "fiche", guide).otherwise(article)
+    body = F.coalesce("text", F.lit(""))
+    block = F.when(F.col("register") == MARKER, F.lit(NO_BASIS)).when(label != "", F.concat(F.lit("— "), label, F.lit("\n"), body)).otherwise(body)
+    entries = F.array_sort(F.collect_list(F.struct("slot", (F.col("register") == "fiche").alias("guide"), block.alias("b"))))  # a query's contexts
+    part = lambda kind: F.transform(F.filter(F.col("e"), lambda x: x["guide"] == kind), lambda x: x["b"])
+    section = lambda heading, kind: F.when(F.size(part(kind)) > 0, F.concat(F.lit(heading + "\n\n"), F.array_join(part(kind), "\n\n")))
+    return contexts.groupBy("qid").agg(entries.alias("e")).select("qid", F.concat_ws("\n\n", section(fiche_heading, True), section(article_heading, False)).alias("context"))
 
 
 def messages(system: str, history: Column, user: Column) -> Column:

@@ -83,9 +83,9 @@ def open_index(spark: SparkSession, folder: str, queries: DataFrame, load: Calla
     """(Index, points with payload) of the live tables for queries (qid, text); point ids become numbers for the search."""
     parts = {r: index.live(spark, folder, r) for r in REGISTERS}
     key = lambda r: F.lit({"fiches": "fiche", "articles": "article"}[r])
-    shared = ("document", "chunk_index", "text")
-    fiches = parts["fiches"].select("*", key("fiches").alias("register"), *(F.col(f"payload.{c}").alias(c) for c in shared), F.col("payload.section_ids").alias("section_ids"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("string").alias("lookup_key"), F.lit(None).cast("string").alias("citation_id"), F.lit(None).cast("string").alias("breadcrumb"), F.col("payload.title").alias("title"))
-    articles = parts["articles"].select("*", key("articles").alias("register"), *(F.col(f"payload.{c}").alias(c) for c in shared), F.lit(None).cast("array<string>").alias("section_ids"), *(F.col(f"payload.{c}").alias(c) for c in ("section_id", "lookup_key", "citation_id", "breadcrumb")), F.lit(None).cast("string").alias("title"))
+    shared, titles = ("document", "chunk_index", "text"), ("title", "chapitre_titre", "cas_label")
+    fiches = parts["fiches"].select("*", key("fiches").alias("register"), *(F.col(f"payload.{c}").alias(c) for c in shared), F.col("payload.section_ids").alias("section_ids"), F.lit(None).cast("string").alias("section_id"), F.lit(None).cast("string").alias("lookup_key"), F.lit(None).cast("string").alias("citation_id"), F.lit(None).cast("string").alias("breadcrumb"), *(F.col(f"payload.{c}").alias(c) for c in titles))
+    articles = parts["articles"].select("*", key("articles").alias("register"), *(F.col(f"payload.{c}").alias(c) for c in shared), F.lit(None).cast("array<string>").alias("section_ids"), *(F.col(f"payload.{c}").alias(c) for c in ("section_id", "lookup_key", "citation_id", "breadcrumb")), *(F.lit(None).cast("string").alias(c) for c in titles))
     points = fiches.drop("payload").unionByName(articles.drop("payload")).withColumnRenamed("id", "uuid").withColumn("id", F.xxhash64("uuid"))
     asked = session.cut(queries.select("qid", "text", models.embed(F.col("text"), load).alias("e")))
     spread = lambda rows, *keep: rows.select(*keep, F.explode(F.arrays_zip("sparse_indices", "sparse_values")).alias("p")).select(*keep, F.col("p.sparse_indices").alias("token"), F.col("p.sparse_values").cast("double").alias("weight"))
@@ -129,7 +129,7 @@ def run_chain(spark: SparkSession, folder: str, turns: DataFrame, load: Callable
 
     paths = search.short_circuit(condensed.select("qid", "query"), known, "query", text.first_reference)
     ranked = with_lookup(x, paths, points.where("lookup_key IS NOT NULL").select("id", "lookup_key", "chunk_index"), arm)
-    contexts = ranked.join(points.select("id", "title", "text", "citation_id", "breadcrumb"), "id", "left").withColumnRenamed("rank", "slot")
+    contexts = ranked.join(points.select("id", "title", "chapitre_titre", "cas_label", "text", "citation_id", "breadcrumb"), "id", "left").withColumnRenamed("rank", "slot")
     rows = condensed.join(answers.render_contexts(contexts), "qid", "left")
     prompt = F.concat_ws("\n\n", F.lit(system), F.coalesce("context", F.lit("")), "raw_turn")
     return rows.withColumn("a", models.ask(prompt, generate)).select("qid", "query", "condense_status", "context", "a.answer", "a.error")

@@ -112,7 +112,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
     refuses = F.col("expected_state").startswith("refus:")
     envelope = F.struct(
         F.when(refuses, "refus").otherwise("reponse").alias("type"), F.lit("…").alias("explanation"), F.transform("cited", lambda k: F.struct(k.alias("article_id"), F.lit("").alias("gloss"))).alias("fondement_juridique"),
-        F.lit(None).cast("string").alias("aucun_fondement"), F.when(refuses, F.substring("expected_state", 7, 99)).alias("motif"),
+        F.when(F.col("expected_state") == "reponse_sans_article", "…").alias("aucun_fondement"), F.when(refuses, F.substring("expected_state", 7, 99)).alias("motif"),
     )
     return items.join(known, "id", "left").select("id", "expected_state", envelope.alias("envelope"), F.coalesce("retrieved", F.array().cast("array<string>")).alias("retrieved"))
 
@@ -159,12 +159,14 @@ def chunk_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prompt_render(spark: SparkSession, d: str) -> DataFrame:
-    """The contexts of every item, its guides' pieces in order, as one prompt."""
+    """The contexts of every item, its guides' pieces in order and then the marker, as one prompt."""
     items = _golden(spark, d).select(F.col("id").alias("qid"), F.explode("gold_fiches").alias("fiche_id")).distinct()
-    pieces = read(spark, d, "fiche_chunks").select("fiche_id", "chunk_index", "text", "chapitre_titre").where("text IS NOT NULL").distinct()
-    rows = items.join(pieces, "fiche_id").withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy("fiche_id", "chunk_index", "text", "chapitre_titre")))
-    contexts = rows.select("qid", "slot", F.lit("fiche").alias("register"), F.col("chapitre_titre").alias("title"), "text", F.lit("").alias("citation_id"), F.lit("").alias("breadcrumb"))
-    return answers.render_contexts(contexts)
+    pieces = read(spark, d, "fiche_chunks").select("fiche_id", "chunk_index", "text", "chapitre_titre", "cas_label").where("text IS NOT NULL").distinct()
+    rows = items.join(pieces, "fiche_id").withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy("fiche_id", "chunk_index", "text", "chapitre_titre", "cas_label")))
+    none = F.lit(None).cast("string")
+    contexts = rows.select("qid", "slot", F.lit("fiche").alias("register"), none.alias("title"), "chapitre_titre", "cas_label", "text", none.alias("citation_id"), none.alias("breadcrumb"))
+    marker = items.select("qid").distinct().select("qid", F.lit(1_000_000).alias("slot"), F.lit(search.MARKER).alias("register"), *(none.alias(c) for c in ("title", "chapitre_titre", "cas_label", "text", "citation_id", "breadcrumb")))
+    return answers.render_contexts(contexts.unionByName(marker))
 
 
 def annotation_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -244,12 +246,15 @@ SELECT fiche_id, count(*) AS n_chunks, sum(n)::BIGINT AS n_words, count(*) FILTE
     "citation_check": f"""WITH {_LAST}, {_ITEMS},
 c AS (SELECT id, expected_state, list_filter(list_distinct(list_transform(coalesce(gold_articles, []), lambda k: nullif(upper(trim(k, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), ''))), lambda k: k IS NOT NULL) AS cited FROM golden),
 r AS (SELECT id, expected_state, cited, list_filter(cited, lambda k: NOT list_contains(l, k)) AS wrong FROM c, (SELECT list(cid) AS l FROM last))
-SELECT id, CASE WHEN expected_state LIKE 'refus:%' THEN expected_state WHEN len(cited) = 0 THEN 'reponse_sans_article' ELSE 'reponse' END AS state, len(wrong) = 0 AS citation_valid,
+SELECT id, CASE WHEN expected_state LIKE 'refus:%' OR expected_state = 'reponse_sans_article' THEN expected_state ELSE 'reponse' END AS state, len(wrong) = 0 AS citation_valid,
   array_to_string(list_sort(wrong), ',') AS fabricated, array_to_string(list_sort(list_filter(cited, lambda k: NOT list_contains(wrong, k))), ',') AS shown,
-  CASE WHEN len(wrong) > 0 AND len(wrong) = len(cited) AND expected_state NOT LIKE 'refus:%' THEN '{answers.NO_BASIS.replace(chr(39), chr(39) * 2)}' ELSE '' END AS note FROM r""",
+  CASE WHEN len(wrong) > 0 AND len(wrong) = len(cited) AND expected_state NOT LIKE 'refus:%' THEN '{answers.NO_BASIS.replace(chr(39), chr(39) * 2)}' WHEN expected_state = 'reponse_sans_article' THEN '…' ELSE '' END AS note FROM r""",
     "prompt_render": f"""WITH {_ITEMS}, f AS (SELECT DISTINCT id AS qid, unnest(gold_fiches) AS fiche_id FROM golden),
-p AS (SELECT qid, text, chapitre_titre, row_number() OVER (PARTITION BY qid ORDER BY fiche_id, chunk_index, text COLLATE "C", chapitre_titre COLLATE "C" NULLS FIRST) AS slot FROM f JOIN (SELECT DISTINCT fiche_id, chunk_index, text, chapitre_titre FROM fiche_chunks WHERE text IS NOT NULL) USING (fiche_id))
-SELECT qid, string_agg('[' || slot || '] ' || coalesce(chapitre_titre, '') || chr(10) || text, chr(10) || chr(10) ORDER BY slot) AS context FROM p GROUP BY 1""",
+p AS (SELECT qid, concat_ws(' · ', nullif(chapitre_titre, ''), nullif(cas_label, '')) AS label, text,
+  row_number() OVER (PARTITION BY qid ORDER BY fiche_id, chunk_index, text COLLATE "C", chapitre_titre COLLATE "C" NULLS FIRST, cas_label COLLATE "C" NULLS FIRST) AS slot
+  FROM f JOIN (SELECT DISTINCT fiche_id, chunk_index, text, chapitre_titre, cas_label FROM fiche_chunks WHERE text IS NOT NULL) USING (fiche_id)),
+g AS (SELECT qid, string_agg(CASE WHEN label <> '' THEN '— ' || label || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY slot) AS body FROM p GROUP BY 1)
+SELECT q.qid, concat_ws(chr(10) || chr(10), '{answers.FICHE_HEADING}' || chr(10) || chr(10) || body, '{answers.ARTICLE_HEADING}', '{answers.NO_BASIS}') AS context FROM (SELECT DISTINCT qid FROM f) q LEFT JOIN g USING (qid)""",
     "golden_gate": f"""WITH {_LAST}, g AS (SELECT id, expected_state AS s, coalesce(gold_fiches, []) AS f, coalesce(gold_spans, []) AS sp, [coalesce(nullif(upper(trim(k, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), ''), '') FOR k IN coalesce(gold_articles, [])] AS a,
   coalesce(expected_points, []) AS p, coalesce(tags, []) AS t, coalesce(len(history), 0) AS h, coalesce(len([x FOR x IN history IF x['role'] = 'assistant' AND contains(x['content'], 'fondement_juridique')]), 0) AS raw FROM golden_set),
 fr AS (SELECT DISTINCT id, unnest(f) AS fiche_id FROM g), ar AS (SELECT DISTINCT id, unnest(a) AS cid FROM g), sr AS (SELECT DISTINCT id, unnest(sp) AS span FROM g)

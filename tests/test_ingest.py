@@ -36,8 +36,8 @@ def test_ingest_search_and_answer(spark, tmp_path):
         assert got == [(0, 1.0, 1.0), (1, 1.0, 1.0)], arm
     turns = spark.createDataFrame([(0, "voir L. 1-2 svp", None), (1, "moteur ?", [("user", "avant")])], "qid long, raw_turn string, history array<struct<role:string,content:string>>")
     out = {r.qid: r for r in ingest.run_chain(spark, home, turns, EMBED, SCORE, lambda: lambda p: [x.upper() for x in p], models.extractive_answer).collect()}
-    assert out[0].context.startswith("[1] L. 1-2 — S\n") and "[2]" not in out[0].context and out[0].answer.startswith("[1] L. 1-2")
-    assert out[1].query == "MOTEUR ?" and out[1].condense_status == "rewritten" and "[4]" in out[1].context
+    assert out[0].context.startswith("### Articles\n\n— L. 1-2 · S\n") and "Fiches" not in out[0].context and out[0].answer == "— L. 1-2 · S"
+    assert out[1].query == "MOTEUR ?" and out[1].condense_status == "rewritten" and out[1].context.count("— ") == 4
     other = f"file://{tmp_path}/other"
     ingest.run_ingest(spark, articles, fiches, EMBED, other, "index-2", enriched=True, check=False)
     table, verdict = ingest.run_ab(spark, (home, other), items, EMBED, SCORE, "ab_article_breadcrumb")
