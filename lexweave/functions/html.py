@@ -6,8 +6,9 @@ import html as _html
 import re
 from collections.abc import Iterator
 
-#: A tag, comment or declaration. An attribute value in quotes may hold ">"; "<" before anything else is text.
-TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>", re.S)
+#: A tag, comment or declaration. An attribute value in quotes may hold "<" and ">"; a "<" that starts no complete tag is
+#: text. Outside quotes no tag reaches over another "<", so the search is linear.
+TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^<>]*>", re.S)
 #: The same for Java, without groups that could nest on the stack; it only differs where a quoted value holds ">".
 TAG_JAVA = r"(?s)<!--.*?-->|<[/!?a-zA-Z][^>]*>"
 #: Elements that limit a block of text.
