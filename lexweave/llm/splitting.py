@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.functions.html import TAG_JAVA, segments
+from lexweave.functions.html import segments
 from lexweave.functions.keys import BLANKS, norm_key
 from lexweave.operators.records import current
 from lexweave.operators.snapshots import IN_FORCE, latest
@@ -165,11 +165,16 @@ def _at_least(text: Column, limit: int) -> Column:
     return (F.length(text) > 2 * limit) & (F.regexp_count(text, F.lit(f"[^{BLANKS}]+")) > limit)
 
 
+#: No more than what is a tag to the exact reader, which also takes quoted values that hold "<" or ">".
+_TAG_AT_MOST = r"(?s)<!--.*?-->|<[/!?a-zA-Z][^<>]*>"
+
+
 def _html_words_at_most(fragment: Column) -> Column:
     """The fragment with so many words that it has no fewer than after exact reading: whole tables go, a tag or a
     reference is a blank. What Java's simpler patterns leave standing only adds words."""
-    bare = F.regexp_replace(fragment, r"(?is)<table\b.*?</table\s*>", " ")
-    bare = F.regexp_replace(bare, TAG_JAVA, " ")
+    hidden = F.contains(fragment, F.lit("<!--")) | fragment.rlike("=\\s*[\"'][^\"'>]*<")  # what looks like a table may be none
+    bare = F.when(hidden, fragment).otherwise(F.regexp_replace(fragment, r"(?is)<table(?:\s[^<>]*)?>.*?</table\s*>", " "))
+    bare = F.regexp_replace(bare, _TAG_AT_MOST, " ")
     return F.regexp_replace(bare, "&#?[0-9A-Za-z]+;?", " x ")
 
 

@@ -40,6 +40,18 @@ def test_sentence_and_blocks_of_html():
     assert "x" not in found[0][5] and "Fin\u00a0!" in "".join(p[5] for p in found)
 
 
+def test_no_fragment_is_estimated_too_low(spark):
+    """The bound that keeps fragments from the exact count never has fewer words than it."""
+    parts = ["<p>", "</p>", "<table>", "</table>", "a b ", "c", "<a title='x > y'>", "<a <b>", "< d", "&nbsp;", "&#32;", "&eacute;", "<!-- e -->", "<!-- <table> -->", '<a title="<table>">', "<TABLE class=x>", "<br/>", " f", '"', "<i"]
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(1500)]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_count(s._html_words_at_most(F.col("t")), F.lit("[^ \t\n\r]+")).alias("n"))
+    for t, n in df.collect():
+        assert n >= len(WORDS(s.read_html(t).replace("\x00", " "))), t
+
+
 def test_texte_of_a_guide():
     xml = "<P><Introduction><Texte>no</Texte></Introduction><Texte><Paragraphe>a<!-- no -->b <MiseEnEvidence>c</MiseEnEvidence></Paragraphe><![CDATA[<d>]]></Texte></P>".encode()
     assert WORDS(s.read_texte(xml).replace("\x00", " ")) == ["ab", "c", "<d>"]
