@@ -10,8 +10,8 @@ from lexweave.session import read
 
 _HELD = """
 held AS (
-  SELECT snapshot_no, snapshot_date, cid, texteHtml, texte, etat, titre, section FROM (
-    SELECT snapshot_no, snapshot_date, upper(trim(cid, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS cid, texteHtml, texte, etat, sectionParentTitre AS titre,
+  SELECT snapshot_no, snapshot_date, cid, texteHtml, texte, etat, titre, section, raw_section FROM (
+    SELECT snapshot_no, snapshot_date, upper(trim(cid, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS cid, texteHtml, texte, etat, sectionParentTitre AS titre, sectionParentId AS raw_section,
            nullif(upper(trim(sectionParentId, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), '') AS section,
            row_number() OVER (PARTITION BY snapshot_no, upper(trim(cid, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) ORDER BY delivered_at DESC) AS rn
     FROM articles WHERE cid IS NOT NULL
@@ -50,6 +50,13 @@ def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
     return months.agg(F.count(F.lit(1)).alias("n_dangling"), F.countDistinct("missing_key").alias("n_missing"))
 
 
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report: dangling references of all tables per month, the keys that miss and the records that name them."""
+    dangling, _ = _orphans(spark, d)
+    months = dangling.groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("ref_month"))
+    return months.agg(F.count(F.lit(1)).alias("n_dangling"), F.countDistinct("missing_key").alias("n_missing"), F.countDistinct("record_key").alias("n_records"))
+
+
 def p3_counts(spark: SparkSession, d: str) -> DataFrame:
     """The periodic counts of the state: references that arrived, were resolved or reopened, and that wait."""
     return _orphans(spark, d)[1].withColumn("until", F.col("until").cast("string"))
@@ -77,10 +84,10 @@ def p5_reported(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("old_snapshot", "change_kind").agg(F.sum(F.col("f") * F.col("r")).alias("n_both"), F.sum(F.col("f") * (1 - F.col("r"))).alias("n_unreported"), F.sum((1 - F.col("f")) * F.col("r")).alias("n_wrong"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_tables, p3_found, p3_by_month, p3_counts, p5_found, p5_fields, p5_reported)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_tables, p3_found, p3_by_month, p3_report, p3_counts, p5_found, p5_fields, p5_reported)}
 
-_CHANGES = f"""
-WITH {_HELD},
+_CHANGES = """
+WITH {held},
 numbers AS (SELECT DISTINCT snapshot_no FROM articles),
 pairs AS (SELECT a.snapshot_no AS old_snapshot, b.snapshot_no AS new_snapshot FROM numbers a JOIN numbers b ON b.snapshot_no = a.snapshot_no + 1),
 changes AS (
@@ -91,14 +98,19 @@ changes AS (
     WHERE NOT EXISTS (SELECT 1 FROM held n WHERE n.snapshot_no = p.new_snapshot AND n.cid = h.cid)
   UNION ALL
   SELECT p.old_snapshot, p.new_snapshot, o.cid, 'changed',
-    concat_ws(',', CASE WHEN o.section IS DISTINCT FROM n.section THEN 'x' END, CASE WHEN o.texteHtml IS DISTINCT FROM n.texteHtml THEN 'texteHtml' END)
+    concat_ws(',', CASE WHEN o.raw_section IS DISTINCT FROM n.raw_section THEN 'sectionParentId' END, CASE WHEN o.titre IS DISTINCT FROM n.titre THEN 'sectionParentTitre' END,
+      CASE WHEN o.texte IS DISTINCT FROM n.texte THEN 'texte' END, CASE WHEN o.texteHtml IS DISTINCT FROM n.texteHtml THEN 'texteHtml' END)
     FROM pairs p JOIN held o ON o.snapshot_no = p.old_snapshot JOIN held n ON n.snapshot_no = p.new_snapshot AND n.cid = o.cid
-    WHERE o.texteHtml IS DISTINCT FROM n.texteHtml
+    WHERE {compared}
 )"""
 
+_TEXT = _CHANGES.format(held=_HELD, compared="o.texteHtml IS DISTINCT FROM n.texteHtml")
+_FOUR = _CHANGES.format(held=_HELD, compared="(o.texteHtml, o.texte, o.titre, o.raw_section) IS DISTINCT FROM (n.texteHtml, n.texte, n.titre, n.raw_section)")
+
 SQL = {
-    "p5_found": _CHANGES + " SELECT old_snapshot, new_snapshot, cid, change_kind FROM changes",
-    "p5_reported": _CHANGES
+    "p5_fields": _FOUR + " SELECT old_snapshot, change_kind, fields, count(*) AS n_articles FROM changes GROUP BY 1, 2, 3",
+    "p5_found": _TEXT + " SELECT old_snapshot, new_snapshot, cid, change_kind FROM changes",
+    "p5_reported": _TEXT
     + """, reported AS (
   SELECT DISTINCT old_snapshot, change_kind, upper(trim(c, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) AS cid FROM (
     SELECT old_snapshot, 'added' AS change_kind, unnest(added) AS c FROM refresh_diffs
