@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def build(cpus: int | str = "*", shuffle: int = 8, name: str = "lexweave") -> SparkSession:
     """A local session with the settings the plans are written for (UTC, adaptive execution, Arrow)."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(shuffle))
@@ -22,6 +25,8 @@ def build(cpus: int | str = "*", shuffle: int = 8, name: str = "lexweave") -> Sp
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +57,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lexweave-{name}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per context, so that their Python workers find it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_lexweave_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="lexweave-"), "lexweave.zip")  # read by the driver's file server only
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(home.rglob("*.py")):
+            z.write(file, Path("lexweave") / file.relative_to(home))
+    context.addPyFile(path)
+    context._lexweave_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
