@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexweave import session
 
-RANK, ROUNDS, SAMPLE, SHARE = 64, 1, 2_000, 0.4
+RANK, ROUNDS, SAMPLE, SHARE = 48, 2, 2_000, 0.4
 #: A term stays in the vocabulary if it occurs this often per paragraph, and three times.
 LEAST = 1e-4
 #: Unevenness of the spread over subjects from which a term counts, from 0 (even) to 1 (one subject only).
