@@ -139,6 +139,24 @@ class Words:
     doc_of: np.ndarray
 
 
+SLOTS = 1 << 21
+_places_of: dict[bytes, np.ndarray] = {}
+
+
+def _places(vocabulary: np.ndarray) -> np.ndarray:
+    """Place in the vocabulary by the low bits of a number, 0 where no term has them; kept for the last vocabulary."""
+    key = vocabulary.tobytes()
+    if key not in _places_of:
+        _places_of.clear()
+        table = np.zeros(SLOTS, np.int32)
+        table[vocabulary & (SLOTS - 1)] = np.arange(len(vocabulary))
+        # a slot that the first term shares must not look empty
+        shared = np.flatnonzero((vocabulary & (SLOTS - 1)) == (vocabulary[0] & (SLOTS - 1)))
+        table[vocabulary[0] & (SLOTS - 1)] = shared[-1]
+        _places_of[key] = table
+    return _places_of[key]
+
+
 def lay_out(codes: list[bytes], vocabulary: np.ndarray) -> Words:
     """Reads encoded documents with the sorted numbers of the vocabulary."""
     parts = [np.frombuffer(c, np.int32) for c in codes]
@@ -155,7 +173,9 @@ def lay_out(codes: list[bytes], vocabulary: np.ndarray) -> Words:
     number, place = np.concatenate([flat[word], pairs]), np.concatenate([word, at])
     if not len(vocabulary):
         return Words(np.empty(0, np.int64), np.empty(0, np.int64), par[first], doc[word][first_p])
-    term = np.minimum(np.searchsorted(vocabulary, number), len(vocabulary) - 1)
+    term = _places(vocabulary)[number & (SLOTS - 1)]
+    odd = np.flatnonzero((vocabulary[term] != number) & (term != 0))  # another term has the slot: look it up
+    term[odd] = np.minimum(np.searchsorted(vocabulary, number[odd]), len(vocabulary) - 1)
     known = vocabulary[term] == number
     return Words(term[known], sent_of[place[known]], par[first], doc[word][first_p])
 
@@ -210,10 +230,11 @@ def _sums(table: np.ndarray, row: np.ndarray, group: np.ndarray, groups: int) ->
 def unevenness(counts: np.ndarray) -> np.ndarray:
     """1 minus the normalised entropy of each term's spread over subjects (terms x subjects), corrected for their sizes.
 
-    Terms seen in fewer than three paragraphs have 0. A little mass is added everywhere, so rare terms count for less.
+    Terms seen in fewer than three places have 0. A little mass is added everywhere, so rare terms count for less; a
+    subject of which little or nothing is known counts as a quarter of the average one.
     """
-    seen = counts.sum(1)
-    rate = (counts + 0.05) / np.maximum(counts.sum(0), 1) * max(counts.sum(), 1) / counts.shape[1]
+    seen, mean = counts.sum(1), max(counts.sum(), 1) / counts.shape[1]
+    rate = (counts + 0.05) * mean / np.maximum(counts.sum(0), mean / 4)
     share = rate / rate.sum(1, keepdims=True)
     entropy = -(share * np.log(share)).sum(1) / np.log(counts.shape[1])
     return np.where(seen >= 3, np.clip(1 - entropy, 0, 1), 0).astype(np.float32)
