@@ -227,6 +227,29 @@ def _sums(table: np.ndarray, row: np.ndarray, group: np.ndarray, groups: int) ->
     return out
 
 
+#: Terms whose sums are products of matrices, and paragraphs of one such product.
+FREQUENT, BLOCK = 512, 4096
+
+
+def _term_sums(z: np.ndarray, par: np.ndarray, term: np.ndarray, terms: int) -> np.ndarray:
+    """`_sums` of paragraph vectors by term. The most frequent terms, which stand in most places, are counted per block
+    of paragraphs and multiplied, which is faster than adding place by place."""
+    often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:FREQUENT]
+    place = np.full(terms, -1)
+    place[often] = np.arange(len(often))
+    dense = place[term] >= 0
+    out = _sums(z, par[~dense], term[~dense], terms)
+    par, row = par[dense], place[term[dense]]
+    order = np.argsort(par // BLOCK, kind="stable")
+    par, row = par[order], row[order]
+    ends = np.searchsorted(par // BLOCK, np.arange(-(-len(z) // BLOCK) + 1))
+    for low, i, j in zip(range(0, len(z), BLOCK), ends, ends[1:]):
+        block = z[low : low + BLOCK]
+        counts = np.bincount(row[i:j] * len(block) + par[i:j] - low, minlength=len(often) * len(block)).reshape(len(often), len(block))
+        out[often] += counts.astype(np.float32) @ block
+    return out
+
+
 def unevenness(counts: np.ndarray) -> np.ndarray:
     """1 minus the normalised entropy of each term's spread over subjects (terms x subjects), corrected for their sizes.
 
@@ -304,9 +327,7 @@ def gather(words: Words, model: Model) -> Sums:
     heavy = (weight > 0)[words.term]
     term, group = distinct_in(words.term[heavy], par[heavy], v)
     z = _unit(_sums(table, term, group, len(words.doc_of)))
-    spread = counts.max(1, initial=0) >= 0.5 * counts.sum(1)  # terms that are even over the subjects will have no weight
-    rare = known & spread[words.term]
-    sums = _sums(z, par[rare], words.term[rare], v)
+    sums = _term_sums(z, par[known], words.term[known], v)  # of every term: which will have weight, only the whole corpus tells
     cell = np.where(par_subject >= 0, languages_of(words, model.language) * s + par_subject, -1)
     set_ = np.flatnonzero(cell >= 0)
     return Sums(counts, sums, _sums(z, set_, cell[set_], len(LANGUAGES) * s))

@@ -52,6 +52,32 @@ def test_unevenness():
     assert u[0] > 0.9 and u[1] < 0.1 and u[2] == 0
 
 
+def test_sums_do_not_depend_on_batches():
+    """Every term of a paragraph with a subject adds to its row, however even it is in the batch."""
+    docs, truth = corpus(200)
+    rng = random.Random(5)
+    docs = [s.encode_text("\n\n".join(paragraph(rng, c).replace(".", " commun.") for c in sorted({c for d, c in truth if d == i}))).tobytes() for i, _ in docs]
+    flat = np.concatenate([np.frombuffer(d, np.int32) for d in docs])
+    vocabulary, n = np.unique(np.concatenate([flat[flat >= 0], s.pair_numbers(flat)[1]]), return_counts=True)
+    names = sorted(TERMS)
+    seeds = [(d, [names.index(c) for j, c in truth if j == i]) for i, d in enumerate(docs)]
+    model = s.first_model([x for x in seeds if x[1]], vocabulary, np.log(len(docs) * 9 / n).astype(np.float32), len(names), rank=8)
+    whole = s.gather(s.lay_out(docs, vocabulary), model)
+    at = np.searchsorted(vocabulary, s.code("commun"))
+    assert whole.counts[at].max() < 0.5 * whole.counts[at].sum() and np.abs(whole.terms[at]).sum() > 0
+    parts = [s.gather(s.lay_out(docs[i : i + 20], vocabulary), model) for i in range(0, len(docs), 20)]
+    assert np.allclose(sum(p.counts for p in parts), whole.counts)
+    assert np.allclose(sum(p.terms for p in parts), whole.terms, atol=1e-2)
+
+
+def test_term_sums_by_matrices():
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(2 * s.BLOCK + 5, 4)).astype(np.float32)
+    par, term = rng.integers(0, len(z), 50_000), rng.integers(0, 2 * s.FREQUENT, 50_000)
+    assert np.allclose(s._term_sums(z, par, term, 2 * s.FREQUENT), s._sums(z, par, term, 2 * s.FREQUENT), atol=1e-3)
+    assert s._term_sums(z[:0], par[:0], term[:0], 3).tolist() == np.zeros((3, 4)).tolist() and s._term_sums(z[:0], par[:0], term[:0], 0).shape == (0, 4)
+
+
 def test_subjects_are_found(spark):
     docs, truth = corpus()
     labels = [(d, c.upper() + " ") for d, c in truth if d % 4 == 0] + [(0, "unknown"), (None, "auto"), (3, None)]
