@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lexweave import session
 from lexweave.functions.html import TAG_JAVA
-from lexweave.functions.keys import digest
+from lexweave.functions.keys import digest, norm_key
 from lexweave.operators.snapshots import held
 
 # Letters that can't be told from a Latin one in print.
@@ -109,14 +109,31 @@ def with_form(rows: DataFrame, text: str, form: str, is_html: bool = False) -> D
 # --- the project's texts ---------------------------------------------------------------------------------------------
 
 
+def _marked_forms(rows: DataFrame) -> DataFrame:
+    """rows plus `_marked`, texteHtml with TAG_MARK for every tag, and `_form`, its skeleton."""
+    return with_form(rows.withColumn("_marked", F.regexp_replace("texteHtml", TAG_JAVA, TAG_MARK)), "_marked", "_form", is_html=True)
+
+
+def corpus_forms(articles: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(text_table, key, form) of every text of both tables in its consistent form, what stands between the tags of an
+    article; null stays null.
+
+    Articles have the key cid#snapshot, as in `article_twins`, and all that were delivered count, held or not. A key that
+    has several texts has a row for each; repeated rows count once.
+    """
+    a = articles.select(F.concat(norm_key("cid"), F.lit("#"), F.col("snapshot_no").cast("string")).alias("key"), "texteHtml").distinct()
+    c = with_form(chunks.select(F.col("chunk_id").alias("key"), "text").distinct(), "text", "form")
+    a = _marked_forms(a).select(F.lit("articles").alias("text_table"), "key", F.col("_form").alias("form"))
+    return a.unionByName(c.select(F.lit("fiche_chunks").alias("text_table"), "key", "form"))
+
+
 def article_forms(articles: DataFrame) -> DataFrame:
     """(snapshot_no, cid, original, form) of all held articles with a texteHtml, as digests of 128 bits: of the
     characters between the tags as they are, and of the skeleton with every tag as a blank.
 
     The texts are reduced to two digests where they are read; only these are shuffled.
     """
-    rows = articles.withColumn("_marked", F.regexp_replace("texteHtml", TAG_JAVA, TAG_MARK))
-    rows = with_form(rows, "_marked", "_form", is_html=True)
+    rows = _marked_forms(articles)
     payload = {"original": digest(F.replace("_marked", F.lit(TAG_MARK), F.lit(""))), "form": digest("_form")}
     return held(rows, payload).where("form IS NOT NULL").select("snapshot_no", "cid", "original", "form")
 

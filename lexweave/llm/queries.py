@@ -26,9 +26,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Every text of a fiche chunk in its consistent form."""
-    rows = read(spark, d, "fiche_chunks").select("chunk_id", "text").distinct()
-    return lookalike.with_form(rows, "text", "form").select("chunk_id", "form")
+    """Every text of an article or a fiche chunk in its consistent form."""
+    return lookalike.corpus_forms(read(spark, d, "articles"), read(spark, d, "fiche_chunks"))
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:

@@ -50,3 +50,11 @@ def test_articles(spark):
     rows = [(n, dt.date(2024, n, 1), t, c, "VIGUEUR", x[n - 1]) for c, x in texts.items() for n in (1, 2)] + [(3, dt.date(2024, 3, 1), t, "a", "ABROGE", "<p>l'été</p>"), (4, dt.date(2024, 4, 1), t, "a", "VIGUEUR", "<p>l'été</p>")]
     df = spark.createDataFrame(rows, "snapshot_no int, snapshot_date date, delivered_at timestamp, cid string, etat string, texteHtml string")
     assert sorted(r.key_a for r in k.article_twins(df).collect()) == ["A#1", "BLANK#1", "REF#1", "TABLE#1"]
+
+
+def test_forms_of_all_texts(spark):
+    articles = [(1, "a ", "<p>l’été</p><p>x&eacute;</p>"), (1, "A", "<p>l’été</p><p>x&eacute;</p>"), (1, "a", "<p>late</p>"), (2, "a", "<table><td>ｂ</td></table>"), (2, "old", "<p>abrogé</p>"), (3, "a", None)]
+    chunks = [("c", "l’été"), ("c", "l’été"), ("c", "a  b"), ("d", None)]
+    df = k.corpus_forms(spark.createDataFrame(articles, "snapshot_no int, cid string, texteHtml string"), spark.createDataFrame(chunks, "chunk_id string, text string"))
+    want = [("articles", "A#1", "l'été xé"), ("articles", "A#1", "late"), ("articles", "A#2", "b"), ("articles", "A#3", None), ("articles", "OLD#2", "abrogé"), ("fiche_chunks", "c", "a b"), ("fiche_chunks", "c", "l'été"), ("fiche_chunks", "d", None)]
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(want, key=repr) and df.columns == ["text_table", "key", "form"]

@@ -50,3 +50,10 @@ def test_articles_found_against_the_standard_parser(spark):
             if len(re.findall(r"[^ \t\n\r]+", "".join(reader.out))) > 512:
                 want.add(k)
     assert {r.item_key for r in queries.QUERIES["p1_found"](spark, DATA).where("item_kind = 'article'").collect()} == want
+
+
+def test_forms_of_both_tables(spark):
+    """p4_forms has a form for every text delivered."""
+    got = {(r.text_table, r.key) for r in queries.QUERIES["p4_forms"](spark, DATA).where("form IS NOT NULL").collect()}
+    want = {("articles", f"{r.cid.strip().upper()}#{r.snapshot_no}") for r in spark.read.parquet(f"{DATA}/articles.parquet").where("texteHtml IS NOT NULL").collect()}
+    assert got == want | {("fiche_chunks", r.chunk_id) for r in spark.read.parquet(f"{DATA}/fiche_chunks.parquet").where("text IS NOT NULL").collect()}
