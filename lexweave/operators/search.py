@@ -40,10 +40,13 @@ def similarity(points: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """(qid, id, register, score): per query at least its `limit` most similar points (id, register, vector) by cosine.
 
     Exact. Points and queries are hashed to blocks, each pair of blocks meets in one task, is multiplied as matrices, and
-    gives `limit` rows a query at most; no side is broadcast and none is collected. Vectors that are null, of another
-    length than the block's first or zero have no similarity and are left out. Limit ties are kept by id.
+    gives `limit` rows a query at most; no side is broadcast and none is collected. One width holds for the whole job,
+    the most frequent one of the points, the smaller among equals. Vectors that are null, of another width or zero have
+    no similarity and are left out. Limit ties are kept by id.
     """
-    n, m = points.count(), queries.count()
+    sizes = points.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.sum("n").alias("n"), F.min(F.when(F.col("w") > 0, F.struct(-F.col("n"), "w"))).alias("most")).first()
+    n, m, width = r["n"] or 0, queries.count(), r["most"][1] if r["most"] else 0
     pb, qb = max(1, -(-n // POINT_BLOCK)), max(1, -(-m // QUERY_BLOCK))
     # a few blocks more than needed, so that small tables still use the cores there are
     pb = max(pb, min(8, -(-n // 500))) or 1
@@ -54,12 +57,11 @@ def similarity(points: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return schema.empty_table()
-        width = len(a.column("vector")[0])
 
         def matrix(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
             lengths = np.array([len(x) if x.is_valid else -1 for x in t.column("vector")])
             t = t.filter(pa.array(lengths == width))
-            x = np.array(t.column("vector").to_pylist(), float).reshape(-1, width)
+            x = np.array(t.column("vector").to_pylist(), float).reshape(t.num_rows, width)
             norm = np.linalg.norm(x, axis=1)
             good = np.isfinite(norm) & (norm > 0)
             return t.filter(pa.array(good)), x[good] / norm[good, None]

@@ -30,6 +30,15 @@ def test_similarity_against_brute_force(spark, monkeypatch):
     assert s.dense_leg(points.limit(0), queries, "fiche").count() == 0 == s.dense_leg(points, queries.limit(0), "fiche").count()
 
 
+def test_similarity_of_mixed_widths(spark):
+    """A malformed vector that comes first in its block doesn't drop the others."""
+    good = [(i, "fiche", [1.0, float(i)]) for i in range(1, 6)]
+    points = spark.createDataFrame([(0, "fiche", [1.0]), (9, "fiche", []), *good], "id long, register string, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(7, [1.0]), (8, [0.0, 1.0])], "qid long, vector array<double>").coalesce(1)
+    assert rows(s.similarity(points, queries, 5).select("qid", "id")) == [(8, i) for i in range(1, 6)]
+    assert s.similarity(points.where("id = 9"), queries, 5).count() == 0
+
+
 def test_sparse_and_fusion(spark):
     post = spark.createDataFrame([(1, "fiche", 5, 0.5), (2, "fiche", 5, 0.2), (2, "fiche", 6, 1.0), (3, "fiche", 9, 9.0)], "id long, register string, token int, weight double")
     asked = spark.createDataFrame([(0, 5, 1.0), (0, 6, 0.1)], "qid long, token int, weight double")
