@@ -173,6 +173,7 @@ def _html_words_at_most(fragment: Column) -> Column:
     """The fragment with so many words that it has no fewer than after exact reading: whole tables go, a tag or a
     reference is a blank. What Java's simpler patterns leave standing only adds words."""
     hidden = F.contains(fragment, F.lit("<!--")) | fragment.rlike("=\\s*[\"'][^\"'>]*<")  # what looks like a table may be none
+    hidden = hidden | fragment.rlike("(?i)<table\\s[^<]*/[^/<>a-z0-9\"']*>")  # a table closed in its own tag, with a quoted ">" too
     bare = F.when(hidden, fragment).otherwise(F.regexp_replace(fragment, r"(?is)<table(?:\s[^<>]*)?>.*?</table\s*>", " "))
     bare = F.regexp_replace(bare, _TAG_AT_MOST, " ")
     return F.regexp_replace(bare, "&#?[0-9A-Za-z]+;?", " x ")

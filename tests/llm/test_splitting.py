@@ -52,6 +52,18 @@ def test_no_fragment_is_estimated_too_low(spark):
         assert n >= len(WORDS(s.read_html(t).replace("\x00", " "))), t
 
 
+def test_self_closed_tables_hide_nothing(spark):
+    from pyspark.sql import functions as F
+
+    tags = ["<table />", '<table class="x"/>', "<TABLE a=b / >", "<table a='1' /\u00a0>", '<table a=">" />', "<table\n/>"]
+    texts = [f"<p>a</p>{t} b c d<table><tr><td>no</td></tr></table> e" for t in tags]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.regexp_count(s._html_words_at_most(F.col("t")), F.lit("[^ \t\n\r]+")).alias("n"))
+    for t, n in df.collect():
+        assert n >= len(WORDS(s.read_html(t).replace("\x00", " "))) == 5, t
+    plain = spark.createDataFrame([('<table class="x/"><tr><td>a b c</td></tr></table>',)], "t string")
+    assert plain.select(F.regexp_count(s._html_words_at_most(F.col("t")), F.lit("[a-z]+"))).first()[0] == 0
+
+
 def test_texte_of_a_guide():
     xml = "<P><Introduction><Texte>no</Texte></Introduction><Texte><Paragraphe>a<!-- no -->b <MiseEnEvidence>c</MiseEnEvidence></Paragraphe><![CDATA[<d>]]></Texte></P>".encode()
     assert WORDS(s.read_texte(xml).replace("\x00", " ")) == ["ab", "c", "<d>"]
