@@ -8,9 +8,10 @@ from collections.abc import Iterator
 
 #: A tag, comment or declaration. An attribute value in quotes may hold "<" and ">"; a "<" that starts no complete tag is
 #: text. Outside quotes no tag reaches over another "<", so the search is linear.
-TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^<>]*>", re.S)
-#: The same for Java, without groups that could nest on the stack; it only differs where a quoted value holds ">".
-TAG_JAVA = r"(?s)<!--.*?-->|<[/!?a-zA-Z][^>]*>"
+TAG = re.compile(r"<!--.*?-->|<(/?)([a-zA-Z][^ \t\n\x0b\f\r/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^<>]*>", re.S)
+#: The same for Java, without groups that could nest on the stack: what follows the name is taken without going back,
+#: which changes nothing, since each of its parts starts with a character that none of the others starts with.
+TAG_JAVA = r"(?s)<!--.*?-->|</?[a-zA-Z][^\s/<>]*(?:\"[^\"]*\"|'[^']*'|[^'\"<>]++)*+>|<[!?][^<>]*>"
 #: Elements that limit a block of text.
 BLOCKS = frozenset(
     "p br li tr td th ul ol dl dt dd div table thead tbody tfoot caption h1 h2 h3 h4 h5 h6 hr section article header footer blockquote pre figure address form fieldset".split()
