@@ -1,10 +1,12 @@
 """Visually identical text with different characters: confusables skeletons.
 
 The skeleton of a text: decompose it, replace every character by its prototype in the look-alike table, decompose
-again. Here the prototypes are what a reader of the project's languages sees: letter case, accents, digits,
-superscripts, punctuation and wording stay apart, so an ASCII character is always its own prototype. Runs of blanks
-become one, characters without width or look vanish. The skeleton is written composed again, as one consistent form.
-Two texts look the same if and only if their skeletons are equal.
+again. The table is the public one of Unicode's security mechanisms (UTS 39), as the ICU library that Spark comes with
+has it, restricted to what a reader sees: letter case, accents, digits, superscripts, signs, punctuation and wording
+stay apart. So ASCII and Latin-1 characters are their own prototypes, a letter's prototype is never a digit or a sign,
+and capitals never have small prototypes. Runs of blanks become one, characters without width or look vanish. The
+skeleton is written composed again, as one consistent form. Two texts look the same if and only if their skeletons are
+equal.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import re
 import unicodedata
 from functools import cache
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave import session
@@ -22,23 +24,51 @@ from lexweave.functions.html import TAG_JAVA
 from lexweave.functions.keys import digest, norm_key
 from lexweave.operators.snapshots import held
 
-# Letters that can't be told from a Latin one in print.
-LATIN_TWINS = {
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ӏ": "l",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ϳ": "j", "օ": "o", "ս": "u", "ո": "n", "һ": "h", "ɡ": "g", "ɑ": "a",
-}
 # Shapes of the apostrophe and of the hyphen.
 APOSTROPHES = "‘’‛ʼʻʽˈ＇"
-HYPHENS = "‐‑﹣－"
+HYPHENS = "‐‑﹣－−"
 #: Bases whose characters are the ASCII ones in another shape, by compatibility decomposition.
 SHAPES = ("<wide>", "<font>", "<noBreak>", "<compat>")
 
 
+# Fixed value: a letter that the public table lacks.
+MISSING = {"Ԛ": "Q"}
+#: Letters as this library compares them: the public table has one prototype for "l", "I" and "1", and one for "O" and "0".
+_CAPITAL, _SMALL = {"l": "I"}, {"O": "o"}
+
+
+def letters(spark: SparkSession) -> dict[int, str]:
+    """Letters above Latin-1 and their prototypes, one letter each, from the public table (see `_letters`)."""
+    return _letters(spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton)
+
+
+def _letters(public) -> dict[int, str]:  # type: ignore[no-untyped-def]
+    """Letters (Lu, Ll, Lt, Lo) whose skeleton is one letter, by a function from text to the public skeleton.
+
+    A capital's prototype is no small letter, and the other way round, but for the stroke that the public table writes
+    "l": as a capital it is "I". A letter without case takes what the table says. Modifier letters, which are raised,
+    superscripts and subscripts, and the letters of Latin print up to U+017F keep their look; the dotless i is an i.
+    Letters that decompose need no prototype.
+    """
+    points = [c for c in range(0x100, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) in ("Lu", "Ll", "Lt", "Lo") and unicodedata.decomposition(chr(c)).startswith(("<compat>", "<font>")) | (not unicodedata.decomposition(chr(c)))]
+    table = {ord(k): v for k, v in MISSING.items()}
+    for c, form in zip(points, public("\n".join(map(chr, points))).split("\n")):
+        kind = unicodedata.category(chr(c))
+        if kind in ("Lu", "Lt"):
+            form = _CAPITAL.get(form, form)
+        elif kind == "Ll":
+            form = _SMALL.get(form, form)
+        if len(form) != 1 or ord(form) == c or (c <= 0x17F and c != 0x131):
+            continue
+        to = unicodedata.category(form)
+        if to[0] == "L" and to != "Lm" and not {kind.replace("Lt", "Lu"), to} == {"Lu", "Ll"}:
+            table[c] = form
+    return table
+
+
 @cache
-def prototypes() -> dict[int, str | None]:
-    """The look-alike table: code point -> prototype, None if it vanishes. Built from rules over all code points.
+def shapes() -> dict[int, str | None]:
+    """What is known without the public table: code point -> prototype, None if it vanishes.
 
     Wide and mathematical forms and ligatures have the prototype that their compatibility decomposition names, unless
     that is a superscript, subscript or fraction, which look different. Space separators are blanks. Format characters,
@@ -58,7 +88,6 @@ def prototypes() -> dict[int, str | None]:
             # spacing accents, ellipses, fractions and the like keep their own look; letters, digits and signs are shapes
             if form.startswith(("<wide>", "<font>")) or (0xFB00 <= code <= 0xFB06) or (0x2160 <= code <= 0x217F) or code in (0x2011,):
                 table[code] = letters
-    table |= {ord(k): v for k, v in LATIN_TWINS.items()}
     table |= {ord(c): "'" for c in APOSTROPHES} | {ord(c): "-" for c in HYPHENS}
     for code in range(0x09, 0x0E):
         table[code] = " "
@@ -67,12 +96,20 @@ def prototypes() -> dict[int, str | None]:
     return table
 
 
+def prototypes(spark: SparkSession) -> dict[int, str | None]:
+    """The look-alike table: code point -> prototype, None if it vanishes. Prototypes are their own prototypes."""
+    table = letters(spark) | shapes()
+    while later := {c: "".join(table.get(ord(x), x) or "" for x in p) for c, p in table.items() if p and any(ord(x) in table for x in p)}:
+        table |= later
+    return table
+
+
 _RUN = re.compile(" +")
 
 
-def skeleton(text: str) -> str:
+def skeleton(text: str, table: dict[int, str | None]) -> str:
     """The consistent form of a text: `prototypes` of its decomposition, decomposed again, then composed."""
-    text = unicodedata.normalize("NFD", text).translate(prototypes())
+    text = unicodedata.normalize("NFD", text).translate(table)
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", _RUN.sub(" ", text).strip(" ")))
 
 
@@ -91,10 +128,11 @@ def with_form(rows: DataFrame, text: str, form: str, is_html: bool = False) -> D
     Texts of plain characters are brought to form by built-in functions; only the others go through Arrow to Python.
     Each step is a column of its own, so that nothing is computed twice.
     """
+    table = prototypes(rows.sparkSession)
 
     @F.pandas_udf("string")
     def slow(batch):  # type: ignore[no-untyped-def]
-        read = (lambda x: skeleton(_html.unescape(x.replace(TAG_MARK, " ")))) if is_html else (lambda x: skeleton(x.replace(TAG_MARK, " ")))
+        read = (lambda x: skeleton(_html.unescape(x.replace(TAG_MARK, " ")), table)) if is_html else (lambda x: skeleton(x.replace(TAG_MARK, " "), table))
         return batch.map(read, na_action="ignore")
 
     odd = F.col(text).rlike(ODD)
@@ -146,24 +184,49 @@ def article_twins(articles: DataFrame) -> DataFrame:
     return both.select(F.concat_ws("#", "cid", "snapshot_no").alias("key_a"), F.concat_ws("#", "cid", F.col("snapshot_no") + 1).alias("key_b"))
 
 
-def twins(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs (key_a, key_b), key_a < key_b, of rows of different keys whose texts look the same but differ.
+def classes(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(form, original, key, n_keys, n_originals): one row per key and text, with its class `form`, the digest of the
+    skeleton; how many rows the class has and how many different originals, of which `original` is the digest.
 
-    Originals are grouped by equal skeleton. A group of copies of one text is counted before anything is paired: only
-    groups that hold two different originals go on, and exact copies are never paired with each other. Null texts or
-    keys are left out; a key that has several texts takes part with each; repeated rows count once. The digests are
-    written to the shared folder, since they are read three times.
+    Null texts or keys are left out; a key that has several texts has a row for each; repeated rows count once. Classes
+    of one original are copies of each other. The digests are written to the shared folder, since they are read twice.
     """
-    rows = with_form(texts.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k IS NOT NULL AND t IS NOT NULL"), "t", "f")
-    rows = session.cut(rows.select("k", digest("t").alias("original"), digest("f").alias("form")).distinct())
+    rows = with_form(texts.select(F.col(key).alias("key"), F.col(text).alias("t")).where("key IS NOT NULL AND t IS NOT NULL"), "t", "f")
+    rows = session.cut(rows.select("key", digest("t").alias("original"), digest("f").alias("form")).distinct())
     originals = rows.groupBy("form", "original").agg(F.count(F.lit(1)).alias("n"))
-    mixed = originals.groupBy("form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("form")
-    rows = rows.join(mixed, "form", "left_semi")
-    other = rows.select("form", F.col("k").alias("key_b"), F.col("original").alias("original_b"))
-    both = rows.withColumnRenamed("k", "key_a").join(other, "form").where("original <> original_b AND key_a < key_b")
-    return both.select("key_a", "key_b").distinct()
+    sizes = originals.groupBy("form").agg(F.sum("n").alias("n_keys"), F.count(F.lit(1)).alias("n_originals"))
+    return rows.join(sizes, "form").select("form", "original", "key", "n_keys", "n_originals")
+
+
+def representatives(members: DataFrame) -> DataFrame:
+    """(form, original_a, original_b, key_a, key_b, n_a, n_b): of every class with different originals the first one,
+    by digest, with each other one; `key_a` and `key_b` are the least keys and n_a, n_b the numbers of keys that have
+    them. With `classes` as membership these say all there is about who looks like whom, in as many rows as there are
+    originals.
+    """
+    held_by = members.where("n_originals > 1").groupBy("form", "original").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    first = held_by.groupBy("form").agg(F.min(F.struct("original", "key", "n")).alias("a"))
+    both = held_by.join(first, "form").where("original <> a.original")
+    return both.select("form", F.col("a.original").alias("original_a"), F.col("original").alias("original_b"), F.col("a.key").alias("key_a"), F.col("key").alias("key_b"), F.col("a.n").alias("n_a"), F.col("n").alias("n_b"))
+
+
+#: Rows of a class on one side of a task's share of its pairs, about.
+SHARE = 4096
+
+
+def twins(members: DataFrame) -> DataFrame:
+    """Pairs (key_a, key_b), key_a < key_b, of rows of different keys whose texts look the same but differ: `classes`
+    written out. Copies of one original are never paired with each other.
+
+    How many rows that gives is the data's matter (n_keys squared at most), so a class is divided among tasks: one side
+    is parted by a hash of its key into parts of about SHARE rows, the other goes to each part.
+    """
+    rows = members.where("n_originals > 1").withColumn("parts", F.ceil(F.col("n_keys") / SHARE).cast("int"))
+    a = rows.select("form", F.col("key").alias("key_a"), F.col("original").alias("original_a"), F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+    b = rows.select("form", F.col("key").alias("key_b"), F.col("original").alias("original_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return a.join(b, ["form", "part"]).where("original_a <> original_b AND key_a < key_b").select("key_a", "key_b").distinct()
 
 
 def corpus_twins(articles: DataFrame, chunks: DataFrame) -> DataFrame:
     a = article_twins(articles).select(F.lit("articles").alias("text_table"), "key_a", "key_b")
-    return a.unionByName(twins(chunks, "chunk_id", "text").select(F.lit("fiche_chunks").alias("text_table"), "key_a", "key_b"))
+    return a.unionByName(twins(classes(chunks, "chunk_id", "text")).select(F.lit("fiche_chunks").alias("text_table"), "key_a", "key_b"))

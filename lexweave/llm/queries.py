@@ -30,6 +30,17 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.corpus_forms(read(spark, d, "articles"), read(spark, d, "fiche_chunks"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiche chunk that looks like a different one: its class, and how many rows and originals the class has."""
+    return lookalike.classes(read(spark, d, "fiche_chunks"), "chunk_id", "text").where("n_originals > 1").select(F.hex("form").alias("class_id"), F.col("key").alias("chunk_id"), "n_keys", "n_originals")
+
+
+def p4_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of one chunk per different original of a class; `p4_classes` is the membership."""
+    members = lookalike.classes(read(spark, d, "fiche_chunks"), "chunk_id", "text")
+    return lookalike.representatives(members).select("key_a", "key_b", "n_a", "n_b")
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     """Containers of at most 2,048 tokens: which part of which document lies in which."""
     return packing.pack(packing.sized(read(spark, d, "documents")))
@@ -57,5 +68,5 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_found(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.count(F.lit(1)) / F.lit(max(n, 1)), 6).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_forms, p4_classes, p4_representatives, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_composition)}
 SQL: dict[str, str] = {}
