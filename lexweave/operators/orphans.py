@@ -1,11 +1,15 @@
-"""References to records that do not exist: keyed pending-orphan state, advanced batch by batch."""
+"""References to records that do not exist: keyed pending-orphan state, advanced batch by batch.
+
+The state holds, by key, the parents and the references that wait for one. A batch of events may bring references,
+parents and deletions of any date, also late ones; it gives the references that dangle from then on and those that no
+longer do.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -92,104 +96,137 @@ def _lifetimes(rows: DataFrame, space: str) -> DataFrame:
 
 # --- the state -----------------------------------------------------------------------------------------------------
 
+_REF = ("ref_table", "space", "record_key", "missing_key", "at")
+_KEY = ("space", "missing_key")
+#: Parts that the references of one key and date are divided into where they are matched.
+PARTS = 16
+
 
 @dataclass
-class Step:
-    """One advance: the state after it, and the (space, key, at) of the batch at which a key asked for has no parent."""
+class State:
+    """What is known after some batches, by key: `parents`, the index (space, key, at, delta) of how many parents come
+    or go on a date; `waiting`, the references (ref_table, space, record_key, missing_key, at) that have no parent on
+    their date; and `settled`, those that have one. A frame that isn't used is not computed."""
 
-    state: DataFrame
-    gone: DataFrame
+    parents: DataFrame
+    waiting: DataFrame
+    settled: DataFrame
 
 
-def _zeros(ref_tables: Sequence[str]) -> list[Column]:
-    return [F.lit(0).cast("long").alias(t) for t in ref_tables]
+@dataclass
+class Step:
+    """One advance: the state after it, and what changed: (ref_table, record_key, missing_key, at, change), plus one for
+    a reference that dangles now, minus one for a waiting one that a parent was found for."""
+
+    state: State
+    changes: DataFrame
 
 
-def empty_state(spark: SparkSession, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
-    """State before any batch: per key the parents that exist now and before the last batch, and per table the
-    references seen before it and in it.
+def _probe(refs: DataFrame, parents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(waiting, settled): distinct references without and with a parent in the index as of their date.
 
-    The references of a key wait while it has no parent. The state grows with the keys, not with the references, so a
-    key that a third of all references name is one row.
+    References are reduced to the dates on which a key is asked for, and a running sum over a key's distinct dates tells
+    how many parents it has then; what happens to a parent on a day counts before that day's references. So a key that
+    a third of all references name is a few rows there. Where references are matched with the dates without parent, each
+    date goes to PARTS parts.
     """
-    return spark.createDataFrame([], "space string, key string, open long, before long, " + ", ".join(f"old_{t} long, new_{t} long" for t in ref_tables))
+    asked = refs.groupBy(*_KEY, "at").agg(F.lit(0).cast("long").alias("delta"), F.lit(1).alias("asked"))
+    events = parents.select("space", F.col("key").alias("missing_key"), "at", F.col("delta").cast("long").alias("delta"), F.lit(0).alias("asked"))
+    timeline = asked.unionByName(events).groupBy(*_KEY, "at").agg(F.sum("delta").alias("delta"), F.max("asked").alias("asked"))
+    running = F.sum("delta").over(Window.partitionBy(*_KEY).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    gone = timeline.withColumn("open", running).where("asked = 1 AND open <= 0").select(*_KEY, "at", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    parted = refs.withColumn("_part", F.pmod(F.xxhash64("record_key"), F.lit(PARTS)).cast("int"))
+    return tuple(parted.join(gone, [*_KEY, "at", "_part"], how).drop("_part") for how in ("left_semi", "left_anti"))  # type: ignore[return-value]
+
+
+def advance(state: State | None, refs: DataFrame, parents: DataFrame) -> Step:
+    """Applies one batch of references and of parents' comings and goings, of any dates, to the state (None: empty).
+
+    New references probe the parent index as of their date. Arriving parents resolve the references that wait for them,
+    also those of earlier batches (a parent that arrives late retracts what was reported), deletions reopen settled
+    ones: all held references of the keys that the batch touches are probed again, the others stay as they are. So the
+    state after some batches doesn't depend on how events are divided among them or ordered. References that the state
+    holds already change nothing, those without key or date are none; a parent event counts as often as it comes.
+    """
+    refs = refs.select(*_REF).where("missing_key IS NOT NULL AND at IS NOT NULL").distinct()
+    parents = parents.where("key IS NOT NULL AND at IS NOT NULL").groupBy("space", "key", "at").agg(F.sum("delta").cast("long").alias("delta")).where("delta <> 0")
+    if state is None:
+        refs = session.cut(refs)
+        waiting, settled = _probe(refs, parents)
+        return Step(State(parents, waiting, settled), waiting.select("ref_table", "record_key", "missing_key", "at", F.lit(1).alias("change")))
+    parents = session.cut(parents)
+    touched = parents.select("space", F.col("key").alias("missing_key")).distinct()
+    held_ = state.waiting.withColumn("was", F.lit(1)).unionByName(state.settled.withColumn("was", F.lit(0)))
+    fresh = refs.join(held_, list(_REF), "left_anti").withColumn("was", F.lit(0))
+    asked = session.cut(fresh.unionByName(held_.join(touched, list(_KEY), "left_semi").select(*_REF, "was")))
+    index = state.parents.unionByName(parents.select(*state.parents.columns))
+    keys = asked.select("space", F.col("missing_key").alias("key")).distinct()
+    waiting, settled = _probe(asked, index.join(keys, ["space", "key"], "left_semi"))
+    changed = waiting.where("was = 0").withColumn("change", F.lit(1)).unionByName(settled.where("was = 1").withColumn("change", F.lit(-1)))
+    after = State(
+        index.groupBy("space", "key", "at").agg(F.sum("delta").alias("delta")).where("delta <> 0"),
+        state.waiting.join(touched, list(_KEY), "left_anti").select(*_REF).unionByName(waiting.select(*_REF)),
+        state.settled.join(touched, list(_KEY), "left_anti").select(*_REF).unionByName(settled.select(*_REF)),
+    )
+    return Step(after, changed.select("ref_table", "record_key", "missing_key", "at", "change"))
 
 
-def asked(refs: DataFrame, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
-    """References reduced to the dates on which a key is asked for: (space, key, at, delta, *one count per table)."""
-    counts = [F.sum(F.when(F.col("ref_table") == t, 1).otherwise(0)).alias(t) for t in ref_tables]
-    return refs.groupBy("space", F.col("missing_key").alias("key"), "at").agg(F.lit(0).cast("long").alias("delta"), *counts)
+def save(state: State, folder: str) -> None:
+    for name in ("parents", "waiting", "settled"):
+        getattr(state, name).write.mode("overwrite").parquet(f"{folder}/{name}")
 
 
-def happened(parents: DataFrame, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
-    """Lifetimes reduced to the change per key and date, in the same columns."""
-    return parents.groupBy("space", "key", "at").agg(F.sum("delta").cast("long").alias("delta")).select("space", "key", "at", "delta", *_zeros(ref_tables))
+def load(spark: SparkSession, folder: str) -> State:
+    return State(*(spark.read.parquet(f"{folder}/{name}") for name in ("parents", "waiting", "settled")))
 
 
-def advance(state: DataFrame, events: DataFrame, ref_tables: Sequence[str] = REF_TABLES) -> Step:
-    """Applies one batch of events (`asked` and `happened`, all later than the batches before) to the state.
+def counts(state: State, bounds: Sequence[dt.date], ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
+    """The periodic counts: (ref_table, until, arrived, resolved, reopened, pending) at the end of every period between
+    `bounds` (ends, exclusive; the last period is open).
 
-    New references probe the parents as of their date, where what happens to a parent on a day counts before that day's
-    references. Arriving parents resolve the references that wait for them, deletions reopen them. A running sum per key
-    over its distinct dates does this for all events of the batch; it starts from the parents the state holds. Both
-    results are written to the shared folder.
+    A reference waits at the end of a period if its key then has no parent, whatever it had on the reference's own date:
+    those that arrived in the period, the waiting ones that it resolved, those it reopened, and all that wait. Per key
+    and period with an event the change is taken, and the changes are summed over the periods.
     """
-    carried = state.select("space", "key", F.lit(ALWAYS).alias("at"), F.col("open").alias("delta"), *_zeros(ref_tables))
-    timeline = carried.unionByName(events).groupBy("space", "key", "at").agg(F.sum("delta").alias("delta"), *(F.sum(t).alias(t) for t in ref_tables))
-    some = sum((F.col(t) for t in ref_tables), F.lit(0)) > 0
-    running = F.sum("delta").over(Window.partitionBy("space", "key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    gone = session.cut(timeline.withColumn("open", running).where(some & (F.col("open") <= 0)).select("space", "key", "at"))
-    old = state.select("space", "key", F.col("open").alias("before"), F.lit(0).cast("long").alias("delta"), *((F.col(f"old_{t}") + F.col(f"new_{t}")).alias(f"old_{t}") for t in ref_tables), *(z.alias(f"new_{t}") for t, z in zip(ref_tables, _zeros(ref_tables))))
-    new = events.select("space", "key", F.lit(0).cast("long").alias("before"), "delta", *(z.alias(f"old_{t}") for t, z in zip(ref_tables, _zeros(ref_tables))), *(F.col(t).alias(f"new_{t}") for t in ref_tables))
-    after = old.unionByName(new).groupBy("space", "key").agg((F.sum("before") + F.sum("delta")).alias("open"), F.sum("before").alias("before"), *(F.sum(f"{x}_{t}").alias(f"{x}_{t}") for t in ref_tables for x in ("old", "new")))
-    return Step(session.cut(after), gone)
-
-
-def counts(state: DataFrame, until: dt.date, ref_tables: Sequence[str] = REF_TABLES) -> DataFrame:
-    """The periodic snapshot of a state: per table the references that arrived in its last batch, the waiting ones that
-    it resolved or reopened, and those that wait now."""
-    gone, was = F.col("open") <= 0, F.col("before") <= 0
+    ends = [*sorted(set(bounds)), None]
+    period = lambda c: F.size(F.filter(F.array(*map(F.lit, ends[:-1])).cast("array<date>"), lambda b: b <= c))
+    refs = state.waiting.unionByName(state.settled).groupBy("space", F.col("missing_key").alias("key"), period(F.col("at")).alias("p")).agg(F.lit(0).cast("long").alias("delta"), *(F.count(F.when(F.col("ref_table") == t, 1)).alias(t) for t in ref_tables))
+    events = state.parents.groupBy("space", "key", period(F.col("at")).alias("p")).agg(F.sum("delta").alias("delta"), *(F.lit(0).cast("long").alias(t) for t in ref_tables))
+    rows = refs.unionByName(events).groupBy("space", "key", "p").agg(F.sum("delta").alias("delta"), *(F.sum(t).alias(t) for t in ref_tables))
+    sofar = Window.partitionBy("space", "key").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("open", F.sum("delta").over(sofar))
+    for t in ref_tables:
+        rows = rows.withColumn(f"_{t}", F.sum(t).over(sofar))
+    gone, was = F.col("open") <= 0, F.col("open") - F.col("delta") <= 0
 
     def of(t: str) -> Column:
-        old, new = F.col(f"old_{t}"), F.col(f"new_{t}")
+        old, now = F.col(f"_{t}") - F.col(t), F.col(f"_{t}")
         return F.struct(
             F.lit(t).alias("ref_table"),
-            new.alias("arrived"),
+            F.col(t).alias("arrived"),
             F.when(was & ~gone, old).otherwise(0).alias("resolved"),
             F.when(~was & gone, old).otherwise(0).alias("reopened"),
-            F.when(gone, old + new).otherwise(0).alias("pending"),
+            (F.when(gone, now).otherwise(0) - F.when(was, old).otherwise(0)).alias("pending"),
         )
 
-    rows = state.select(F.explode(F.array(*map(of, ref_tables))).alias("c"))
-    return rows.groupBy("c.ref_table").agg(*(F.sum(f"c.{x}").alias(x) for x in ("arrived", "resolved", "reopened", "pending"))).withColumn("until", F.lit(until))
+    names = ("arrived", "resolved", "reopened", "pending")
+    changes = rows.select("p", F.explode(F.array(*map(of, ref_tables))).alias("c")).groupBy("c.ref_table", "p").agg(*(F.sum(f"c.{x}").alias(x) for x in names))
+    grid = state.waiting.sparkSession.createDataFrame([(t, p, end or dt.date(9999, 12, 31)) for t in ref_tables for p, end in enumerate(ends)], "ref_table string, p int, until date")
+    all_ = grid.join(changes, ["ref_table", "p"], "left").fillna(0, list(names))
+    before = Window.partitionBy("ref_table").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # a row per period
+    return all_.select("ref_table", "arrived", "resolved", "reopened", F.sum("pending").over(before).alias("pending"), "until")
 
 
 def run(parents: DataFrame, refs: DataFrame, bounds: Sequence[dt.date], ref_tables: Sequence[str] = REF_TABLES) -> tuple[DataFrame, DataFrame]:
-    """Advances from an empty state over the periods between `bounds` (ends, exclusive; the last period is open).
-
-    Returns the dangling references (ref_table, record_key, missing_key, at), each distinct reference once, and the
-    counts (ref_table, until, arrived, resolved, reopened, pending) at the end of every period. The result doesn't
-    depend on the bounds: an incremental run and one over everything agree. The references are joined once, with the
-    dates at which their keys have no parent, which are few; Spark broadcasts these if they are small enough.
-    """
-    refs = session.cut(refs.select("ref_table", "space", "record_key", "missing_key", "at").distinct())
-    events = session.cut(asked(refs, ref_tables).unionByName(happened(parents, ref_tables)))
-    state, steps, snapshots = empty_state(refs.sparkSession, ref_tables), [], []
-    ends = [*sorted(set(bounds)), None]
-    for low, high in zip([None, *ends], ends):
-        inside = (F.lit(True) if low is None else F.col("at") >= low) & (F.lit(True) if high is None else F.col("at") < high)
-        step = advance(state, events.where(inside), ref_tables)
-        state = step.state
-        steps.append(step.gone)
-        snapshots.append(counts(state, high or dt.date(9999, 12, 31), ref_tables))
-    gone = reduce(DataFrame.unionByName, steps).withColumnRenamed("key", "missing_key")
-    dangling = refs.join(gone, ["space", "missing_key", "at"], "left_semi").select("ref_table", "record_key", "missing_key", "at")
-    return dangling, reduce(DataFrame.unionByName, snapshots)
+    """All events as one batch: the dangling references (ref_table, record_key, missing_key, at), each distinct one once,
+    which are those that wait in the state, and the `counts` per period. Batches give the same (`advance`)."""
+    state = advance(None, refs, parents).state
+    return state.waiting.select("ref_table", "record_key", "missing_key", "at"), counts(state, bounds, ref_tables)
 
 
 def corpus_orphans(articles: DataFrame, sections: DataFrame, fiches: DataFrame, golden: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """`run` over the project's own references, one period per delivery of a snapshot."""
-    holding = held(articles, {"section": norm_key("sectionParentId")})
+    """`run` over the project's own references; a period of the counts ends with the date of each snapshot."""
+    holding = session.cut(held(articles, {"section": norm_key("sectionParentId")}))
     snapshots = [r[0] for r in articles.where("snapshot_date IS NOT NULL").select("snapshot_date").distinct().collect()]  # one row per snapshot
     refs = article_references(holding).unionByName(fiche_references(fiches)).unionByName(golden_references(golden))
     parents = section_lifetimes(sections).unionByName(article_lifetimes(holding, snapshots))

@@ -43,13 +43,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return dangling.select("ref_table", F.date_format("at", "yyyy-MM").alias("ref_month"), "record_key", "missing_key").distinct()
 
 
-def p3_by_month(spark: SparkSession, d: str) -> DataFrame:
-    """Dangling references per table and month; those of fiches, which SQL can't read, are in p3_found."""
-    dangling, _ = _orphans(spark, d)
-    months = dangling.where("ref_table <> 'fiches'").groupBy("ref_table", F.date_format("at", "yyyy-MM").alias("ref_month"))
-    return months.agg(F.count(F.lit(1)).alias("n_dangling"), F.countDistinct("missing_key").alias("n_missing"))
-
-
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """The report: dangling references of all tables per month, the keys that miss and the records that name them."""
     dangling, _ = _orphans(spark, d)
@@ -84,7 +77,7 @@ def p5_reported(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("old_snapshot", "change_kind").agg(F.sum(F.col("f") * F.col("r")).alias("n_both"), F.sum(F.col("f") * (1 - F.col("r"))).alias("n_unreported"), F.sum((1 - F.col("f")) * F.col("r")).alias("n_wrong"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_tables, p3_found, p3_by_month, p3_report, p3_counts, p5_found, p5_fields, p5_reported)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nodes, p2_tables, p3_found, p3_report, p3_counts, p5_found, p5_fields, p5_reported)}
 
 _CHANGES = """
 WITH {held},
@@ -119,18 +112,4 @@ SQL = {
 SELECT coalesce(f.old_snapshot, r.old_snapshot) AS old_snapshot, coalesce(f.change_kind, r.change_kind) AS change_kind,
        count(*) FILTER (f.cid IS NOT NULL AND r.cid IS NOT NULL) AS n_both, count(*) FILTER (r.cid IS NULL) AS n_unreported, count(*) FILTER (f.cid IS NULL) AS n_wrong
 FROM changes f FULL JOIN reported r ON f.old_snapshot = r.old_snapshot AND f.change_kind = r.change_kind AND f.cid = r.cid GROUP BY 1, 2""",
-    "p3_by_month": f"""
-WITH {_HELD},
-snaps AS (SELECT DISTINCT snapshot_date FROM articles),
-refs AS (
-  SELECT DISTINCT 'articles' AS ref_table, cid AS record_key, section AS missing_key, snapshot_date AS day FROM held WHERE section IS NOT NULL
-  UNION
-  SELECT DISTINCT 'golden_set', id, upper(trim(k, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))), annotated_at::DATE FROM (SELECT id, annotated_at, unnest(gold_articles) AS k FROM golden_set) WHERE trim(k) <> ''
-),
-dangling AS (
-  SELECT * FROM refs r WHERE CASE ref_table
-    WHEN 'articles' THEN NOT EXISTS (SELECT 1 FROM sections s WHERE upper(trim(s.section_id)) = r.missing_key AND s.valid_from <= r.day AND (s.valid_to IS NULL OR s.valid_to > r.day))
-    ELSE NOT EXISTS (SELECT 1 FROM held h WHERE h.cid = r.missing_key AND h.snapshot_date = (SELECT max(snapshot_date) FROM snaps WHERE snapshot_date <= r.day)) END
-)
-SELECT ref_table, strftime(day, '%Y-%m') AS ref_month, count(*) AS n_dangling, count(DISTINCT missing_key) AS n_missing FROM dangling GROUP BY 1, 2""",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +23,25 @@ def upsert_points(stream: DataFrame, folder: str, name: str, checkpoint: str, pr
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def orphan_stream(stream: DataFrame, folder: str, checkpoint: str, ref_tables: Sequence[str] = orphans.REF_TABLES) -> StreamingQuery:
-    """Advances the orphan state with every micro-batch of events (space, key, at, delta, *one count per table).
+def orphan_stream(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Advances the orphan state with every micro-batch of events (ref_table, space, record_key, missing_key, at, delta):
+    a row with ref_table is a reference, one with delta a parent that comes (plus) or goes (minus) with key missing_key.
 
-    The state of batch n lies in `folder`/state-n, what dangles in it in `folder`/gone-n; each batch reads the state of
-    the one before, so a batch that's run again writes the same.
+    The state after batch n lies in `folder`/state-n, what changed in it in `folder`/changes-n: references that dangle
+    now and, where a parent arrived late, those that no longer do. Each batch reads the state of the one before, so a
+    batch that's run again writes the same; a missing state is an error, not an empty one. A batch reads and writes the
+    whole state, so let triggers be far apart where it is large.
     """
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        state = spark.read.parquet(f"{folder}/state-{n - 1}") if index.Files(spark, folder).exists(f"state-{n - 1}") else orphans.empty_state(spark, ref_tables)
-        done = orphans.advance(state, batch, ref_tables)
-        done.gone.write.mode("overwrite").parquet(f"{folder}/gone-{n}")
-        done.state.write.mode("overwrite").parquet(f"{folder}/state-{n}")
+        if n and not index.Files(spark, folder).exists(f"state-{n - 1}/settled/_SUCCESS"):
+            raise FileNotFoundError(f"{folder}/state-{n - 1}: the state before batch {n} is missing")
+        refs = batch.where("ref_table IS NOT NULL")
+        parents = batch.where("ref_table IS NULL AND delta IS NOT NULL").select("space", F.col("missing_key").alias("key"), "at", "delta")
+        done = orphans.advance(orphans.load(spark, f"{folder}/state-{n - 1}") if n else None, refs, parents)
+        done.changes.write.mode("overwrite").parquet(f"{folder}/changes-{n}")
+        orphans.save(done.state, f"{folder}/state-{n}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -34,6 +34,27 @@ def test_state_resolves_and_reopens(spark):
     assert got == [(1, 0, 0, 1), (0, 1, 0, 0), (1, 0, 1, 2), (0, 2, 0, 0)]
 
 
+def test_batches_of_any_order_give_one_state(spark):
+    """References, parents and deletions in random batches, late ones among them, against one batch."""
+    rng = random.Random(8)
+    lives = [(f"k{rng.randrange(5)}", a := rng.randrange(40), rng.choice([None, a + rng.randrange(1, 20)])) for _ in range(10)]
+    refs = [(f"r{rng.randrange(20)}", f"k{rng.randrange(7)}", rng.randrange(60)) for _ in range(60)]
+    parents, asked = frames(spark, lives, refs)
+    want, _ = o.run(parents, asked, [])
+    p, r = parents.collect(), asked.collect()
+    rng.shuffle(p), rng.shuffle(r)
+    state, sofar = None, {}
+    for i in range(3):
+        step = o.advance(state, spark.createDataFrame(r[i::3], asked.schema), spark.createDataFrame(p[i::3], parents.schema))
+        for c in step.changes.collect():
+            key = tuple(c)[:-1]
+            sofar[key] = sofar.get(key, 0) + c.change
+            assert sofar[key] in (0, 1)
+        state = step.state
+    assert sorted((k for k, n in sofar.items() if n), key=repr) == rows(want) == rows(state.waiting.select(want.columns))
+    assert state.waiting.count() + state.settled.count() == asked.distinct().count()
+
+
 def test_a_day_of_change_counts_before_its_references(spark):
     dangling, _ = o.run(*frames(spark, [("a", 3, 5)], [("r", "a", 2), ("r", "a", 3), ("r", "a", 4), ("r", "a", 5)]), [])
     assert [r.at for r in dangling.orderBy("at").collect()] == [D(2), D(5)]

@@ -3,6 +3,7 @@ import json
 
 import pytest
 from conftest import rows
+from pyspark.sql import functions as F
 
 from lexweave import schemas
 from lexweave.operators import orphans
@@ -99,15 +100,37 @@ def test_streams(spark, tmp_path):
 
 
 def test_orphan_stream_equals_the_batch(spark, tmp_path):
+    """A parent of day 2 that arrives after its references, and one whose end arrives late."""
     day = lambda n: dt.date(2024, 1, n)
-    parents = spark.createDataFrame([("section", "a", day(2), 1), ("section", "a", day(4), -1)], "space string, key string, at date, delta int")
-    refs = spark.createDataFrame([("articles", "section", "r", "a", day(n)) for n in (1, 3, 5)], "ref_table string, space string, record_key string, missing_key string, at date")
-    events = orphans.asked(refs).unionByName(orphans.happened(parents))
+    refs = [("articles", "section", "r", k, day(n), None) for k in "ab" for n in (1, 3, 5)]
+    batches = [refs + [(None, "section", None, "b", day(1), 1)], [(None, "section", None, "a", day(2), 1)], [(None, "section", None, "a", day(4), -1), (None, "section", None, "b", day(5), -1), refs[0]]]
+    schema = "ref_table string, space string, record_key string, missing_key string, at date, delta int"
     src = tmp_path / "events"
-    for low, high in ((1, 3), (3, 6)):
-        events.where(f"day(at) >= {low} AND day(at) < {high}").coalesce(1).write.mode("append").parquet(str(src))
-        pipelines.orphan_stream(spark.readStream.schema(events.schema).parquet(str(src)), f"file://{tmp_path}/state", str(tmp_path / "cp")).awaitTermination()
-    gone = spark.read.parquet(f"file://{tmp_path}/state/gone-0").unionByName(spark.read.parquet(f"file://{tmp_path}/state/gone-1"))
-    assert rows(gone.select("at")) == [(day(1),), (day(5),)]
-    dangling, _ = orphans.run(parents, refs, [])
-    assert rows(dangling.select("at")) == rows(gone.select("at"))
+    for batch in batches:
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(src))
+        pipelines.orphan_stream(spark.readStream.schema(schema).parquet(str(src)), f"file://{tmp_path}/state", str(tmp_path / "cp")).awaitTermination()
+    changes = [rows(spark.read.parquet(f"file://{tmp_path}/state/changes-{n}").select("missing_key", "at", "change")) for n in range(3)]
+    assert changes == [[("a", day(n), 1) for n in (1, 3, 5)], [("a", day(3), -1), ("a", day(5), -1)], [("a", day(5), 1), ("b", day(5), 1)]]
+    events = spark.createDataFrame([r for b in batches for r in b], schema)
+    dangling, counts = orphans.run(events.where("delta IS NOT NULL").select("space", F.col("missing_key").alias("key"), "at", "delta"), events.where("ref_table IS NOT NULL"), [day(4)])
+    state = orphans.load(spark, f"file://{tmp_path}/state/state-2")
+    assert rows(dangling.select("missing_key", "at")) == rows(state.waiting.select("missing_key", "at")) == [("a", day(1)), ("a", day(5)), ("b", day(5))]
+    assert rows(counts) == rows(orphans.counts(state, [day(4)]))
+
+
+def test_orphan_stream_needs_the_state_before(spark, tmp_path):
+    import shutil
+
+    from pyspark.errors import StreamingQueryException
+
+    schema = "ref_table string, space string, record_key string, missing_key string, at date, delta int"
+    src = tmp_path / "events"
+    for n in (1, 2):
+        spark.createDataFrame([("articles", "section", "r", "a", dt.date(2024, 1, n), None)], schema).coalesce(1).write.mode("append").parquet(str(src))
+        run = pipelines.orphan_stream(spark.readStream.schema(schema).parquet(str(src)), f"file://{tmp_path}/state", str(tmp_path / "cp"))
+        if n == 1:
+            run.awaitTermination()
+            shutil.rmtree(tmp_path / "state" / "state-0")
+        else:
+            with pytest.raises(StreamingQueryException, match="missing"):
+                run.awaitTermination()
