@@ -7,9 +7,12 @@ rounded to SCORE_DIGITS before they order anything, and ids break ties, so every
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,55 +35,108 @@ def top(rows: DataFrame, limit: int, *order: Column) -> DataFrame:
 
 
 def _pool(rows: DataFrame, limit: int, provenance: str = "search") -> DataFrame:
+    """Pools of the best `limit` rows of each register per query, from one window."""
     rows = rows.withColumn("score", F.round("score", SCORE_DIGITS))
-    return top(rows, limit, F.desc("score"), F.asc("id")).withColumn("provenance", F.array(F.lit(provenance))).select(*CANDIDATES)
+    order = Window.partitionBy("qid", "register").orderBy(F.desc("score"), F.asc("id"))
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return ranked.withColumn("provenance", F.array(F.lit(provenance))).select(*CANDIDATES)
 
 
-def similarity(points: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """(qid, id, register, score): per query at least its `limit` most similar points (id, register, vector) by cosine.
+@dataclass
+class Shape:
+    """Sizes that a similarity join is planned by: points, queries, and the width of vectors."""
 
-    Exact. Points and queries are hashed to blocks, each pair of blocks meets in one task, is multiplied as matrices, and
-    gives `limit` rows a query at most; no side is broadcast and none is collected. One width holds for the whole job,
-    the most frequent one of the points, the smaller among equals. Vectors that are null, of another width or zero have
-    no similarity and are left out. Limit ties are kept by id.
+    points: int
+    queries: int
+    width: int
+
+
+def shape_of(points: DataFrame, queries: DataFrame) -> Shape:
+    """One width holds for the whole job, the most frequent one of the points, the smaller among equals. One pass."""
+    both = points.select(F.size("vector").alias("w"), F.lit(0).alias("q")).unionByName(queries.select(F.size("vector").alias("w"), F.lit(1).alias("q")))
+    sizes = both.groupBy("q", "w").agg(F.count(F.lit(1)).alias("n"))
+    r = sizes.agg(F.sum(F.when(F.col("q") == 0, F.col("n"))).alias("n"), F.sum(F.when(F.col("q") == 1, F.col("n"))).alias("m"), F.min(F.when((F.col("q") == 0) & (F.col("w") > 0), F.struct(-F.col("n"), "w"))).alias("most")).first()
+    return Shape(r["n"] or 0, r["m"] or 0, r["most"][1] if r["most"] else 0)
+
+
+def _matrix(t: pa.Table, width: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows of a table with a finite vector of this width that isn't zero, and the vectors, without Python objects."""
+    t = t.filter(pc.fill_null(pc.equal(pc.list_value_length(t.column("vector")), width), False)).combine_chunks()
+    x = np.zeros((0, width)) if not t.num_rows else pc.list_flatten(t.column("vector")).to_numpy().reshape(-1, width)
+    good = np.isfinite(x).all(1) & (x != 0).any(1)
+    return (t, x) if good.all() else (t.filter(pa.array(good)), x[good])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _best(qs: np.ndarray, ids: np.ndarray, scores: np.ndarray, limit: int) -> np.ndarray:
+    """Places of the `limit` best entries of every query, by score and then id."""
+    order = np.lexsort((ids, -scores, qs))
+    q = qs[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else q
+    return order[np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q))) < limit]
+
+
+#: Points that are multiplied with a block of queries at once.
+CHUNK = 4096
+
+
+def similarity(points: DataFrame, queries: DataFrame, limit: int, shape: Shape | None = None, within: str | None = None) -> DataFrame:
+    """(qid, id, register, score): per query and register at least its `limit` most similar points by cosine.
+
+    points: (id, register, vector), queries: (qid, vector); ids and qids are numbers or texts. Exact. Points and queries
+    are hashed to blocks, each pair of blocks meets in one task, is multiplied as matrices, and gives `limit` rows a
+    query and register at most; no side is broadcast and none is collected. With `within`, a column of both sides, a
+    query meets only the points of its own group (it may have rows in several); a large group is several blocks.
+    Vectors that are null, not finite, of another width than the `shape`'s or zero have no similarity and are left out.
     """
-    sizes = points.groupBy(F.size("vector").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    r = sizes.agg(F.sum("n").alias("n"), F.min(F.when(F.col("w") > 0, F.struct(-F.col("n"), "w"))).alias("most")).first()
-    n, m, width = r["n"] or 0, queries.count(), r["most"][1] if r["most"] else 0
-    pb, qb = max(1, -(-n // POINT_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    # a few blocks more than needed, so that small tables still use the cores there are
-    pb = max(pb, min(8, -(-n // 500))) or 1
-    left = points.where("vector IS NOT NULL").select("id", "register", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("id"), F.lit(pb)).alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    right = queries.where("vector IS NOT NULL").select("qid", F.col("vector").cast("array<double>").alias("vector"), F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pb - 1).cast("long"))).alias("pb"))
-    schema = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("register", pa.string()), ("score", pa.float64())])
+    shape = shape or shape_of(points, queries)
+    qb = max(1, -(-shape.queries // QUERY_BLOCK))
+    many = lambda n: F.greatest(F.ceil(n / POINT_BLOCK), F.lit(1)).cast("int")
+    left, right = points.where("vector IS NOT NULL"), queries.where("vector IS NOT NULL")
+    keys = ["g", "pb", "qb"]
+    if within is None:
+        # a few blocks more than needed, so that small tables still use the cores there are
+        blocks = F.lit(max(-(-shape.points // POINT_BLOCK), min(8, -(-shape.points // 500)), 1))
+        left, right = left.withColumn("g", F.lit(0)), right.withColumn("g", F.lit(0)).withColumn("blocks", blocks)
+        left = left.withColumn("blocks", blocks)
+    else:
+        sizes = left.where(F.col(within).isNotNull()).groupBy(F.col(within).alias("g")).agg(many(F.count(F.lit(1))).alias("blocks"))
+        left = left.withColumn("g", F.col(within)).join(sizes, "g")
+        right = right.withColumn("g", F.col(within)).join(sizes, "g")
+    left = left.select("g", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), "id", "register", "vector")
+    right = right.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("pb"), F.pmod(F.xxhash64("qid"), F.lit(qb)).cast("int").alias("qb"), "qid", "vector")
+    width = shape.width
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return schema.empty_table()
-
-        def matrix(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
-            lengths = np.array([len(x) if x.is_valid else -1 for x in t.column("vector")])
-            t = t.filter(pa.array(lengths == width))
-            x = np.array(t.column("vector").to_pylist(), float).reshape(t.num_rows, width)
-            norm = np.linalg.norm(x, axis=1)
-            good = np.isfinite(norm) & (norm > 0)
-            return t.filter(pa.array(good)), x[good] / norm[good, None]
-
-        (a, x), (b, y) = matrix(a), matrix(b)
-        ids, regs, qids = a.column("id").to_numpy(), np.array(a.column("register").to_pylist(), object), b.column("qid").to_numpy()
-        out: list[tuple[np.ndarray, ...]] = []
-        for low in range(0, len(y), 256):
-            scores = np.round(y[low : low + 256] @ x.T, SCORE_DIGITS)
-            for q, row in zip(qids[low : low + 256], scores):
-                for r in dict.fromkeys(regs.tolist()):
-                    of = np.flatnonzero(regs == r)
-                    best = of[np.lexsort((ids[of], -row[of]))[:limit]]
-                    out.append((np.full(len(best), q), ids[best], regs[best], row[best]))
-        if not out:
-            return schema.empty_table()
-        return pa.table([pa.array(np.concatenate([o[i] for o in out]), f.type) for i, f in enumerate(schema)], schema=schema)
-
-    return left.groupBy("pb", "qb").cogroup(right.groupBy("pb", "qb")).applyInArrow(cell, "qid long, id long, register string, score double")
+        a, x = _matrix(a, width)
+        b, y = _matrix(b, width)
+        ids, qids = a.column("id").combine_chunks(), b.column("qid").combine_chunks()
+        found = []
+        if len(x) and len(y):
+            y, place = _unit(y), np.empty(len(x), np.int64)
+            place[pc.array_sort_indices(ids).to_numpy()] = np.arange(len(x))  # ids in order, whatever their type
+            register = a.column("register").combine_chunks().dictionary_encode()
+            kinds = register.indices.fill_null(-1).to_numpy()
+            for kind in np.unique(kinds):
+                of = np.flatnonzero(kinds == kind)
+                for low in range(0, len(of), CHUNK):
+                    some = of[low : low + CHUNK]
+                    scores = np.round(y @ _unit(x[some]).T, SCORE_DIGITS)
+                    k = min(limit, len(some))
+                    q, p = np.nonzero(scores >= np.partition(scores, len(some) - k, axis=1)[:, len(some) - k, None])
+                    part = q, some[p], scores[q, p]
+                    best = _best(part[0], place[part[1]], part[2], limit)
+                    found.append(tuple(c[best] for c in part))
+        q, p, s = (np.concatenate([f[i] for f in found]) if found else np.empty(0, (np.int64, np.int64, float)[i]) for i in range(3))
+        names = ["qid", "id", "register", "score"]
+        return pa.table([qids.take(pa.array(q)), ids.take(pa.array(p)), a.column("register").combine_chunks().take(pa.array(p)), pa.array(s, pa.float64())], names=names)
+
+    kinds = dict(points.dtypes)["id"], dict(queries.dtypes)["qid"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, f"qid {kinds[1]}, id {kinds[0]}, register string, score double")
 
 
 def dense_leg(points: DataFrame, queries: DataFrame, register: str, limit: int = LEG_LIMIT) -> DataFrame:
@@ -88,35 +144,61 @@ def dense_leg(points: DataFrame, queries: DataFrame, register: str, limit: int =
     return _pool(similarity(points.where(F.col("register") == register), queries, limit), limit)
 
 
-def sparse_leg(postings: DataFrame, query_postings: DataFrame, register: str, limit: int = LEG_LIMIT) -> DataFrame:
+def dense_legs(points: DataFrame, queries: DataFrame, limit: int = LEG_LIMIT, shape: Shape | None = None) -> DataFrame:
+    """The legs of all registers, from one similarity join and one window."""
+    return _pool(similarity(points, queries, limit, shape), limit)
+
+
+#: Parts that the postings of one token are divided into where they meet the queries'.
+TOKEN_PARTS = 8
+
+
+def sparse_legs(postings: DataFrame, query_postings: DataFrame, limit: int = LEG_LIMIT) -> DataFrame:
     """Points by sparse dot product. postings: (id, register, token, weight), query_postings: (qid, token, weight).
 
-    Points that share no token with the query aren't candidates.
+    Points that share no token with the query aren't candidates. A frequent token's postings are divided by a hash of
+    the point into TOKEN_PARTS, each of which meets all queries that hold the token; products of one point are summed
+    where they arise before they are shuffled.
     """
-    q = query_postings.select("qid", "token", F.col("weight").alias("w"))
-    rows = postings.where(F.col("register") == register).join(q, "token").groupBy("qid", "id", "register").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
+    q = query_postings.select("qid", "token", F.col("weight").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(TOKEN_PARTS - 1))).alias("part"))
+    p = postings.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(TOKEN_PARTS)).cast("int"))
+    rows = p.join(q, ["token", "part"]).groupBy("qid", "id", "register").agg(F.sum(F.col("weight") * F.col("w")).alias("score"))
     return _pool(rows, limit)
 
 
-def fuse(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float], limit: int = LEG_LIMIT) -> DataFrame:
-    """Weighted sum of two pools' scores; a candidate missing on one side counts nought there. One shuffle."""
-    both = dense.withColumn("w", F.lit(weights[0])).unionByName(sparse.withColumn("w", F.lit(weights[1])))
-    rows = both.groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("score")).alias("score"), F.first("register").alias("register"))
+def sparse_leg(postings: DataFrame, query_postings: DataFrame, register: str, limit: int = LEG_LIMIT) -> DataFrame:
+    """`sparse_legs` of one register."""
+    return sparse_legs(postings.where(F.col("register") == register), query_postings, limit)
+
+
+def fuse(dense: DataFrame, sparse: DataFrame, weights: tuple[float, float] | dict[str, tuple[float, float]], limit: int = LEG_LIMIT) -> DataFrame:
+    """Weighted sum of two pools' scores; a candidate missing on one side counts nought there. One shuffle.
+
+    weights: (dense, sparse), or such a pair by register.
+    """
+
+    def weight(side: int) -> Column:
+        if not isinstance(weights, dict):
+            return F.lit(weights[side])
+        return reduce(lambda c, r: c.when(F.col("register") == r, weights[r][side]), weights, F)
+
+    both = dense.withColumn("w", weight(0)).unionByName(sparse.withColumn("w", weight(1)))
+    rows = both.groupBy("qid", "id", "register").agg(F.sum(F.col("w") * F.col("score")).alias("score"))
     return _pool(rows, limit)
 
 
-def expand(fiche_pool: DataFrame, fiche_sections: DataFrame, articles: DataFrame, queries: DataFrame, depth: int = EXPANSION_DEPTH, cap: int = EXPANSION_CAP) -> DataFrame:
+def expand(fiche_pool: DataFrame, fiche_sections: DataFrame, articles: DataFrame, queries: DataFrame, depth: int = EXPANSION_DEPTH, cap: int = EXPANSION_CAP, shape: Shape | None = None) -> DataFrame:
     """Articles of the sections that the first `depth` fiche candidates name, by similarity, `cap` at most.
 
     fiche_sections: (id, section_ids), articles: (id, section_id, vector). The sections gate, similarity orders; a query
-    whose fiches name no section has no row.
+    whose fiches name no section has no row. It's the similarity join with the section as group, so a section that holds
+    a tenth of all articles is several blocks, and a query gives `cap` rows a block.
     """
     wanted = fiche_pool.where(F.col("rank") <= depth).join(fiche_sections, "id").select("qid", F.explode("section_ids").alias("section_id")).distinct()
-    pairs = wanted.join(articles, "section_id").join(queries.select("qid", F.col("vector").alias("q")), "qid")
-    dot = lambda a, b: F.aggregate(F.zip_with(a.cast("array<double>"), b.cast("array<double>"), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    a, q = F.col("vector"), F.col("q")
-    rows = pairs.select("qid", "id", F.lit("article").alias("register"), (dot(a, q) / F.sqrt(dot(a, a) * dot(q, q))).alias("score"))
-    return _pool(rows.where("score IS NOT NULL"), cap, "expansion")
+    asked = wanted.where("section_id IS NOT NULL").join(queries.select("qid", "vector"), "qid")
+    points = articles.select("id", F.lit("article").alias("register"), "section_id", "vector")
+    rows = similarity(points, asked, cap, shape, within="section_id").groupBy("qid", "id", "register").agg(F.max("score").alias("score"))
+    return _pool(rows, cap, "expansion")
 
 
 def merge(*pools: DataFrame) -> DataFrame:
@@ -153,13 +235,15 @@ def quota(candidates: DataFrame, qids: DataFrame, fiches: int = FICHE_QUOTA, art
     An article must reach the floor with its own score; expansion gives it `margin` in the order only. A query without
     any such article gets the marker row. Equal scores keep the merged order.
     """
-    f = top(candidates.where("register = 'fiche'").withColumnRenamed("rank", "old"), fiches, F.desc("score"), F.asc("old"))
-    bonus = F.round(F.col("score") + F.when(F.array_contains("provenance", "expansion"), margin).otherwise(0.0), SCORE_DIGITS)
-    a = top(candidates.where("register = 'article'").where(F.col("score") >= floor).withColumn("order", bonus).withColumnRenamed("rank", "old"), articles, F.desc("order"), F.asc("old"))
-    none = qids.select("qid").distinct().join(a.select("qid").distinct(), "qid", "left_anti")
+    article = F.col("register") == "article"
+    own = candidates.where((F.col("register") == "fiche") | (article & (F.col("score") >= floor)))
+    bonus = F.when(article & F.array_contains("provenance", "expansion"), margin).otherwise(0.0)
+    order = Window.partitionBy("qid", "register").orderBy(F.round(F.col("score") + bonus, SCORE_DIGITS).desc(), F.asc("old"))
+    kept = own.withColumnRenamed("rank", "old").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.when(article, articles).otherwise(fiches))
+    none = qids.select("qid").distinct().join(kept.where(article).select("qid").distinct(), "qid", "left_anti")
     id_type = dict(candidates.dtypes)["id"]
     marker = none.select("qid", F.lit(1).alias("rank"), F.lit(None).cast(id_type).alias("id"), F.lit(0.0).alias("score"), F.lit(MARKER).alias("register"), F.array().cast("array<string>").alias("provenance"))
-    rows = f.select(*CANDIDATES, F.lit(0).alias("part")).unionByName(a.select(*CANDIDATES, F.lit(1).alias("part"))).unionByName(marker.withColumn("part", F.lit(1)))
+    rows = kept.select(*CANDIDATES, F.when(article, 1).otherwise(0).alias("part")).unionByName(marker.withColumn("part", F.lit(1)))
     return rows.withColumn("slot", F.row_number().over(Window.partitionBy("qid").orderBy("part", "rank"))).select("qid", "slot", "id", "score", "register", "provenance")
 
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexweave.operators import search
+from lexweave.session import cut
 
 
 @dataclass
@@ -24,34 +26,50 @@ class Index:
     query_postings: DataFrame | None = None
     fiche_sections: DataFrame | None = None
     score: Callable[[DataFrame], DataFrame] | None = None
+    known: search.Shape | None = None
 
+    def shape(self) -> search.Shape:
+        """Sizes of points and queries, counted once."""
+        self.known = self.known or search.shape_of(self.points, self.queries)
+        return self.known
 
-def _dense(x: Index) -> tuple[DataFrame, DataFrame]:
-    """Both dense legs from one similarity join."""
-    rows = search.similarity(x.points, x.queries, search.LEG_LIMIT)
-    return tuple(search._pool(rows.where(f"register = '{r}'"), search.LEG_LIMIT) for r in ("fiche", "article"))  # type: ignore[return-value]
 
+REGISTERS = ("fiche", "article")
+WEIGHTS = {"fiche": search.FICHE_WEIGHTS, "article": search.ARTICLE_WEIGHTS}
 
-def _hybrid(x: Index) -> tuple[DataFrame, DataFrame]:
-    dense = _dense(x)
-    sparse = (search.sparse_leg(x.postings, x.query_postings, r) for r in ("fiche", "article"))
-    return tuple(search.fuse(d, s, w) for d, s, w in zip(dense, sparse, (search.FICHE_WEIGHTS, search.ARTICLE_WEIGHTS)))  # type: ignore[return-value]
+
+def _dense(x: Index) -> DataFrame:
+    """Both dense legs, from one similarity join; written once, since they are read several times."""
+    return cut(search.dense_legs(x.points, x.queries, shape=x.shape()))
+
+
+def _hybrid(x: Index) -> DataFrame:
+    return cut(search.fuse(search.dense_legs(x.points, x.queries, shape=x.shape()), search.sparse_legs(x.postings, x.query_postings), WEIGHTS))
+
+
+def _by_register(pool: DataFrame) -> list[DataFrame]:
+    return [pool.where(F.col("register") == r) for r in REGISTERS]
 
 
 def _expanded(x: Index) -> DataFrame:
-    fiches, articles = _hybrid(x)
-    expansion = search.expand(fiches, x.fiche_sections, x.points.where("register = 'article'").select("id", "section_id", "vector"), x.queries)
-    return search.merge(fiches, articles, expansion)
+    """The merged pool of hybrid legs and expansion; written once."""
+    fiches, articles = _by_register(_hybrid(x))
+    expansion = search.expand(fiches, x.fiche_sections, x.points.where("register = 'article'").select("id", "section_id", "vector"), x.queries, shape=x.shape())
+    return cut(search.merge(fiches, articles, expansion))
+
+
+def _rescored(x: Index) -> DataFrame:
+    return cut(search.rescore(_expanded(x), x.score))
 
 
 def rung1(x: Index) -> DataFrame:
     """Dense legs of both registers, merged, the best of all."""
-    return search.rank(search.merge(*_dense(x)))
+    return search.rank(search.merge(*_by_register(_dense(x))))
 
 
 def rung2(x: Index) -> DataFrame:
     """Hybrid legs."""
-    return search.rank(search.merge(*_hybrid(x)))
+    return search.rank(search.merge(*_by_register(_hybrid(x))))
 
 
 def rung3(x: Index) -> DataFrame:
@@ -66,7 +84,7 @@ def rung4(x: Index) -> DataFrame:
 
 def rung5(x: Index) -> DataFrame:
     """The rescored pool under the register quota; `rank` is the slot."""
-    rows = search.quota(search.rescore(_expanded(x), x.score), x.queries)
+    rows = search.quota(_rescored(x), x.queries)
     return rows.withColumnRenamed("slot", "rank").select(*search.CANDIDATES)
 
 

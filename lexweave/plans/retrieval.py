@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.text import sigmoid
 from lexweave.operators import metrics, search
-from lexweave.plans.arms import ARMS, Index, _dense, _expanded, _hybrid
+from lexweave.plans.arms import ARMS, Index, _by_register, _dense, _expanded, _hybrid
 from lexweave.session import cut, read
 
 
@@ -38,23 +38,21 @@ def _flat(rows: DataFrame) -> DataFrame:
 
 
 def dense_topk(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _dense(index(spark, d))
-    return _flat(a.unionByName(b))
+    return _flat(_dense(index(spark, d)))
 
 
 def sparse_topk(spark: SparkSession, d: str) -> DataFrame:
     x = index(spark, d)
-    return _flat(search.sparse_leg(x.postings, x.query_postings, "fiche").unionByName(search.sparse_leg(x.postings, x.query_postings, "article")))
+    return _flat(search.sparse_legs(x.postings, x.query_postings))
 
 
 def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _hybrid(index(spark, d))
-    return _flat(a.unionByName(b))
+    return _flat(_hybrid(index(spark, d)))
 
 
 def section_expansion(spark: SparkSession, d: str) -> DataFrame:
     x = index(spark, d)
-    return _flat(search.expand(_hybrid(x)[0], x.fiche_sections, x.points.where("register = 'article'").select("id", "section_id", "vector"), x.queries))
+    return _flat(search.expand(_hybrid(x).where("register = 'fiche'"), x.fiche_sections, x.points.where("register = 'article'").select("id", "section_id", "vector"), x.queries, shape=x.shape()))
 
 
 def merged_pool(spark: SparkSession, d: str) -> DataFrame:
@@ -68,52 +66,60 @@ def _arm(name: str):
     return run
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
-    """Annotated queries: gold are the vectors of the query's pair of labels whose id is divisible by 25."""
-    rows = read(spark, d, "embeddings").where("vec_id IS NOT NULL AND label IS NOT NULL")
-    gold = rows.where("vec_id % 25 = 0").groupBy((F.col("label") - F.col("label") % 2).alias("pair")).agg(
-        F.collect_set(F.when(F.col("label") % 2 == 0, F.col("vec_id").cast("string"))).alias("f"), F.collect_set(F.when(F.col("label") % 2 == 1, F.col("vec_id").cast("string"))).alias("a")
-    )
-    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), (F.col("label") - F.col("label") % 2).alias("pair"))
+#: Gold documents of each register per query.
+GOLD = 5
+
+
+def _items(spark: SparkSession, d: str, x: Index) -> DataFrame:
+    """Annotated queries: gold are the GOLD vectors of each register that are nearest by the first sixteen components,
+    over all vectors; a fifth of the queries are to be answered without an article."""
+    short = lambda rows: rows.withColumn("vector", F.slice("vector", 1, 16))
+    near = cut(search.dense_legs(short(x.points), short(x.queries), GOLD))
+    gold = near.groupBy("qid").agg(*(F.array_sort(F.collect_set(F.when(F.col("register") == r, F.col("id").cast("string")))).alias(n) for r, n in (("fiche", "f"), ("article", "a"))))  # GOLD entries
     none = F.array().cast("array<string>")
     f, a = F.coalesce("f", none), F.coalesce("a", none)
     floor = F.col("qid") % 100 >= 80
-    return asked.join(gold, "pair", "left").select("qid", F.when(floor, metrics.STATE_WITHOUT_ARTICLE).otherwise("reponse").alias("expected_state"), f.alias("gold_fiches"), F.when(floor, none).otherwise(a).alias("gold_articles"), F.transform(f, lambda i: F.concat(F.lit("point "), i, F.lit("."))).alias("gold_spans"))
+    return x.queries.select("qid").join(gold, "qid", "left").select("qid", F.when(floor, metrics.STATE_WITHOUT_ARTICLE).otherwise("reponse").alias("expected_state"), f.alias("gold_fiches"), F.when(floor, none).otherwise(a).alias("gold_articles"), F.transform(f, lambda i: F.concat(F.lit("point "), i, F.lit("."))).alias("gold_spans"))
 
 
 def _scores(spark: SparkSession, d: str, arm: str) -> DataFrame:
     """Scores of the first or the last arm; the merged pool is written once, since contexts and candidates come of it."""
     x = index(spark, d)
-    pool = cut(search.merge(*_dense(x)) if arm == "rung1" else _expanded(x))
+    pool = cut(search.merge(*_by_register(_dense(x)))) if arm == "rung1" else _expanded(x)
     contexts = search.rank(pool).withColumn("slot", F.col("rank")) if arm == "rung1" else search.quota(search.rescore(pool, x.score), x.queries)
-    return metrics.score_items(_items(spark, d), contexts.withColumn("text", F.concat(F.lit("point "), F.col("id").cast("string"), F.lit("."))), pool)
+    return metrics.score_items(_items(spark, d, x), contexts.withColumn("text", F.concat(F.lit("point "), F.col("id").cast("string"), F.lit("."))), pool)
 
 
-def recall_metrics(spark: SparkSession, d: str) -> DataFrame:
+def item_metrics(spark: SparkSession, d: str) -> DataFrame:
     """The nine metrics of the first arm, per query."""
     rows = _scores(spark, d, "rung1")
     return rows.select("qid", *(F.round(F.col(m).cast("double"), 9).alias(m) for m in metrics.METRICS))
 
 
-def compare_runs(spark: SparkSession, d: str) -> DataFrame:
+def paired_comparison(spark: SparkSession, d: str) -> DataFrame:
     """Paired comparison of the first and the last arm, with the exact sign test."""
     return metrics.compare(metrics.long_scores(_scores(spark, d, "rung1")), metrics.long_scores(_scores(spark, d, "rung5")))
 
 
-def adoption_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.verdict(compare_runs(spark, d), metrics.primary_of("rung5"))
+def adoption(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.verdict(paired_comparison(spark, d), metrics.primary_of("rung5"))
 
 
-def floor_sweep(spark: SparkSession, d: str) -> DataFrame:
+def floor_choices(spark: SparkSession, d: str) -> DataFrame:
+    """How many items each floor of the grid gets right."""
     x = index(spark, d)
     pool = search.rescore(_expanded(x), x.score).where("register = 'article'")
     pool = pool.select("qid", "id", F.col("id").alias("doc"), "score", F.array_contains("provenance", "expansion").alias("expansion"), "rank")
-    return metrics.floor_sweep(pool, _items(spark, d), [round(0.025 * i, 3) for i in range(21)])
+    return metrics.floor_sweep(pool, _items(spark, d, x), [round(0.025 * i, 3) for i in range(21)])
+
+
+def chosen_floor(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.best_floor(floor_choices(spark, d))
 
 
 QUERIES = {f.__name__: f for f in (dense_topk, sparse_topk, hybrid_fusion, section_expansion, merged_pool)}
 QUERIES |= {f"{name}_arm": _arm(name) for name in ARMS}
-QUERIES |= {f.__name__: f for f in (recall_metrics, compare_runs, adoption_verdict, floor_sweep)}
+QUERIES |= {f.__name__: f for f in (item_metrics, paired_comparison, adoption, floor_choices, chosen_floor)}
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
 
@@ -158,8 +164,9 @@ _ALL = (
 )
 _FLAT = "done AS (SELECT 1) SELECT qid, rank::INT AS rank, id, score, register, {p} AS provenance FROM {src}"
 _GOLD = """
-gold AS (SELECT label - label % 2 AS pair, list(CASE WHEN label % 2 = 0 THEN vec_id END) FILTER (label % 2 = 0) AS f, list(vec_id) FILTER (label % 2 = 1) AS a FROM embeddings WHERE vec_id % 25 = 0 GROUP BY 1),
-items AS (SELECT qid, CASE WHEN qid % 100 >= 80 THEN 'reponse_sans_article' ELSE 'reponse' END AS state, coalesce(f, []) AS gf, CASE WHEN qid % 100 >= 80 THEN [] ELSE coalesce(a, []) END AS ga FROM qs LEFT JOIN gold ON pair = qs.label - qs.label % 2),
+near AS (SELECT qid, id, register, row_number() OVER (PARTITION BY qid, register ORDER BY round(list_cosine_similarity(q[1:16], v[1:16]), 6) DESC, id) AS n FROM qs, pts),
+gold AS (SELECT qid, list(id) FILTER (register = 'fiche') AS f, list(id) FILTER (register = 'article') AS a FROM near WHERE n <= 5 GROUP BY 1),
+items AS (SELECT qid, CASE WHEN qid % 100 >= 80 THEN 'reponse_sans_article' ELSE 'reponse' END AS state, coalesce(f, []) AS gf, CASE WHEN qid % 100 >= 80 THEN [] ELSE coalesce(a, []) END AS ga FROM qs LEFT JOIN gold USING (qid)),
 """
 
 
@@ -187,13 +194,13 @@ SQL = {name: _ALL + _FLAT.format(src=src, p="'search'") for name, src in (("dens
 SQL |= {"section_expansion": _ALL + _FLAT.format(src="expansion", p="'expansion'"), "merged_pool": _ALL + _FLAT.format(src="m3", p="provenance")}
 SQL |= {f"rung{i}_arm": _ALL + _FLAT.format(src=f"r{i}", p="provenance") for i in range(1, 6)}
 SQL |= {
-    "recall_metrics": _ALL + _GOLD + _measured("one", "r1", "m1") + "done AS (SELECT 1) SELECT qid, " + ", ".join(f"round({m}, 9) AS {m}" for m in metrics.METRICS) + " FROM s_one",
-    "compare_runs": _COMPARED + f"SELECT metric, n_paired, i AS improved, r AS regressed, i - r AS net, round({_SIGN}, 9) AS p FROM counts",
-    "adoption_verdict": _COMPARED
+    "item_metrics": _ALL + _GOLD + _measured("one", "r1", "m1") + "done AS (SELECT 1) SELECT qid, " + ", ".join(f"round({m}, 9) AS {m}" for m in metrics.METRICS) + " FROM s_one",
+    "paired_comparison": _COMPARED + f"SELECT metric, n_paired, i AS improved, r AS regressed, i - r AS net, round({_SIGN}, 9) AS p FROM counts",
+    "adoption": _COMPARED
     + """SELECT primary_metric, net, net >= 4 AS threshold_met, guards, net >= 4 AND guards = '' AS adopt FROM (
   SELECT 'zero_articles' AS primary_metric, max(i - r) FILTER (metric = 'zero_articles') AS net,
     coalesce(string_agg(metric, ',' ORDER BY metric) FILTER (metric IN ('fiche_recall_at_4', 'article_recall_at_4', 'floor_correct') AND r - i > 1), '') AS guards FROM counts)""",
-    "floor_sweep": _ALL
+    "floor_choices": _ALL
     + _GOLD
     + """grid AS (SELECT round(0.025 * i, 3) AS floor FROM range(21) t(i)),
 kept AS (SELECT * FROM (SELECT qid, floor, id, row_number() OVER (PARTITION BY qid, floor ORDER BY round(score + CASE WHEN provenance LIKE '%expansion%' THEN 0.1 ELSE 0 END, 6) DESC, rank) AS n
@@ -202,3 +209,4 @@ got AS (SELECT qid, floor, list(id) AS got FROM kept GROUP BY 1, 2)
 SELECT floor::DOUBLE AS floor, count(*) AS n_items, count(*) FILTER (CASE state WHEN 'reponse_sans_article' THEN got IS NULL ELSE coalesce(list_has_any(got, ga), false) END) AS n_correct
 FROM items CROSS JOIN grid LEFT JOIN got USING (qid, floor) GROUP BY 1""",
 }
+SQL["chosen_floor"] = f"SELECT floor, n_correct FROM ({SQL['floor_choices']}) ORDER BY n_correct DESC, floor DESC LIMIT 1"

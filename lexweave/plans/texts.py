@@ -47,8 +47,9 @@ def short_circuit_path(spark: SparkSession, d: str) -> DataFrame:
     return search.short_circuit(turns, known, "turn", text.first_reference).select("id", "path", "lookup_key")
 
 
-def history_trim(spark: SparkSession, d: str) -> DataFrame:
-    rows = _golden(spark, d).select("id", F.posexplode(text.trim_history(F.col("turns"), 4, 60)).alias("n", "t"))
+def trimmed_history(spark: SparkSession, d: str) -> DataFrame:
+    """Histories within the fixed numbers of turns and characters."""
+    rows = _golden(spark, d).select("id", F.posexplode(text.trim_history(F.col("turns"))).alias("n", "t"))
     return rows.select("id", F.col("n").cast("int").alias("turn_no"), F.col("t.role").alias("role"), F.col("t.content").alias("content"))
 
 
@@ -198,7 +199,7 @@ def guide_headers_all(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lookup_keys, reference_sets, short_circuit_path, history_trim, condense_status, breadcrumbs, point_ids, article_gate, golden_gate, lexical_shortlist, verbatim_spans, citation_check,
+        lookup_keys, reference_sets, short_circuit_path, trimmed_history, condense_status, breadcrumbs, point_ids, article_gate, golden_gate, lexical_shortlist, verbatim_spans, citation_check,
         chunk_sizes, html_blocks, article_chunks, fiche_chunks, chunk_gate, prompt_render, annotation_progress, working_sets, outside_sections, guide_headers_all,
     )
 }
@@ -223,8 +224,8 @@ SELECT id, 'all' AS part FROM w UNION ALL SELECT id, 'articles' FROM w WHERE len
     "short_circuit_path": f"""WITH {_LAST}, {_ITEMS}, keys AS (SELECT DISTINCT {_KEY.replace('{0}', 'citation_id')} AS k FROM last),
 turns AS (SELECT id, nullif(translate(upper({_REF.replace('{0}', _TURN)}), ' .*', ''), '') AS ref FROM golden)
 SELECT id, CASE WHEN ref IS NULL THEN 'no_reference' WHEN k IS NULL THEN 'membership_failed' ELSE 'resolved' END AS path, k AS lookup_key FROM turns LEFT JOIN keys ON ref = k""",
-    "history_trim": f"""WITH {_ITEMS}, t AS (SELECT id, history[greatest(len(history) - 3, 1):] AS h FROM golden WHERE len(history) > 0)
-SELECT id, (n - 1)::INT AS turn_no, h[n]['role'] AS role, left(h[n]['content'], 60) AS content FROM (SELECT id, h, unnest(range(1, len(h) + 1)) AS n FROM t)""",
+    "trimmed_history": f"""WITH {_ITEMS}, t AS (SELECT id, history[greatest(len(history) - 5, 1):] AS h FROM golden WHERE len(history) > 0)
+SELECT id, (n - 1)::INT AS turn_no, h[n]['role'] AS role, left(h[n]['content'], 2000) AS content FROM (SELECT id, h, unnest(range(1, len(h) + 1)) AS n FROM t)""",
     "breadcrumbs": f"""WITH {_LAST} SELECT array_to_string(list_transform(string_split(fullSectionsTitre, '>')[2:], lambda p: trim(p)), ' > ') AS breadcrumb, count(*) AS n_articles FROM last GROUP BY 1""",
     "point_ids": f"""SELECT fiche_id, chunk_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS point_id
 FROM (SELECT fiche_id, chunk_index, sha1(unhex('{ids.NAMESPACE.hex}') || encode(fiche_id || '#' || chunk_index)) AS h FROM (SELECT DISTINCT fiche_id, chunk_index FROM fiche_chunks WHERE fiche_id IS NOT NULL AND chunk_index IS NOT NULL))""",
