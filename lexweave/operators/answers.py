@@ -56,6 +56,33 @@ def view_state(envelope: Column) -> Column:
     return F.when((envelope["type"] == "refus") & (envelope["motif"] == "hors_corpus"), "hors_corpus").when(envelope["type"] == "refus", "refus_regule").otherwise(state(envelope))
 
 
+#: The classes of refusals.
+MOTIFS = ("recommandation_produit", "conseil_action", "hors_corpus")
+
+
+def parse(answer: Column) -> Column:
+    """STRUCT<envelope, error> of what a generating model said: JSON of one of the two kinds of envelope, with an
+    explanation, citations that each name an article, and for a refusal a known motif. Null gives neither."""
+    e = F.from_json(answer, ENVELOPE, {"mode": "PERMISSIVE"})
+    answered, refused = F.coalesce(e["type"], F.lit("reponse")) == "reponse", F.coalesce(e["type"] == "refus", F.lit(False))
+    named = F.forall(F.coalesce(e["fondement_juridique"], F.array().cast("array<struct<article_id:string,gloss:string>>")), lambda c: c["article_id"].isNotNull() & c["gloss"].isNotNull())
+    good = e["explanation"].isNotNull() & named & (answered | (refused & F.coalesce(e["motif"].isin(*MOTIFS), F.lit(False))))
+    whole = F.struct(
+        F.coalesce(e["type"], F.lit("reponse")).alias("type"), e["explanation"].alias("explanation"), F.coalesce(e["fondement_juridique"], F.array()).alias("fondement_juridique"),
+        F.when(answered, e["aucun_fondement"]).alias("aucun_fondement"), F.when(refused, e["motif"]).alias("motif"),
+    )
+    ok = F.coalesce(good, F.lit(False))
+    return F.struct(F.when(ok, whole.cast(ENVELOPE)).alias("envelope"), F.when(answer.isNotNull() & ~ok, F.lit("the answer is not an envelope")).alias("error"))
+
+
+def render_answer(envelope: Column) -> Column:
+    """An answer as a judge reads it: what it explains, and what its other fields say, where a fault may be hidden."""
+    citations = F.transform(envelope["fondement_juridique"], lambda c: F.concat(F.lit("- "), c["article_id"], F.lit(" : "), F.coalesce(c["gloss"], F.lit(""))))
+    listed = F.when(F.size(envelope["fondement_juridique"]) > 0, F.concat(F.lit("\nFondement juridique :\n"), F.array_join(citations, "\n")))
+    end = F.when(envelope["type"] == "refus", F.concat(F.lit("\nRefus (motif : "), envelope["motif"], F.lit(")"))).when(envelope["aucun_fondement"].isNotNull(), F.concat(F.lit("\nAucun fondement : "), envelope["aucun_fondement"]))
+    return F.concat_ws("\n", envelope["explanation"], listed, end)
+
+
 def citation_links(answers: DataFrame, contexts: DataFrame, url: str) -> DataFrame:
     """(qid, citation_id, link): every citation of an answer with the address of the version that was retrieved; `url` is
     a format with one %s. Of several pieces of an article the first by slot counts."""

@@ -13,7 +13,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the band, the floors, the marker and the boundary of sentences.
@@ -266,6 +266,18 @@ def guide_chunks(fiches: DataFrame, size: Counter = count_words) -> DataFrame:
     return _table(fiches, ["fiche_id", "xml"], "fiche_id string, chunk_index int, text string, tokens int, chapitre_titre string, cas_label string", make)
 
 
+def size_of(c: Column, size: Counter = count_words) -> Column:
+    """Tokens of a text with the special ones, by the counter that the chunks are cut with; words are counted in the JVM."""
+    if size is count_words:
+        return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != "")) + SPECIAL
+
+    @F.pandas_udf("int")
+    def run(batch):  # type: ignore[no-untyped-def]
+        return batch.map(lambda x: size(x) + SPECIAL, na_action="ignore").astype("Int32")
+
+    return run(c)
+
+
 def guide_texts(fiches: DataFrame) -> DataFrame:
     return _table(fiches, ["fiche_id", "xml"], "fiche_id string, text string", lambda k, x: iter([(k, guide_text(x))]))
 

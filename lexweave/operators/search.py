@@ -61,6 +61,8 @@ def shape_of(points: DataFrame, queries: DataFrame) -> Shape:
 
 def _matrix(t: pa.Table, width: int) -> tuple[pa.Table, np.ndarray]:
     """The rows of a table with a finite vector of this width that isn't zero, and the vectors, without Python objects."""
+    if not width:
+        return t.slice(0, 0), np.zeros((0, 0))
     t = t.filter(pc.fill_null(pc.equal(pc.list_value_length(t.column("vector")), width), False)).combine_chunks()
     x = np.zeros((0, width)) if not t.num_rows else pc.list_flatten(t.column("vector")).to_numpy().reshape(-1, width)
     good = np.isfinite(x).all(1) & (x != 0).any(1)

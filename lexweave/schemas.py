@@ -20,5 +20,10 @@ ANSWER_SCORES = (
     "item_id string, expected_state string, actual_state string, state_correct boolean, citation_valid boolean, fabricated_ids array<string>, citation_correctness double, faithfulness double, "
     "point_coverage double, judge_error string"
 )
+ENVELOPE = "struct<type:string, explanation:string, fondement_juridique:array<struct<article_id:string, gloss:string>>, aucun_fondement:string, motif:string>"
+CALIBRATION = (
+    "golden_id string, archetype string, metric string, question string, expected_points array<string>, retrieved array<string>, context string, "
+    f"clean struct<envelope:{ENVELOPE}, label:string>, faulted struct<envelope:{ENVELOPE}, label:string>"
+)
 POINT = "id string, dense array<float>, sparse_indices array<bigint>, sparse_values array<float>, payload string"
 MANIFEST = "producer string, licence string, licence_url string, download_url string, filename string, file_date string, retrieved_at string, sha256 string, document_count bigint"

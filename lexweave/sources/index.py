@@ -1,7 +1,7 @@
 """Versioned tables of points behind pointers: write, verify, flip, dump, publish, restore, prune.
 
-An index is a folder. Each version of a register is a subfolder `<register>__<tag>`; `pointers.json` says which one is
-live for every register. It's replaced in one rename, so that readers see all registers move at once or none. Folders
+An index is a folder. Each version of a register is a subfolder `<register>__<tag>` with its states, of which
+`state.json` names the latest complete one; `pointers.json` says which version is live for every register. It's replaced in one rename, so that readers see all registers move at once or none. Folders
 are paths of any file system that the session's Hadoop client knows, local or shared.
 """
 
@@ -9,14 +9,19 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexweave import session
+
 POINTERS, LOCK = "pointers.json", "lock.json"
+#: Number of the format of versions and dumps.
+FORMAT = 2
 
 
 class IndexFault(RuntimeError):
@@ -40,13 +45,11 @@ class Files:
         self.fs.delete(self.path(name), True)
 
     def move(self, old: str, new: str) -> None:
-        """Renames over what is there: one step where the file system has it, else drop and rename."""
+        """Renames a file over what is there, in one step where the file system has it."""
         mode = self.jvm.org.apache.hadoop.fs.Options.Rename
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri())
         options = self.jvm.java.lang.reflect.Array.newInstance(mode.OVERWRITE.getClass(), 1)
         options[0] = mode.OVERWRITE
-        if self.fs.getFileStatus(self.path(old)).isDirectory():
-            self.drop(new)
         context.rename(self.path(old), self.path(new), options)
 
     def folders(self) -> list[str]:
@@ -88,26 +91,79 @@ def digest(points: DataFrame) -> tuple[int, str]:
 
 
 def layout(points: DataFrame) -> str:
-    """Digest of the columns and the width of the vectors."""
+    """Digest of the columns, the width of the vectors and the format of a dump."""
     wide = points.select(F.size("dense").alias("n")).where("n >= 0").first() if "dense" in points.columns else None
-    return hashlib.sha256(json.dumps([sorted(points.dtypes), wide[0] if wide else None]).encode()).hexdigest()
+    return hashlib.sha256(json.dumps([sorted(points.dtypes), wide[0] if wide else None, FORMAT]).encode()).hexdigest()
+
+
+def last_wins(points: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """One row per id: the one greatest in `order`, then by the JSON of its columns, so that it's always the same one."""
+    rest = F.to_json(F.struct(*sorted(c for c in points.columns if c != "id")), {"ignoreNullFields": "false"})
+    rows = points.select("id", F.struct(*order, rest.alias("_json"), F.struct(*(c for c in points.columns if c != "id")).alias("_row")).alias("_r")) if not _maps(points) else None
+    if rows is None:
+        ranked = points.withColumn("_json", rest).withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*(F.desc(c) for c in order), F.desc("_json"))))
+        return ranked.where("_n = 1").drop("_n", "_json")
+    best = rows.groupBy("id").agg(F.max("_r").alias("_r"))  # combines where the rows are read
+    return best.select(*(F.col("id") if c == "id" else F.col(f"_r._row.`{c}`").alias(c) for c in points.columns))
+
+
+def _maps(points: DataFrame) -> bool:
+    return any("map<" in t for _, t in points.dtypes)
+
+
+#: Rows of one file of a version, at most; with vectors of a thousand numbers some hundred megabytes.
+ROWS_A_FILE = 100_000
+STATE = "state.json"
+
+
+def version(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows of a version: of its latest complete state."""
+    files = Files(spark, f"{folder.rstrip('/')}/{name}")
+    if not files.exists(STATE):
+        raise IndexFault(f"no such version: {name}")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}/{json.loads(files.read(STATE))['rows']}")
 
 
-def last_wins(points: DataFrame, order: str) -> DataFrame:
-    """One row per id: the one greatest in `order`."""
-    return points.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc(order), *(c for c in points.columns if c not in ("id", order) and dict(points.dtypes)[c] == "string")))).where("_n = 1").drop("_n")
+def complete(files: Files, name: str) -> bool:
+    return files.exists(f"{name}/{STATE}")
 
 
-def upsert(spark: SparkSession, folder: str, name: str, points: DataFrame) -> str:
-    """Writes a new state of a version where the given ids replace those that are there; the same call twice changes
-    nothing. The new files are complete before they take the old ones' place."""
-    files, path = Files(spark, folder), f"{folder.rstrip('/')}/{name}"
-    rows = points.dropDuplicates(["id"])
-    if files.exists(name):
-        rows = spark.read.parquet(path).join(rows.select("id"), "id", "left_anti").unionByName(rows)
-    rows.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/.{name}.new")
-    files.move(f".{name}.new", name)
-    return path
+def create(spark: SparkSession, folder: str, name: str, like: DataFrame, by: str | None = None) -> str:
+    """An empty version with the columns of `like`; one that is there stays as it is. `by`: rows of one value of this
+    expression (a section, say) are written together, so that a filter on it skips files."""
+    files = Files(spark, folder)
+    if not complete(files, name):
+        _write(spark, folder, name, like.limit(0), by)
+    return f"{folder.rstrip('/')}/{name}"
+
+
+def _write(spark: SparkSession, folder: str, name: str, rows: DataFrame, by: str | None, batch: str | None = None) -> None:
+    files, part = Files(spark, f"{folder.rstrip('/')}/{name}"), f"rows-{uuid.uuid4().hex}"
+    old = json.loads(files.read(STATE)) if files.exists(STATE) else {}
+    if by:
+        rows = rows.repartitionByRange(F.expr(by), F.col("id")).sortWithinPartitions(F.expr(by), F.col("id"))  # a large section is several ranges
+    rows.write.option("maxRecordsPerFile", ROWS_A_FILE).parquet(f"{folder.rstrip('/')}/{name}/{part}")
+    files.write(STATE, json.dumps({"rows": part, "by": by, "before": old.get("rows")}))
+    if (older := old.get("before")) and older != part:
+        files.drop(older)  # a reader may still hold the state before this one, but not the one before that
+
+
+def upsert(spark: SparkSession, folder: str, name: str, points: DataFrame, order: Sequence[str] = ()) -> str:
+    """Writes a new state of a version where the given ids replace those that are there; the same call twice gives the
+    same rows. Of several rows with one id `last_wins`.
+
+    A state is a folder of its own, and a small file names the one that counts; it is replaced in one step once the rows
+    are complete. So a crash at any point leaves the old state readable, and so are readers that opened it.
+    """
+    files = Files(spark, folder)
+    rows = last_wins(points, order)
+    by = None
+    if complete(files, name):
+        by = json.loads(Files(spark, f"{folder.rstrip('/')}/{name}").read(STATE)).get("by")
+        rows = session.cut(rows)
+        rows = version(spark, folder, name).join(rows.select("id"), "id", "left_anti").unionByName(rows)
+    _write(spark, folder, name, rows, by)
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def pointers(spark: SparkSession, folder: str) -> dict[str, str]:
@@ -118,7 +174,7 @@ def pointers(spark: SparkSession, folder: str) -> dict[str, str]:
 def flip(spark: SparkSession, folder: str, targets: Mapping[str, str]) -> bool:
     """Points registers at versions, all in one rename; False where they already are. The versions must exist."""
     files, now = Files(spark, folder), pointers(spark, folder)
-    if missing := [n for n in targets.values() if not files.exists(n)]:
+    if missing := [n for n in targets.values() if not complete(files, n)]:
         raise IndexFault(f"no such version: {', '.join(missing)}")
     if all(now.get(r) == n for r, n in targets.items()):
         return False
@@ -128,7 +184,7 @@ def flip(spark: SparkSession, folder: str, targets: Mapping[str, str]) -> bool:
 
 def live(spark: SparkSession, folder: str, register: str) -> DataFrame:
     """The live table of a register; its name is looked up once, here."""
-    return spark.read.parquet(f"{folder.rstrip('/')}/{pointers(spark, folder)[register]}")
+    return version(spark, folder, pointers(spark, folder)[register])
 
 
 def dump(points: DataFrame, path: str) -> None:
@@ -185,7 +241,7 @@ def restore(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
     for r, entry in lock.registers.items():
         name = version_name(r, lock.tag)
         if now.get(r) == name:
-            if spark.read.parquet(f"{folder}/{name}").count() != entry["rows"]:
+            if version(spark, folder, name).count() != entry["rows"]:
                 raise IndexFault(f"{name} is live but incomplete")
             done[r] = "live"
             continue
@@ -195,7 +251,7 @@ def restore(spark: SparkSession, folder: str, out: str) -> dict[str, str]:
         done[r] = "rebuilt" if files.exists(name) else "restored"
         files.drop(name)
         upsert(spark, folder, name, points)
-        if spark.read.parquet(f"{folder}/{name}").count() != entry["rows"]:
+        if version(spark, folder, name).count() != entry["rows"]:
             raise IndexFault(f"{name} is incomplete")
         targets[r] = name
     if targets:

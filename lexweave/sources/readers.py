@@ -49,6 +49,26 @@ def guide_files(spark: SparkSession, folder: str, pattern: str = GUIDE_FILE) ->
     return rows.where(name.rlike(pattern)).select(F.regexp_replace(name, r"\.xml$", "").alias("fiche_id"), F.col("content").alias("xml"), F.col("modificationTime").alias("modified"))
 
 
+def zipped_guides(spark: SparkSession, path: str, pattern: str = GUIDE_FILE) -> DataFrame:
+    """(fiche_id, xml, modified) of the XML files in zip archives whose names match; an archive is read by one task."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import io
+        import re
+        import zipfile
+
+        for batch in batches:
+            for body, modified in zip(batch.column(0), batch.column(1)):
+                with zipfile.ZipFile(io.BytesIO(body.as_py())) as archive:
+                    for name in sorted(archive.namelist()):
+                        last = name.rsplit("/", 1)[-1]
+                        if re.match(pattern, last):
+                            yield pa.RecordBatch.from_arrays([pa.array([last.removesuffix(".xml")]), pa.array([archive.read(name)], pa.binary()), pa.array([modified.as_py()], modified.type)], ["fiche_id", "xml", "modified"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content", "modificationTime")
+    return rows.mapInArrow(read, "fiche_id string, xml binary, modified timestamp")
+
+
 def guide_headers(fiches: DataFrame, strict: bool = False) -> DataFrame:
     """(fiche_id, doc_id, title, type, sp_url, date_modified, section_ids, fil_ariane) of the guides (fiche_id, xml).
 
@@ -97,14 +117,44 @@ def annotated_set(spark: SparkSession, path: str, schema: str = schemas.GOLDEN)
         items = yaml.safe_load(body) or []
     else:
         items = json.loads(body)
-    return spark.createDataFrame([{k: v for k, v in i.items()} for i in items], schema)
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    wrong = [f"item {i}: {'not an object' if not isinstance(x, dict) else 'unknown ' + ', '.join(sorted(set(x) - set(names)))}" for i, x in enumerate(items, 1) if not isinstance(x, dict) or set(x) - set(names)]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return spark.createDataFrame([tuple(x.get(n) for n in names) for x in items], schema)
 
 
-def write_annotated_set(items: DataFrame, path: str) -> None:
-    """Items as JSON in order of id, fields in the order of the schema. The set is annotated by hand, so it is small."""
-    rows = [json.loads(r[0]) for r in items.orderBy("id").select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"})).collect()]
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+def write_annotated_set(items: DataFrame, path: str, key: str = "id") -> None:
+    """Items in order of their key, fields in the order of the schema, as YAML or JSON by the file's name. The set is
+    annotated by hand, so it is small. YAML is written without a YAML library: block style, texts in double quotes."""
+    rows = [json.loads(r[0]) for r in items.orderBy(key).select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"})).collect()]
+    file = Path(path)
+    file.parent.mkdir(parents=True, exist_ok=True)
+    if file.suffix in (".yaml", ".yml"):
+        body = "".join(f"{line}\n" for r in rows for line in _yaml([r], 0)) or "[]\n"
+    else:
+        body = json.dumps(rows, ensure_ascii=False, indent=2) + "\n"
+    new = file.with_name(f".{file.name}.new")
+    new.write_text(body, encoding="utf-8")
+    new.replace(file)
+
+
+def _yaml(value: Any, depth: int) -> list[str]:
+    """Lines of a value in block style; texts are written as JSON texts, which YAML reads alike."""
+    pad = "  " * depth
+    if isinstance(value, list) and value:
+        out = []
+        for v in value:
+            lines = _yaml(v, depth + 1)
+            out += [f"{pad}- {lines[0].lstrip()}", *lines[1:]]
+        return out
+    if isinstance(value, dict) and value:
+        out = []
+        for k, v in value.items():
+            nested = isinstance(v, (list, dict)) and v
+            out += [f"{pad}{k}:", *_yaml(v, depth + 1)] if nested else [f"{pad}{k}: {json.dumps(v, ensure_ascii=False)}"]
+        return out
+    return [f"{pad}{json.dumps(value, ensure_ascii=False)}"]
 
 
 def run_items(spark: SparkSession, path: str | Iterable[str], legacy: dict[str, str] | None = None) -> DataFrame:
@@ -142,3 +192,10 @@ def dataset_items(golden: DataFrame, prefix: str = "", working_set: bool = True)
         F.concat(F.lit(prefix), F.col("id")).alias("id"), F.col("question").alias("input"),
         F.struct("expected_state", "gold_fiches", "gold_articles", "gold_spans", "expected_points").alias("expected"), F.struct("tags", "history").alias("metadata"),
     )
+
+
+def items_of_dataset(rows: DataFrame) -> DataFrame:
+    """The annotated items of (id, input, expected, metadata): the inverse of `dataset_items`; absent lists are empty."""
+    none = F.array().cast("array<string>")
+    lists = [F.coalesce(f"expected.{c}", none).alias(c) for c in ("gold_fiches", "gold_spans", "gold_articles", "expected_points")]
+    return rows.select("id", F.col("input").alias("question"), F.coalesce("metadata.history", F.array().cast("array<map<string,string>>")).alias("history"), "expected.expected_state", *lists, F.coalesce("metadata.tags", none).alias("tags"))

@@ -1,11 +1,15 @@
+import json
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from lexweave import schemas
 from lexweave.functions import models
 from lexweave.operators import annotation as a
-from lexweave.plans import ingest
-from lexweave.sources import index
+from lexweave.operators import gates
+from lexweave.plans import evaluate, ingest
+from lexweave.sources import index, readers
 
 EMBED, SCORE = (lambda: models.hash_embedder(16)), models.overlap_scorer
 
@@ -35,9 +39,16 @@ def test_ingest_search_and_answer(spark, tmp_path):
         got = rows(ingest.run_experiment(spark, home, items, EMBED, SCORE, arm).select("qid", "fiche_recall_at_4", "fiche_recall_at_candidate"))
         assert got == [(0, 1.0, 1.0), (1, 1.0, 1.0)], arm
     turns = spark.createDataFrame([(0, "voir L. 1-2 svp", None), (1, "moteur ?", [("user", "avant")])], "qid long, raw_turn string, history array<struct<role:string,content:string>>")
-    out = {r.qid: r for r in ingest.run_chain(spark, home, turns, EMBED, SCORE, lambda: lambda p: [x.upper() for x in p], models.extractive_answer).collect()}
-    assert out[0].context.startswith("### Articles\n\n— L. 1-2 · S\n") and "Fiches" not in out[0].context and out[0].answer == "— L. 1-2 · S"
+    said = lambda: lambda prompts: [json.dumps({"type": "reponse", "explanation": "oui", "fondement_juridique": [{"article_id": i, "gloss": "g"} for i in ("L. 1-2", "L9")]}) if "voir" in p else "oui" for p in prompts]
+    out = {r.qid: r for r in ingest.run_chain(spark, home, turns, EMBED, SCORE, lambda: lambda p: [x.upper() for x in p], said).collect()}
+    assert out[0].context.startswith("### Articles\n\n— L. 1-2 · S\n") and "Fiches" not in out[0].context and out[0].retrieved == ["L. 1-2"]
+    assert out[0].fabricated_ids == ["L9"] and not out[0].citation_valid and [c.article_id for c in out[0].shown.fondement_juridique] == ["L. 1-2"] and (out[0].state, out[0].view_state, out[0].error) == ("reponse", "reponse", None)
     assert out[1].query == "MOTEUR ?" and out[1].condense_status == "rewritten" and out[1].context.count("— ") == 4
+    assert (out[1].answer, out[1].envelope, out[1].error) == ("oui", None, "the answer is not an envelope")
+    golden = spark.createDataFrame([("gs-1", "voir L. 1-2 svp", None, "reponse", ["A1"], ["p", "q"]), ("gs-2", "moteur ?", None, "reponse", ["A2"], None)], "id string, question string, history array<struct<role:string,content:string>>, expected_state string, gold_articles array<string>, expected_points array<string>")
+    judge = lambda: lambda prompts: ['{"score": 2}' if "share of the claims" in p else '{"verdicts": [{"index": 1, "asserted": true}, {"index": 2, "asserted": false}]}' for p in prompts]
+    scores = evaluate.run_answers(spark, home, golden, EMBED, SCORE, lambda: lambda p: p, said, judge).collect()
+    assert [(r.item_id, r.state_correct, r.citation_valid, r.fabricated_ids, r.citation_correctness, r.faithfulness, r.point_coverage, r.judge_error) for r in scores] == [("gs-1", True, False, ["L9"], 1.0, None, 0.5, "faithfulness: no score from 0 to 1")]
     other = f"file://{tmp_path}/other"
     ingest.run_ingest(spark, articles, fiches, EMBED, other, "index-2", enriched=True, check=False)
     table, verdict = ingest.run_ab(spark, (home, other), items, EMBED, SCORE, "ab_article_breadcrumb")
@@ -46,6 +57,69 @@ def test_ingest_search_and_answer(spark, tmp_path):
     assert ids(home) == ids(other)
 
 
+def test_two_models_and_a_tokenizer(spark, tmp_path):
+    """Dense vectors of one model beside the sparse ones of another, chunks sized by characters."""
+    articles, fiches = corpus(spark)
+    home, wide = f"file://{tmp_path}/home", lambda: models.hash_embedder(32)
+    size = lambda t: len(t) // 3
+    made = ingest.run_ingest(spark, articles, fiches, wide, home, "index-1", width=32, size=size, load_sparse=EMBED, check=False)
+    row = index.live(spark, home, "articles").first()
+    want = models.hash_embedder(16)([row.payload.text])[0]
+    assert len(row.dense) == 32 and dict(zip(row.sparse_indices, row.sparse_values)).keys() == want[1].keys() and made["articles"] == 2
+    items = spark.createDataFrame([(0, "grêle vigne", "reponse", ["F1"], ["A1"], [])], "qid long, text string, expected_state string, gold_fiches array<string>, gold_articles array<string>, gold_spans array<string>")
+    assert ingest.run_experiment(spark, home, items, wide, SCORE, "rung2", EMBED).first().fiche_recall_at_4 == 1.0
+    assert ingest.gate(articles, fiches, size).where("check = 'no content lost'").count() == ingest.gate(articles, fiches).where("check = 'no content lost'").count() == 0
+
+
+def test_calibration_picks_and_drafts(spark, tmp_path):
+    s = f"golden_id string, metric string, question string, expected_points array<string>, context string, clean struct<envelope:{schemas.ENVELOPE}, label:string>, faulted struct<envelope:{schemas.ENVELOPE}, label:string>"
+    said = lambda x: ("reponse", x, [], None, None)
+    pairs = spark.createDataFrame([("g1", "faithfulness", "q", ["p"], "c", (said("good"), "pass"), (said("bad"), "fail")), ("g2", "point_coverage", "q", ["p"], "c", (said("good"), "pass"), (said("good"), "fail"))], s)
+    judge = lambda: lambda prompts: [json.dumps({"score": 0.9 if "good" in p else 0.1}) if "share" in p else json.dumps({"verdicts": [{"index": 1, "asserted": "good" in p}]}) for p in prompts]
+    scored, summary, errors = evaluate.run_calibration(pairs, judge)
+    assert rows(scored.select("golden_id", "clean_score", "faulted_score", "error")) == [("g1", 0.9, 0.1, None), ("g2", 1.0, 1.0, None)]
+    assert summary.select("n_detected", "false_passes", "passed").first() == (1, 1, False) and errors.where("n > 0").first()[:2] == ("point_coverage", "false_pass")
+    articles = spark.createDataFrame([("A1", "s1", "grêle"), ("A2", "s1", "x" * 900), ("A3", "s2", None)], "cid string, section_id string, texte string")
+    guides = spark.createDataFrame([("F1", ["s1"]), ("F2", ["s2"]), ("F3", [])], "fiche_id string, section_ids array<string>")
+    items = spark.createDataFrame([("gs-001", "grêle ?", ["F1"], ["A2"]), ("gs-002", "rien", ["F3"], [])], "id string, question string, gold_fiches array<string>, gold_articles array<string>")
+    pick = lambda: lambda prompts: ["- A1\n- A9" if len(p) < 900 else "too long" for p in prompts]
+    assert rows(evaluate.disagreement_pass(items, guides, articles, pick)) == [("gs-001", ["A2"], ["A1"], [], ["A1", "A2"])]
+    why = lambda: lambda prompts: ["A1: hail: no\nA1: again\nA7: never shown"]
+    assert rows(evaluate.rejection_reasons(items, spark.createDataFrame([("gs-001", "A1")], "id string, cid string"), articles, why)) == [("gs-001", "A1", "hail: no")]
+    texts = spark.createDataFrame([("F1", "t"), ("F2", "deux"), ("F3", "trois")], "fiche_id string, text string")
+
+    def ask():
+        def run(prompts):
+            if "trois" in prompts[0]:
+                raise RuntimeError("no")
+            return ["- Question ?\nmore"]
+
+        return run
+
+    drafts = evaluate.draft_items(texts, guides, articles, items.where("id = 'gs-001'"), ask, lambda: lambda p: ["A3"], 5, 1)
+    assert rows(drafts.select("id", "fiche_id", "question", "expected_state", "gold_articles", "error")) == [("gs-002", "F2", "Question ?", "reponse", ["A3"], None), ("gs-003", "F3", None, None, [], "RuntimeError: no")]
+
+
+def test_what_is_kept(spark, tmp_path):
+    one = ("no_reference", 0.5, None, None, 0.5, None, None, True, None, None)
+    runs = [readers.write_run({"run_id": r}, spark.createDataFrame([(f"i{i}", *one[:1], v, *one[2:]) for i in range(6)], schemas.ITEM_SCORES), str(tmp_path)) for r, v in (("a", 0.5), ("b", 1.0))]
+    _, verdict = evaluate.compare_files(spark, str(runs[0]), str(runs[1]), "rung4", str(tmp_path / "report.json"))
+    assert verdict.first().adopt and json.loads((tmp_path / "report.json").read_text())["verdict"][0]["net"] == 6
+    sweep = spark.createDataFrame([(0.5, 3, 2), (0.6, 3, 2), (0.7, 3, 1)], "floor double, n_items long, n_correct long")
+    assert json.loads(evaluate.write_sweep(sweep, str(tmp_path / "sweep.json")).read_text())["best"] == [{"floor": 0.6, "n_correct": 2}]
+    item = lambda i, q: spark.createDataFrame([(i, q, None, "reponse", None, None, None, None, None)], schemas.GOLDEN)
+    check = lambda df: gates.repeated(df, "ids unique", "id").unionByName(gates.violations(df.where("question = ''"), "question", "id"))
+    path = str(tmp_path / "set.json")
+    for i, q in (("gs-1", "a"), ("gs-2", "b"), ("gs-1", "c")):
+        evaluate.save_items(item(i, q), path, check)
+    with pytest.raises(ValueError, match="question: 1"):
+        evaluate.save_items(item("gs-3", ""), path, check)
+    assert rows(readers.annotated_set(spark, path).select("id", "question")) == [("gs-1", "c"), ("gs-2", "b")]
+    held = spark.createDataFrame([("x", ["F1"])], "id string, gold_fiches array<string>")
+    mine = spark.createDataFrame([("gs-1", "reponse", ["F1"])], "id string, expected_state string, gold_fiches array<string>")
+    assert rows(evaluate.floor_gate(mine, held).select("check", "key")) == [("guides not held out", "gs-1"), ("items without article", "set")]
+
+
 def test_models_record_errors_and_check_width(spark):
     df = spark.createDataFrame([("a",), (None,)], "t string")
 

@@ -30,6 +30,23 @@ def test_similarity_against_brute_force(spark, monkeypatch):
     assert s.dense_leg(points.limit(0), queries, "fiche").count() == 0 == s.dense_leg(points, queries.limit(0), "fiche").count()
 
 
+def test_wide_vectors_and_text_ids(spark, monkeypatch):
+    """The width of a real model, ids that are texts, and groups."""
+    monkeypatch.setattr(s, "CHUNK", 16)
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(120, 1024)).astype(np.float32), rng.normal(size=(3, 1024)).astype(np.float32)
+    points = spark.createDataFrame([(f"p{i:03d}", "article", f"s{i % 3}", v.tolist()) for i, v in enumerate(x)], "id string, register string, section_id string, vector array<float>")
+    queries = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)], "qid string, vector array<float>")
+    sc = np.round((q.astype(float) / np.linalg.norm(q.astype(float), axis=1)[:, None]) @ (x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]).T, 6)
+    top = lambda i, ids: [(f"q{i}", f"p{j:03d}") for j in sorted(ids, key=lambda j: (-sc[i, j], j))[:4]]
+    assert rows(s.dense_leg(points, queries, "article", 4).select("qid", "id")) == sorted(p for i in range(3) for p in top(i, range(120)))
+    monkeypatch.setattr(s, "POINT_BLOCK", 10)  # a group of several blocks
+    own = queries.crossJoin(spark.createDataFrame([("s0",), ("s2",)], "section_id string"))
+    got = s.similarity(points, own, 4, within="section_id")
+    best = s._pool(got, 4)
+    assert rows(best.select("qid", "id")) == sorted(p for i in range(3) for p in top(i, [j for j in range(120) if j % 3 != 1]))
+
+
 def test_similarity_of_mixed_widths(spark):
     """A malformed vector that comes first in its block doesn't drop the others."""
     good = [(i, "fiche", [1.0, float(i)]) for i in range(1, 6)]

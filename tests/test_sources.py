@@ -41,6 +41,24 @@ def test_guides(spark, tmp_path):
     assert [r.fiche_id for r in scoped.collect()] == ["F1"]
 
 
+def test_zip_yaml_and_inverse_projection(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "guides.zip", "w") as z:
+        z.writestr("x/F1.xml", "<P/>")
+        z.writestr("readme.txt", "no")
+    assert rows(readers.zipped_guides(spark, str(tmp_path / "guides.zip")).select("fiche_id", F.decode("xml", "utf-8"))) == [("F1", "<P/>")]
+    items = spark.createDataFrame([("gs-1", 'a: "q"\n# é', [{"role": "user", "content": "c"}], "s", ["F"], [], [], ["p: 1"], None)], schemas.GOLDEN)
+    readers.write_annotated_set(items, str(tmp_path / "g.yaml"))
+    lines = (tmp_path / "g.yaml").read_text().splitlines()
+    assert lines[:3] == ['- id: "gs-1"', '  question: "a: \\"q\\"\\n# é"', "  history:"] and '    - "p: 1"' in lines and "  tags: null" in lines
+    back = readers.items_of_dataset(readers.dataset_items(items, working_set=False))
+    assert rows(back.select(items.columns)) == rows(items.fillna({}).withColumn("tags", F.array().cast("array<string>")))
+    (tmp_path / "bad.json").write_text('[{"id": "a", "x": 1}, {"id": "b"}, 3]')
+    with pytest.raises(ValueError, match="item 1: unknown x; item 3: not an object"):
+        readers.annotated_set(spark, str(tmp_path / "bad.json"))
+
+
 def test_annotated_sets_and_runs(spark, tmp_path):
     assert readers.annotated_set(spark, str(tmp_path / "none.json")).count() == 0
     items = spark.createDataFrame([("gs-2", "é", None, "s", ["F"], None, None, None, None), ("gs-1", "q", [{"role": "user", "content": "c"}], "s", None, None, None, None, None)], schemas.GOLDEN)
@@ -81,6 +99,38 @@ def test_upsert_flip_publish_restore(spark, tmp_path):
     assert index.prune(spark, other, "articles") == ["articles__index-0"]
 
 
+def test_upsert_keeps_one_row_per_id_and_survives_a_crash(spark, tmp_path, monkeypatch):
+    home = f"file://{tmp_path}/home"
+    twice = points(spark, ("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"))
+    for df in (twice, twice.orderBy("payload", ascending=False).repartition(3)):
+        index.upsert(spark, home, "v", df)
+        assert rows(index.version(spark, home, "v").select("id", "payload")) == [("a", '{"text": "y"}'), ("b", '{"text": "z"}')]
+    assert rows(index.last_wins(twice.withColumn("n", F.col("dense")[0] * -1), ["n"]).select("id", "payload")) == [("a", '{"text": "x"}'), ("b", '{"text": "z"}')]
+
+    def crash(self, name, text):
+        raise OSError("crash")
+
+    monkeypatch.setattr(index.Files, "write", crash)
+    with pytest.raises(OSError):
+        index.upsert(spark, home, "v", points(spark, ("c", 1, "new")))
+    monkeypatch.undo()
+    held = index.version(spark, home, "v")
+    assert rows(held.select("id")) == [("a",), ("b",)]
+    index.upsert(spark, home, "v", points(spark, ("c", 1, "new")))
+    assert held.count() == 2 and index.version(spark, home, "v").count() == 3  # a reader keeps the state it opened
+
+
+def test_create_lays_out_by_section(spark, tmp_path):
+    home = f"file://{tmp_path}/home"
+    some = points(spark, *((f"p{i}", i, f"s{i % 5}") for i in range(50)))
+    for _ in range(2):
+        index.create(spark, home, "v", some, "get_json_object(payload, '$.text')")
+    assert index.version(spark, home, "v").count() == 0
+    index.upsert(spark, home, "v", some)
+    again = index.version(spark, home, "v")
+    assert again.count() == 50 and all(r.n <= 2 for r in again.select(F.get_json_object("payload", "$.text").alias("t"), F.input_file_name().alias("f")).groupBy("t").agg(F.countDistinct("f").alias("n")).collect())
+
+
 def test_digest_ignores_order(spark):
     a = points(spark, ("a", 1, "x"), ("b", 2, "y"))
     assert index.digest(a) == index.digest(a.orderBy("id", ascending=False).repartition(3)) != index.digest(a.limit(1))
@@ -94,7 +144,7 @@ def test_streams(spark, tmp_path):
         q = pipelines.upsert_points(spark.readStream.schema(schemas.POINT).parquet(str(src)), f"file://{tmp_path}/home", "p", str(tmp_path / "cp"))
         q.awaitTermination()
         points(spark, extra).write.mode("append").parquet(str(src))
-    assert rows(spark.read.parquet(f"file://{tmp_path}/home/p").select("id", "dense")) == [("a", [2.0] * 4)]
+    assert rows(index.version(spark, f"file://{tmp_path}/home", "p").select("id", "dense")) == [("a", [2.0] * 4)]
     events = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), "v", 1.0), (dt.datetime(2024, 1, 1, 9), "v", 2.0), (dt.datetime(2024, 1, 2), "v", None)], "ts timestamp, event_type string, value double")
     assert [tuple(r)[1:] for r in pipelines.windowed_counts(events).orderBy("window_start").collect()] == [("v", 2, 3.0), ("v", 1, None)]
 

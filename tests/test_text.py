@@ -49,3 +49,9 @@ def test_uuid5(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string").select("n", ids.uuid5(F.col("n")).alias("u"))
     assert all(str(uuid.uuid5(ids.NAMESPACE, r.n)) == r.u for r in df.collect())
     assert rows(spark.createDataFrame([("a", 1)], "k string, i int").select(ids.point_id(F.col("k"), F.col("i")))) == [(str(uuid.uuid5(ids.NAMESPACE, "a#1")),)]
+
+
+def test_history_with_tighter_limits(spark):
+    h = [("user", "x" * 100), ("assistant", "b"), ("user", "c" * 61)]
+    got = spark.createDataFrame([(h,)], "h array<struct<role:string,content:string>>").select(text.trim_history(F.col("h"), 2, 60)).first()[0]
+    assert [(t.role, len(t.content)) for t in got] == [("assistant", 1), ("user", 60)]
