@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexweave.operators.gates import MULTI_TURN, WITHOUT_ARTICLE
@@ -60,6 +60,14 @@ def outside_sections(items: DataFrame, shortlist: DataFrame) -> DataFrame:
     return items.select("id", F.explode("gold_articles").alias("cid")).distinct().join(shortlist, ["id", "cid"], "left_anti")
 
 
+def term_shortlist(weights: DataFrame, terms: DataFrame, limit: int = 10) -> DataFrame:
+    """(id, cid, score, rank): the articles (cid, term, n occurrences) nearest to each item (id, term, w weight) by the sum
+    of weight times occurrences; ties go to the lesser cid. Terms that no item asks for are best left out beforehand."""
+    scores = terms.join(weights, "term").groupBy("id", "cid").agg(F.sum(F.col("w") * F.col("n")).alias("score"))
+    ranked = scores.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "cid")))
+    return ranked.where(F.col("rank") <= limit).select("id", "cid", "score", F.col("rank").cast("int").alias("rank"))
+
+
 def shortlist_union(by_section: DataFrame, by_terms: DataFrame) -> DataFrame:
     """(id, cid, provenance): both shortlists, each article once with where it comes from."""
     rows = by_section.select("id", "cid", F.lit("section").alias("p")).unionByName(by_terms.select("id", "cid", F.lit("lexical").alias("p")))

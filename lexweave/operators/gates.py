@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexweave import session
 from lexweave.functions.text import lookup_key
 from lexweave.operators.chunking import BAND, FLOOR, SPECIAL
 from lexweave.operators.snapshots import IN_FORCE
@@ -26,15 +27,30 @@ def union(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+class GateError(ValueError):
+    """A corpus or set that a gate refuses; `violations` is the frame of all of them."""
+
+    def __init__(self, message: str, violations: DataFrame) -> None:
+        super().__init__(message)
+        self.violations = violations
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """(check, n): the checks that failed and how often."""
+    return found.groupBy("check").agg(F.count(F.lit(1)).alias("n"))
+
+
 def enforce(found: DataFrame, shown: int = 20) -> None:
-    """Raises ValueError naming every failed check with its number of violations and `shown` of the keys."""
-    found = found.select("check", F.substring("key", 1, 60).alias("key"))
-    counts = {r[0]: r[1] for r in found.groupBy("check").agg(F.count(F.lit(1))).collect()}  # one row a check
+    """Raises GateError once, naming every failed check with its number of violations and the first `shown` whole keys;
+    the error carries the frame of all violations, which may be as large as the corpus, for whoever wants every one."""
+    found = session.cut(found)
+    counts = {r[0]: r[1] for r in summary(found).collect()}  # one row a check
+    if not counts:
+        return
     order = Window.partitionBy("check").orderBy("key")
-    some = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= shown).orderBy("check", "key").collect() if counts else []
-    rows = [{"check": c, "n": n, "keys": [r["key"] for r in some if r["check"] == c]} for c, n in sorted(counts.items())]
-    if rows:
-        raise ValueError("; ".join(f"{r['check']}: {r['n']} ({', '.join(map(str, r['keys']))})" for r in rows))
+    some = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= shown).orderBy("check", "key").collect()
+    rows = [(c, n, [str(r["key"]) for r in some if r["check"] == c]) for c, n in sorted(counts.items())]
+    raise GateError("; ".join(f"{c}: {n} ({', '.join(keys)}{', …' if n > len(keys) else ''})" for c, n, keys in rows), found)
 
 
 def repeated(rows: DataFrame, check: str, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexweave.plans import corpus, retrieval, texts
+from lexweave.plans import checked, corpus, retrieval, texts
 
-QUERIES = {**corpus.QUERIES, **retrieval.QUERIES, **texts.QUERIES}
-SQL = {**corpus.SQL, **retrieval.SQL, **texts.SQL}
+QUERIES = {**corpus.QUERIES, **retrieval.QUERIES, **texts.QUERIES, **checked.QUERIES}
+SQL = {**corpus.SQL, **retrieval.SQL, **texts.SQL, **checked.SQL}

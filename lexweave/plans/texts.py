@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import ids, text
-from lexweave.functions.keys import norm_key
+from lexweave.functions.keys import digest, norm_key
 from lexweave.operators import annotation, answers, chunking, gates, search, snapshots
 from lexweave.operators.records import current
 from lexweave.plans.corpus import _HELD
-from lexweave.session import read
+from lexweave.session import cut, read
 from lexweave.sources.readers import guide_headers
 
 LATEST = 6
@@ -84,25 +84,29 @@ def golden_gate(spark: SparkSession, d: str) -> DataFrame:
     return gates.golden_gate(rows.withColumn("gold_articles", upper), read(spark, d, "fiches").select("fiche_id").distinct(), _articles(spark, d).select("cid"), texts)
 
 
-def lexical_shortlist(spark: SparkSession, d: str) -> DataFrame:
-    """The ten articles nearest to each golden question by terms: a term weighs thrice its occurrences in the question,
-    plus its occurrences in the expected points, and counts per occurrence in the article."""
+def _term_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    """`annotation.term_shortlist` of the golden items over the texts of held articles.
+
+    Texts are reduced to their terms that some item asks for where they are read; which delivery counts is found from
+    digests, so no text is shuffled.
+    """
     items = _golden(spark, d)
     weights = items.select("id", F.explode(text.terms(F.col("question"))).alias("term"), F.lit(3).alias("w")).unionByName(
         items.select("id", F.explode(text.terms(F.array_join("expected_points", " "))).alias("term"), F.lit(1).alias("w"))
     ).groupBy("id", "term").agg(F.sum("w").alias("w"))
-    held = _articles(spark, d, "texte").select("cid", F.explode(text.terms(F.col("texte"))).alias("term")).groupBy("cid", "term").agg(F.count(F.lit(1)).alias("n"))
-    scores = held.join(weights, "term").groupBy("id", "cid").agg(F.sum(F.col("w") * F.col("n")).alias("score"))
-    top = scores.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "cid"))).where("rank <= 10")
-    return top.select("id", "cid", "score", F.col("rank").cast("int").alias("rank"))
+    weights = cut(weights)
+    rows = read(spark, d, "articles").where(F.col("snapshot_no") == LATEST).select(F.monotonically_increasing_id().alias("row"), norm_key("cid").alias("cid"), "delivered_at", digest("texte").alias("version"), "texte")
+    rows = rows.select("row", "cid", "delivered_at", "version", F.explode(text.terms(F.col("texte"))).alias("term"))  # numbered before it's exploded
+    asked = rows.join(weights.select("term").distinct(), "term", "left_semi").groupBy("row", "cid", "delivered_at", "version", "term").agg(F.count(F.lit(1)).alias("n"))
+    won = snapshots.held(read(spark, d, "articles").where(F.col("snapshot_no") == LATEST), {"version": digest("texte")}).select("cid", "delivered_at", "version")
+    held = asked.drop("row").distinct().join(won, ["cid", "delivered_at", "version"], "left_semi").select("cid", "term", "n")
+    return annotation.term_shortlist(weights, held)
 
 
-def verbatim_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Gold spans that occur verbatim in a piece of one of the item's guides."""
-    items = _golden(spark, d)
-    texts = read(spark, d, "fiche_chunks").select("fiche_id", "text").where("text IS NOT NULL").distinct()
-    pairs = items.select("id", F.explode("gold_spans").alias("span")).where("span <> ''").distinct().join(items.select("id", F.explode("gold_fiches").alias("fiche_id")).distinct(), "id")
-    return pairs.join(texts, "fiche_id").where(F.contains("text", "span")).select("id", "span").distinct()
+def lexical_shortlist(spark: SparkSession, d: str) -> DataFrame:
+    """The ten articles nearest to each golden question by terms: a term weighs thrice its occurrences in the question,
+    plus its occurrences in the expected points, and counts per occurrence in the article."""
+    return _term_shortlist(spark, d)
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -199,7 +203,7 @@ def guide_headers_all(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lookup_keys, reference_sets, short_circuit_path, trimmed_history, condense_status, breadcrumbs, point_ids, article_gate, golden_gate, lexical_shortlist, verbatim_spans, citation_check,
+        lookup_keys, reference_sets, short_circuit_path, trimmed_history, condense_status, breadcrumbs, point_ids, article_gate, golden_gate, lexical_shortlist, citation_check,
         chunk_sizes, html_blocks, article_chunks, fiche_chunks, chunk_gate, prompt_render, annotation_progress, working_sets, outside_sections, guide_headers_all,
     )
 }
@@ -212,6 +216,7 @@ _LAST = """last AS (SELECT * FROM (SELECT upper(trim(cid, chr(32) || chr(9) || c
   row_number() OVER (PARTITION BY upper(trim(cid, chr(32) || chr(9) || chr(10) || chr(13) || chr(160))) ORDER BY delivered_at DESC) AS rn FROM articles WHERE snapshot_no = 6) WHERE rn = 1 AND etat = 'VIGUEUR')"""
 _TURN = "CASE WHEN right(id, 1)::INT % 2 = 0 THEN question || ' (art. L. ' || right(id, 3)::INT || '-1)' ELSE question END"
 _REF = r"regexp_extract({0}, '\b[LRAD]\*?\s?\.?\s?\d+(?:-\d+)*\b')"
+_REF_BODY = r"\b[LRAD]\*?\s?\.?\s?\d+(?:-\d+)*\b"
 _TERMS = "list_filter(regexp_extract_all(lower({0}), '[a-zà-ÿ0-9]+'), lambda t: length(t) >= 3)"
 
 SQL = {
@@ -224,6 +229,15 @@ SELECT id, 'all' AS part FROM w UNION ALL SELECT id, 'articles' FROM w WHERE len
     "short_circuit_path": f"""WITH {_LAST}, {_ITEMS}, keys AS (SELECT DISTINCT {_KEY.replace('{0}', 'citation_id')} AS k FROM last),
 turns AS (SELECT id, nullif(translate(upper({_REF.replace('{0}', _TURN)}), ' .*', ''), '') AS ref FROM golden)
 SELECT id, CASE WHEN ref IS NULL THEN 'no_reference' WHEN k IS NULL THEN 'membership_failed' ELSE 'resolved' END AS path, k AS lookup_key FROM turns LEFT JOIN keys ON ref = k""",
+    "condense_status": f"""WITH {_LAST}, {_ITEMS}, keys AS (SELECT DISTINCT {_KEY.replace('{0}', 'citation_id')} AS k FROM last),
+t AS (SELECT id, question AS q, coalesce(len(history), 0) AS h, right(id, 1)::INT AS k FROM golden),
+s AS (SELECT id, q, h, k, CASE WHEN k < 2 THEN NULL WHEN k < 4 THEN '  ' || q || ' ' WHEN k = 4 THEN q || ' (art. L999-9)' WHEN k = 5 THEN q || chr(10) || 'Voilà' ELSE q || ' en France' END AS said,
+  nullif(translate(upper({_REF.replace('{0}', 'q')}), ' .*', ''), '') AS ref FROM t),
+u AS (SELECT *, trim(said, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) AS x FROM s),
+c AS (SELECT *, x IS NOT NULL AND length(x) BETWEEN 1 AND 300 AND NOT contains(x, chr(10)) AND len(list_filter(regexp_extract_all(x, '{_REF_BODY}'), lambda r: NOT list_contains(list_transform(regexp_extract_all(q, '{_REF_BODY}'), lambda y: translate(upper(y), ' .*', '')), translate(upper(r), ' .*', '')))) = 0 AS clean FROM u),
+d AS (SELECT *, CASE WHEN h = 0 THEN 'skipped_no_history' WHEN ref IN (SELECT k FROM keys WHERE k IS NOT NULL) THEN 'skipped_short_circuit' WHEN said IS NULL THEN 'fallback_error' WHEN NOT clean THEN 'fallback_sanitizer'
+  WHEN x = trim(q, chr(32) || chr(9) || chr(10) || chr(13) || chr(160)) THEN 'passthrough' ELSE 'rewritten' END AS condense_status FROM c)
+SELECT id, CASE WHEN condense_status = 'rewritten' THEN x ELSE q END AS query, condense_status FROM d""",
     "trimmed_history": f"""WITH {_ITEMS}, t AS (SELECT id, history[greatest(len(history) - 5, 1):] AS h FROM golden WHERE len(history) > 0)
 SELECT id, (n - 1)::INT AS turn_no, h[n]['role'] AS role, left(h[n]['content'], 2000) AS content FROM (SELECT id, h, unnest(range(1, len(h) + 1)) AS n FROM t)""",
     "breadcrumbs": f"""WITH {_LAST} SELECT array_to_string(list_transform(string_split(fullSectionsTitre, '>')[2:], lambda p: trim(p)), ' > ') AS breadcrumb, count(*) AS n_articles FROM last GROUP BY 1""",
@@ -234,8 +248,6 @@ SELECT 'one version per article' AS "check", cid AS "key", count(*)::VARCHAR AS
 UNION ALL SELECT 'in force', cid, etat FROM rows WHERE etat IS DISTINCT FROM 'VIGUEUR'
 UNION ALL SELECT 'lookup keys unique', k, count(*)::VARCHAR FROM (SELECT {_KEY.replace('{0}', 'citation_id')} AS k FROM rows) WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1
 UNION ALL SELECT 'citation present', cid, NULL FROM rows WHERE coalesce(citation_id, '') = ''""",
-    "verbatim_spans": f"""WITH {_ITEMS}, s AS (SELECT DISTINCT id, unnest(gold_spans) AS span FROM golden), f AS (SELECT DISTINCT id, unnest(gold_fiches) AS fiche_id FROM golden)
-SELECT DISTINCT s.id, span FROM s JOIN f USING (id) JOIN fiche_chunks c USING (fiche_id) WHERE span <> '' AND contains(c.text, span)""",
     "lexical_shortlist": f"""WITH {_LAST}, {_ITEMS},
 w AS (SELECT id, term, sum(w) AS w FROM (SELECT id, unnest({_TERMS.replace('{0}', 'question')}) AS term, 3 AS w FROM golden
   UNION ALL SELECT id, unnest({_TERMS.replace('{0}', "array_to_string(expected_points, ' ')")}), 1 FROM golden) GROUP BY 1, 2),
