@@ -367,12 +367,16 @@ def _held6(*columns: str) -> str:
   FROM articles WHERE snapshot_no = 6) WHERE rn = 1 AND etat = 'VIGUEUR' AND cid IS NOT NULL)"""
 
 
-def _references(c: str) -> str:
-    """The plain scan with Unicode's letters, digits and blanks: what stands before and after a number is read with it; a
-    number that runs on in letters loses its last segment, or is none."""
+_WORD = r"\p{L}\p{M}\p{N}\p{Pc}\x{200C}\x{200D}"
+
+
+def _references(c: str, strict: bool = False) -> str:
+    """The scan with Unicode's letters, digits and blanks: what stands before and after a number is read with it. In the
+    plain scan a number that runs on in letters loses its last segment, or is none; in the strict one it's none."""
     blank = r"[\s\x{A0}\x{2000}-\x{200A}\x{202F}\x{3000}]?"
-    found = rf"coalesce(regexp_extract_all({c}, '[\p{{L}}\p{{N}}_]?[LRAD]\*?{blank}\.?{blank}\p{{Nd}}+(?:-\p{{Nd}}+)*[\p{{L}}\p{{N}}_]?'), [])"
-    cut = rf"CASE WHEN regexp_matches(x, '^[\p{{L}}\p{{N}}_][LRAD]') THEN NULL WHEN NOT regexp_matches(x, '[\p{{L}}_]$') THEN x WHEN contains(x, '-') THEN regexp_replace(x, '-[^-]*$', '') END"
+    found = rf"coalesce(regexp_extract_all({c}, '[{_WORD}]?[LRAD]\*?{blank}\.?{blank}\p{{Nd}}+(?:-\p{{Nd}}+)*[{_WORD}{'-' if strict else ''}]?'), [])"
+    short = "NULL" if strict else "CASE WHEN contains(x, '-') THEN regexp_replace(x, '-[^-]*$', '') END"
+    cut = rf"CASE WHEN regexp_matches(x, '^[{_WORD}][LRAD]') THEN NULL WHEN regexp_matches(x, '\p{{Nd}}$') THEN x ELSE {short} END"
     return f"list_transform(list_transform({found}, lambda x: {cut}), lambda x: translate(upper(x), ' .*', ''))"
 
 
@@ -424,6 +428,8 @@ w AS (SELECT doc_id, len(regexp_extract_all(s, '\S+')) AS n FROM s WHERE trim(s,
 SELECT doc_id, sum(CASE WHEN n <= 510 THEN 1 ELSE ceil(n / 510.0) END)::BIGINT AS n_pieces, max(least(n, 510))::INT AS longest, sum(n)::BIGINT AS n_words FROM w GROUP BY 1""",
     "reference_scan": f"""WITH {_held6('texte')}, r AS (SELECT cid, list_distinct(list_filter({_references('texte')}, lambda x: x IS NOT NULL)) AS r FROM last)
 SELECT cid, array_to_string(list_sort(r), ',') AS "references", len(r)::INT AS n_references FROM r""",
+    "reference_sets": f"""WITH {_held6('texte')}, r AS (SELECT cid, unnest(list_distinct(list_filter({_references('texte', True)}, lambda x: x IS NOT NULL))) AS r FROM last)
+SELECT r AS reference, count(*) AS n_articles FROM r GROUP BY 1""",
     "scope": f"WITH {_held6('sectionParentId')} SELECT doc_id::VARCHAR AS fiche_id FROM documents WHERE {_n('section_id')} IN (SELECT {_n('sectionParentId')} FROM last WHERE {_n('sectionParentId')} IS NOT NULL)",
     "sections_gate": f"""WITH {_held6('sectionParentId')}, g AS (SELECT DISTINCT doc_id::VARCHAR AS k, {_n('section_id')} AS s FROM documents WHERE {_n('section_id')} IS NOT NULL)
 SELECT 'sections resolve' AS "check", k AS "key", NULL::VARCHAR AS detail FROM g GROUP BY k HAVING NOT bool_or(s IN (SELECT {_n('sectionParentId')} FROM last WHERE {_n('sectionParentId')} IS NOT NULL))""",
