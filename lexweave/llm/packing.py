@@ -22,6 +22,8 @@ from lexweave import session
 from lexweave.llm import tokens as T
 
 CAPACITY = 2048
+#: Greatest capacity: the sweep's state is a row per size at most, and its work grows with the square of the sizes there are.
+MOST = 1 << 14
 #: Rows of one size that one task ranks, about.
 RUN = 100_000
 
@@ -40,9 +42,11 @@ class Match:
 def sweep(histogram: dict[int, int], capacity: int) -> tuple[list[Match], int]:
     """Matches for all items of the histogram (size -> number), and how many containers they take.
 
-    Sizes are from 1 to the capacity. A run of containers takes as many items of a size each as fit, the fullest first,
+    Sizes are from 1 to the capacity, which is at most MOST. A run of containers takes as many items of a size each as fit, the fullest first,
     which is what best fit in decreasing order does one item at a time.
     """
+    if not 1 <= capacity <= MOST:
+        raise ValueError(f"the capacity is from 1 to {MOST}")
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # gap -> runs (first container, number)
     order: list[int] = []  # heap of gaps that may have runs
     matches, opened = [], 0
@@ -110,7 +114,8 @@ def pack(items: DataFrame, key: str = "doc_id", part: str = "part_no", size: str
 
     items: (key, part, size), size from 1 to the capacity; they are written once to the shared folder, since their
     ranks have to be the same on every read. Ranks are taken within parts of a size, by a hash of the key, that hold
-    about RUN rows each; so a size that a third of all items has is ranked by many tasks. Rows that agree in key and
+    about RUN rows each; so a size that a third of all items has is ranked by many tasks. Their number, and so which
+    of several items of one size goes to which container, follows from RUN; how full the containers are doesn't. Rows that agree in key and
     part share a rank order but are separate items. Empty input gives no rows.
     """
     items = session.cut(items.select(key, part, size))

@@ -195,11 +195,12 @@ def fiche_items(fiches: DataFrame) -> DataFrame:
 
 
 def chunk_items(chunks: DataFrame, limit: int = 0) -> DataFrame:
-    """Items of the pieces cut earlier. Of different texts under one chunk_id the greatest by order counts."""
+    """Items of the pieces cut earlier, one per chunk_id and text: repeated rows count once, and of different texts under
+    one chunk_id each is an item, so that what comes out doesn't depend on the limit."""
     rows = chunks.select(F.col("chunk_id").alias("item_key"), F.col("text").alias("body")).where("item_key IS NOT NULL AND body IS NOT NULL")
     if limit:
         rows = rows.where(_at_least(F.col("body"), limit))
-    return rows.groupBy("item_key").agg(F.max("body").alias("body")).select(F.lit("chunk").alias("item_kind"), "item_key", "body")
+    return rows.distinct().select(F.lit("chunk").alias("item_kind"), "item_key", "body")
 
 
 def corpus_pieces(articles: DataFrame, fiches: DataFrame, chunks: DataFrame, snapshot: int = 6, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import SparkFiles
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the vocabulary of the byte-level BPE for many languages lies by default.
@@ -18,17 +20,29 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> Callable[[str], int]:
-    """A function that counts the tokens of a text."""
+    """A function that counts the tokens of a text; the file is read where it lies, or where the job brought it."""
     import tiktoken
 
+    if not os.path.exists(path):
+        path = SparkFiles.get(os.path.basename(path))
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-    encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: len(encode(text))
+    encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: len(encoding.encode_ordinary(text))
+
+
+def bring(spark: SparkSession, path: str) -> None:
+    """Sends a vocabulary file of this machine along with the job, once, for workers that don't have it at this path."""
+    sent = spark.sparkContext.__dict__.setdefault("_lexweave_files", set())
+    if path not in sent and os.path.exists(path):
+        spark.sparkContext.addFile(path)
+        sent.add(path)
 
 
 def count(text: Column, path: str = DEFAULT) -> Column:
     """Tokens of a text as BIGINT; null for a null text, 0 for an empty one. Whole texts are read."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        bring(spark, path)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -45,6 +45,23 @@ def test_sizes_are_checked():
     assert p.sweep({}, 10) == ([], 0)
     with pytest.raises(ValueError):
         p.sweep({11: 1}, 10)
+    with pytest.raises(ValueError, match="capacity"):
+        p.sweep({1: 1}, p.MOST + 1)
+
+
+def test_all_sizes_at_the_greatest_capacity():
+    matches, opened = p.sweep({s: 3 for s in range(1, p.MOST + 1)}, p.MOST)
+    assert opened == -(-3 * sum(range(1, p.MOST + 1)) // p.MOST) and len(matches) < 4 * p.MOST
+
+
+def test_counts_are_those_of_the_lists():
+    from lexweave.llm import tokens
+
+    try:
+        of = tokens.counter(tokens.DEFAULT)
+    except OSError:
+        pytest.skip("no vocabulary here")
+    assert [of(t) for t in ("", "un mot", "<|endoftext|>")][:2] == [0, 2] and of("<|endoftext|>") > 1
 
 
 def test_pack_ranks_hot_sizes_in_parts(spark, monkeypatch):

@@ -78,6 +78,15 @@ def test_bad_limits_and_edges():
     assert len(s.split_text("a\x00b " * 20, 5, 1)[0][5]) > 0
 
 
+def test_every_text_under_one_chunk_id_is_an_item(spark):
+    """Two oversized texts and a greater short one: both are cut, with a limit or without."""
+    rows = [("c", "a " * 600), ("c", "b " * 700), ("c", "z z"), ("c", "a " * 600)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    assert sorted(len(r.body) for r in s.chunk_items(df, 512).collect()) == [1200, 1400]
+    cut = lambda limit: sorted((r.n_pieces, r.n_words) for r in s.pieces(s.chunk_items(df, limit), "text").where("n_pieces > 1").collect())
+    assert cut(512) == cut(0) and len(cut(0)) == 4
+
+
 def test_corpus(spark):
     t = dt.datetime(2024, 1, 1)
     long = "<p>" + "mot " * 513 + "</p>"
