@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,6 +260,117 @@ def calibration_checks(spark: SparkSession, d: str) -> DataFrame:
     return gates.calibration_gate(pairs, known).select("check", "key")
 
 
+# --- evaluation, with models that are rules ----------------------------------------------------------------------------
+
+
+def _rule_judge():  # type: ignore[no-untyped-def]
+    """A judge that goes by the length of what it's asked; some of what it says can't be read."""
+
+    def run(prompts):  # type: ignore[no-untyped-def]
+        out = []
+        for p in prompts:
+            n = len(p)
+            if n % 7 == 0:
+                out.append("no JSON")
+            elif p.startswith("Which share"):
+                out.append(json.dumps({"score": n % 101 / 100}))
+            else:
+                points = p.split("Points:\n", 1)[1].split("\n\nAnswer:", 1)[0].split("\n\n")
+                out.append(json.dumps({"verdicts": [{"index": i, "asserted": (n + i) % 2 == 0} for i in range(len(points), 0, -1)]}))
+        return out
+
+    return run
+
+
+def _rule_picks():  # type: ignore[no-untyped-def]
+    """Picks the articles whose id is even."""
+    return lambda prompts: ["\n".join(f"- {x}" for x in re.findall(r"(?m)^(\S+) : ", p) if x[-1] in "02468") for p in prompts]
+
+
+def _rule_reasons():  # type: ignore[no-untyped-def]
+    return lambda prompts: ["\n".join(f"{x}: reason {len(x)}\n{x}: later\nX{x}: other" for x in re.findall(r"(?m)^(\S+) : ", p)) for p in prompts]
+
+
+def _rule_question():  # type: ignore[no-untyped-def]
+    """The guide's text as a question; one that ends in a nought fails."""
+
+    def run(prompts):  # type: ignore[no-untyped-def]
+        guide = prompts[0].split("\n\n", 1)[1]
+        if guide.endswith("0"):
+            raise ValueError("nought")
+        return [f" - {guide} ?\n- more"]
+
+    return run
+
+
+def judged_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Both judged metrics of the answers made of golden items, and what couldn't be read."""
+    items = _golden(spark, d).select("id", "question", F.coalesce("expected_points", _none()).alias("expected_points"))
+    rows = _answers(spark, d).join(items, "id").select("id", "question", "expected_points", F.array_join("retrieved", " ").alias("context"), F.col("envelope").cast(answers.ENVELOPE).alias("envelope"))
+    out = evaluate.judged(rows.withColumn("context", F.lit("context")), _rule_judge)
+    return out.select("id", F.round("faithfulness", 9).alias("faithfulness"), F.round("point_coverage", 9).alias("point_coverage"), F.coalesce("judge_error", F.lit("")).alias("judge_error"))
+
+
+def second_reading(spark: SparkSession, d: str) -> DataFrame:
+    """Golden articles against those a second reader picks from the sections' articles."""
+    texts = _articles(spark, d, "sectionParentId", "texte").select("cid", norm_key("sectionParentId").alias("section_id"), "texte")
+    items = _read_items(spark, d).withColumn("question", F.lit("q"))
+    rows = evaluate.disagreement_pass(items, _guides(spark, d), texts, _rule_picks)
+    return rows.select("id", *(F.array_join(c, ",").alias(c) for c in ("only_gold", "only_picks", "explained", "needs_review")))
+
+
+def rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Why the shortlisted articles are rejected."""
+    texts = _articles(spark, d, "texte")
+    return evaluate.rejection_reasons(_read_items(spark, d).withColumn("question", F.lit("q")), _shortlist(spark, d), texts, _rule_reasons)
+
+
+def drafts(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts of items for all parent sections, which no golden item uses as guides."""
+    texts = _guides(spark, d).select("fiche_id", F.col("fiche_id").alias("text"))
+    articles = _articles(spark, d, "sectionParentId", "texte").select("cid", norm_key("sectionParentId").alias("section_id"), "texte")
+    rows = evaluate.draft_items(texts, _guides(spark, d), articles, _items(spark, d), _rule_question, _rule_picks, 2**31 - 1, 1)
+    return rows.select("id", "fiche_id", "question", "expected_state", F.array_join("gold_articles", ",").alias("gold_articles"), "error")
+
+
+def draft_twins(spark: SparkSession, d: str) -> DataFrame:
+    """Calibration pairs to be worked on, of all golden items."""
+    done = _answers(spark, d).select(F.col("id").alias("qid"), "envelope", "retrieved", F.lit("c").alias("context"))
+    rows = evaluate.draft_pairs(_items(spark, d), done, "other")
+    return rows.select("golden_id", "archetype", F.array_join("retrieved", ",").alias("retrieved"), F.col("clean.envelope").eqNullSafe(F.col("faulted.envelope")).alias("alike"), F.size("clean.envelope.fondement_juridique").alias("n_cited"))
+
+
+def floor_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Items with an article as the set for the floor, the others as held out: one kind is missing, some guides overlap."""
+    items = _items(spark, d)
+    return evaluate.floor_gate(items.where("expected_state = 'reponse'"), items.where("expected_state <> 'reponse'"))
+
+
+def run_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs written, read and compared from their files by the registered metric, and the report read again."""
+    folder = session.scratch(spark, "runs")
+    rows = _items(spark, d).select(F.col("id").alias("item_id"), F.size(F.coalesce("expected_points", _none())).alias("n"), F.length("question").alias("q"))
+    names = [f.split() for f in schemas.ITEM_SCORES.split(", ")]
+    paths = []
+    for run, value in (("a", F.col("q") % 5 / 4), ("b", F.col("q") % 7 / 6)):
+        scores = rows.select(*(F.col("item_id") if n == "item_id" else F.when(F.col("n") > 0, value if n == "fiche_recall_at_4" else None).cast(k).alias(n) for n, k in names))
+        paths.append(readers.write_run({"run_id": run, "arm": "rung1"}, scores, folder))
+    evaluate.compare_files(spark, *paths, "rung4", f"{folder}/report.json")
+    report = spark.read.schema("change string, comparison array<struct<metric:string,n_paired:long,improved:long,regressed:long,net:long>>, verdict array<struct<net:long,adopt:boolean>>").option("multiLine", "true").json(f"{folder}/report.json")
+    return report.select("change", F.explode("comparison").alias("c"), F.col("verdict")[0].alias("v")).where("c.n_paired > 0").select("change", "c.*", "v.adopt")
+
+
+def annotated_files(spark: SparkSession, d: str) -> DataFrame:
+    """The golden set saved in two parts, the second of which replaces items of the first, and read again."""
+    path = f"{session.scratch(spark, 'set')}/set.json"
+    items = _items(spark, d)
+    none = lambda df: gates.repeated(df, "ids unique", "id")
+    evaluate.save_items(items.withColumn("question", F.lit("old")), path, none)
+    evaluate.save_items(items.where("question NOT LIKE '%e%e%'"), path, none)
+    back = readers.annotated_set(spark, path)
+    return back.select("id", "question", "expected_state", F.coalesce(F.array_join("gold_articles", ","), F.lit("null")).alias("gold_articles"), F.coalesce(F.size("history"), F.lit(-1)).alias("n_turns"))
+
+
 # --- annotation ------------------------------------------------------------------------------------------------------
 
 
@@ -350,7 +464,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         jsonl_articles, index_upsert, index_release, dataset_projection, dataset_inverse, attribution, enriched_articles, enriched_guides, text_forms, verbatim_parts, band_pieces, reference_scan, scope, sections_gate,
-        piece_gate, gate_counts, answer_scores, answer_links, answer_views, key_lookup, calibration_summary, calibration_errors, point_coverage, calibration_checks, reading, section_articles, sections_shortlist,
+        piece_gate, gate_counts, answer_scores, answer_links, answer_views, key_lookup, calibration_summary, calibration_errors, point_coverage, calibration_checks, judged_answers, second_reading, rejections, drafts, draft_twins, floor_gate, run_files, annotated_files, reading, section_articles, sections_shortlist,
         outside_guides, shortlists, disagreements, held_out_overlap, unused_guides, derived_tags, score_cells, usage_windows,
     )
 }
@@ -478,4 +592,26 @@ SELECT * FROM o WHERE only_gold <> '' OR only_picks <> ''""",
   'gs-' || lpad(((SELECT max(try_cast(regexp_extract(id, '^gs-([0-9]+)$', 1) AS INT)) FROM golden) + 1)::VARCHAR, 3, '0') AS next_id FROM (SELECT id, history, list_filter(coalesce(tags, []), lambda x: x <> 'multi_turn') AS t FROM golden)""",
     "score_cells": "WITH m AS (" + _RETRIEVAL["item_metrics"] + ") " + " UNION ALL ".join(f"SELECT qid, '{m}' AS metric, {m}::DOUBLE AS value FROM m WHERE {m} IS NOT NULL" for m in metrics.METRICS),
     "usage_windows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n_events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "judged_answers": f"""WITH {_LAST}, {_ITEMS}, {_ANSWERED}, a AS (SELECT r.id, g.question AS q, coalesce(g.expected_points, []) AS p, concat_ws(chr(10), '…', CASE WHEN len(cited) > 0 THEN chr(10) || 'Fondement juridique :' || chr(10) || array_to_string(list_transform(cited, lambda k: '- ' || k || ' : '), chr(10)) END,
+    CASE WHEN s LIKE 'refus:%' THEN chr(10) || 'Refus (motif : ' || substr(s, 7) || ')' WHEN s = 'reponse_sans_article' THEN chr(10) || 'Aucun fondement : …' END) AS answer FROM r JOIN golden g USING (id)),
+n AS (SELECT id, len(p) AS k, {len(evaluate.TEMPLATES["faithfulness"]) - len("{{context}}{{answer}}") + len("context")} + length(answer) AS f,
+  CASE WHEN len(p) > 0 THEN {len(evaluate.TEMPLATES["point_coverage"]) - len("{{question}}{{points}}{{answer}}")} + length(q) + length(answer) + list_sum(list_transform(p, lambda x, i: length(i::VARCHAR) + 2 + length(x))) + 2 * (len(p) - 1) END AS c FROM a)
+SELECT id, CASE WHEN f % 7 <> 0 THEN round((f % 101) / 100.0::DOUBLE, 9) END AS faithfulness, CASE WHEN c % 7 <> 0 THEN round(len(list_filter(range(1, k + 1), lambda i: (c + i) % 2 = 0))::DOUBLE / k, 9) END AS point_coverage,
+  concat_ws('; ', CASE WHEN f % 7 = 0 THEN 'faithfulness: no score from 0 to 1' END, CASE WHEN c % 7 = 0 THEN 'point_coverage: the verdicts do not number the points' END) AS judge_error FROM n""",
+    "second_reading": f"""{_SECTIONED}, cells AS (SELECT id, cid, max(g) AS g, max(m) AS m, max(s) AS s FROM (SELECT id, cid, 1 AS g, 0 AS m, 0 AS s FROM mine UNION ALL SELECT id, cid, 0, 1, 0 FROM short WHERE right(cid, 1) IN ('0', '2', '4', '6', '8')
+  UNION ALL SELECT id, cid, 0, 0, 1 FROM short) GROUP BY 1, 2 HAVING max(g) + max(m) > 0),
+o AS (SELECT id, coalesce(string_agg(cid, ',' ORDER BY cid) FILTER (g = 1 AND m = 0), '') AS only_gold, coalesce(string_agg(cid, ',' ORDER BY cid) FILTER (g = 0 AND m = 1), '') AS only_picks, coalesce(string_agg(cid, ',' ORDER BY cid) FILTER (g = 1 AND m = 0 AND s = 0), '') AS explained,
+  coalesce(string_agg(cid, ',' ORDER BY cid) FILTER ((g = 1 AND m = 0 AND s = 1) OR (g = 0 AND m = 1)), '') AS needs_review FROM cells GROUP BY 1)
+SELECT * FROM o WHERE only_gold <> '' OR only_picks <> ''""",
+    "rejections": f"{_SECTIONED} SELECT id, cid, 'reason ' || length(cid) AS reason FROM short",
+    "drafts": f"""{_SECTIONED}, g AS (SELECT p, row_number() OVER (ORDER BY p) AS n FROM (SELECT DISTINCT p FROM kids)), m AS (SELECT max(try_cast(regexp_extract(id, '^gs-([0-9]+)$', 1) AS INT)) AS m FROM golden),
+a AS (SELECT p, string_agg(DISTINCT cid, ',' ORDER BY cid) AS picks FROM kids JOIN art USING (s) WHERE right(cid, 1) IN ('0', '2', '4', '6', '8') GROUP BY 1)
+SELECT 'gs-' || CASE WHEN m + n < 100 THEN lpad((m + n)::VARCHAR, 3, '0') ELSE (m + n)::VARCHAR END AS id, p AS fiche_id, CASE WHEN right(p, 1) <> '0' THEN p || ' ?' END AS question, CASE WHEN right(p, 1) = '0' THEN NULL WHEN picks IS NOT NULL THEN 'reponse' ELSE 'reponse_sans_article' END AS expected_state,
+  CASE WHEN right(p, 1) = '0' THEN '' ELSE coalesce(picks, '') END AS gold_articles, CASE WHEN right(p, 1) = '0' THEN 'ValueError: nought' END AS error FROM g CROSS JOIN m LEFT JOIN a USING (p)""",
+    "draft_twins": f"WITH {_LAST}, {_ITEMS}, {_ANSWERED} SELECT id AS golden_id, 'other' AS archetype, array_to_string(list_sort(good), ',') AS retrieved, true AS alike, len(cited)::INT AS n_cited FROM r",
+    "floor_gate": f"""WITH {_ITEMS}, f AS (SELECT DISTINCT id, expected_state = 'reponse' AS r, unnest(gold_fiches) AS fiche_id FROM golden WHERE expected_state IS NOT NULL)
+SELECT 'guides not held out' AS "check", id AS "key", fiche_id AS detail FROM f WHERE r AND fiche_id IN (SELECT fiche_id FROM f WHERE NOT r) UNION ALL SELECT 'items without article', 'set', NULL""",
+    "run_files": f"""WITH {_ITEMS}, s AS (SELECT length(question) % 5 / 4.0::DOUBLE AS a, length(question) % 7 / 6.0::DOUBLE AS b FROM golden WHERE len(expected_points) > 0), n AS (SELECT count(*) AS n, count(*) FILTER (b > a) AS i, count(*) FILTER (b < a) AS r FROM s)
+SELECT 'rung4' AS change, 'fiche_recall_at_4' AS metric, n AS n_paired, i AS improved, r AS regressed, i - r AS net, i - r >= 4 AS adopt FROM n""",
+    "annotated_files": f"""WITH {_ITEMS} SELECT id, CASE WHEN question NOT LIKE '%e%e%' THEN question ELSE 'old' END AS question, expected_state, coalesce(array_to_string(gold_articles, ','), 'null') AS gold_articles, coalesce(len(history), -1)::INT AS n_turns FROM golden""",
 }

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Sequence
-from pathlib import Path
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from lexweave.functions import models, text
 from lexweave.operators import annotation, answers, gates, metrics
 from lexweave.plans import ingest
 from lexweave.sources import readers
+from lexweave.sources.files import write_text
 
 FAITHFULNESS, COVERAGE = "faithfulness", "point_coverage"
 JUDGED = (FAITHFULNESS, COVERAGE)
@@ -194,14 +194,11 @@ def draft_items(fiche_texts: DataFrame, guides: DataFrame, articles: DataFrame,
 # --- what is kept ----------------------------------------------------------------------------------------------------
 
 
-def write_report(parts: dict[str, DataFrame | Any], path: str) -> Path:
+def write_report(spark: SparkSession, parts: dict[str, DataFrame | Any], path: str) -> str:
     """A report as one JSON file: small frames (a row per metric, floor or item) as lists of objects, other values as
     they are."""
     plain = lambda v: [json.loads(r) for r in v.toJSON().collect()] if isinstance(v, DataFrame) else v
-    out = Path(path)
-    out.parent.mkdir(parents=True, exist_ok=True)
-    out.write_text(json.dumps({k: plain(v) for k, v in parts.items()}, ensure_ascii=False, indent=2, sort_keys=True) + "\n", encoding="utf-8")
-    return out
+    return write_text(spark, str(path), json.dumps({k: plain(v) for k, v in parts.items()}, ensure_ascii=False, indent=2, sort_keys=True) + "\n")
 
 
 def compare_files(spark: SparkSession, incumbent: str, challenger: str, change: str, out: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -211,14 +208,14 @@ def compare_files(spark: SparkSession, incumbent: str, challenger: str, change:
     table = session.cut(metrics.compare(one, two, "item_id"))
     verdict = metrics.verdict(table, primary)
     if out:
-        write_report({"change": change, "comparison": table, "verdict": verdict}, out)
+        write_report(spark, {"change": change, "comparison": table, "verdict": verdict}, out)
     return table, verdict
 
 
-def write_sweep(sweep: DataFrame, path: str) -> Path:
+def write_sweep(sweep: DataFrame, path: str) -> str:
     """A floor sweep with the floor that it chooses, as JSON."""
     sweep = session.cut(sweep)
-    return write_report({"sweep": sweep.orderBy("floor"), "best": metrics.best_floor(sweep)}, path)
+    return write_report(sweep.sparkSession, {"sweep": sweep.orderBy("floor"), "best": metrics.best_floor(sweep)}, path)
 
 
 def save_items(items: DataFrame, path: str, check: Callable[[DataFrame], DataFrame], key: str = "id", schema: str = schemas.GOLDEN) -> DataFrame:

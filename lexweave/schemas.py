@@ -20,6 +20,8 @@ ANSWER_SCORES = (
     "item_id string, expected_state string, actual_state string, state_correct boolean, citation_valid boolean, fabricated_ids array<string>, citation_correctness double, faithfulness double, "
     "point_coverage double, judge_error string"
 )
+_FIELDS = "run_id:string, arm:string, rung:string, created_at:string, retrieval_config:map<string,string>"
+ANSWER_RUN = f"header struct<{_FIELDS}>, items array<struct<{ANSWER_SCORES.replace(' ', ':').replace(',:', ', ')}>>"
 ENVELOPE = "struct<type:string, explanation:string, fondement_juridique:array<struct<article_id:string, gloss:string>>, aucun_fondement:string, motif:string>"
 CALIBRATION = (
     "golden_id string, archetype string, metric string, question string, expected_points array<string>, retrieved array<string>, context string, "

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -20,6 +23,7 @@ def build(cpus: int | str = "*", shuffle: int = 8, name: str = "lexweave") -> Sp
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -32,7 +36,8 @@ def build(cpus: int | str = "*", shuffle: int = 8, name: str = "lexweave") -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests, a laptop) a temporary folder of this machine is set instead.
+    A session that runs on one machine (tests, a laptop) and names none gets a temporary folder of this machine; one
+    with executors elsewhere, which couldn't read such a folder, is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
@@ -41,7 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if (own := spark.sparkContext.getCheckpointDir()) is not None:
         return own
-    own = os.path.join(os.environ.get("TMPDIR", "/tmp"), "lexweave-checkpoints")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="lexweave-checkpoints-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -53,8 +61,27 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder for a written intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/lexweave-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder for a written intermediate table. It stays as long as results may be read from it,
+    that is, until `clean` or the end of this process."""
+    path = f"{shared_dir(spark).rstrip('/')}/lexweave-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(clean, spark)
+    _written.append(path)
+    return path
+
+
+_written: list[str] = []
+
+
+def clean(spark: SparkSession) -> None:
+    """Drops the intermediate tables that this process has written; results that read from them can't be read any more."""
+    while _written:
+        path = _written.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended; whoever owns the folder cleans it
+            return
 
 
 def ship(spark: SparkSession) -> None:

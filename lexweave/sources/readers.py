@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Sequence
-from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from lexweave import schemas
 from lexweave.functions.text import collapse, epoch_ms_date
 from lexweave.operators.snapshots import IN_FORCE
+from lexweave.sources.files import read_text, write_text
 from lexweave.sources.xmltree import parse
 
 GUIDE_FILE = r"^F\d+\.xml$"
@@ -105,11 +105,10 @@ def in_scope(headers: DataFrame, articles: DataFrame) -> DataFrame:
 
 def annotated_set(spark: SparkSession, path: str, schema: str = schemas.GOLDEN) -> DataFrame:
     """Items of a YAML (where a YAML reader is installed) or JSON file; a missing or empty file has none."""
-    file = Path(path)
-    body = file.read_text(encoding="utf-8") if file.exists() else ""
+    body = read_text(spark, str(path)) or ""
     if not body.strip():
         return spark.createDataFrame([], schema)
-    if file.suffix in (".yaml", ".yml"):
+    if str(path).endswith((".yaml", ".yml")):
         try:
             import yaml
         except ImportError as e:
@@ -128,15 +127,11 @@ def write_annotated_set(items: DataFrame, path: str, key: str = "id") -> None:
     """Items in order of their key, fields in the order of the schema, as YAML or JSON by the file's name. The set is
     annotated by hand, so it is small. YAML is written without a YAML library: block style, texts in double quotes."""
     rows = [json.loads(r[0]) for r in items.orderBy(key).select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"})).collect()]
-    file = Path(path)
-    file.parent.mkdir(parents=True, exist_ok=True)
-    if file.suffix in (".yaml", ".yml"):
+    if str(path).endswith((".yaml", ".yml")):
         body = "".join(f"{line}\n" for r in rows for line in _yaml([r], 0)) or "[]\n"
     else:
         body = json.dumps(rows, ensure_ascii=False, indent=2) + "\n"
-    new = file.with_name(f".{file.name}.new")
-    new.write_text(body, encoding="utf-8")
-    new.replace(file)
+    write_text(items.sparkSession, str(path), body)
 
 
 def _yaml(value: Any, depth: int) -> list[str]:
@@ -157,25 +152,22 @@ def _yaml(value: Any, depth: int) -> list[str]:
     return [f"{pad}{json.dumps(value, ensure_ascii=False)}"]
 
 
-def run_items(spark: SparkSession, path: str | Iterable[str], legacy: dict[str, str] | None = None) -> DataFrame:
+def run_items(spark: SparkSession, path: str | Iterable[str], legacy: dict[str, str] | None = None, run: str = schemas.RUN) -> DataFrame:
     """(run_id, item_id, metrics): one row per scored item of run files; `legacy` maps old field names to new ones,
-    which fill in where the new field is null."""
+    which fill in where the new field is null. run: the schema, `schemas.RUN` or `schemas.ANSWER_RUN`."""
     old = legacy or {}
     extra = "".join(f", {o}:double" for o in old)
-    schema = schemas.RUN.replace(">>", f"{extra}>>") if old else schemas.RUN
+    schema = run.replace(">>", f"{extra}>>") if old else run
     rows = spark.read.schema(schema).option("multiLine", "true").json(path).select("header.run_id", F.explode("items").alias("i")).select("run_id", "i.*")
     for o, n in old.items():
         rows = rows.withColumn(n, F.coalesce(F.col(n), F.col(o))).drop(o)
     return rows
 
 
-def write_run(header: dict[str, Any], items: DataFrame, folder: str) -> Path:
-    """A run as one JSON file named by its id; its items are those of an annotated set."""
+def write_run(header: dict[str, Any], items: DataFrame, folder: str) -> str:
+    """A run as one JSON file named by its id, and its path; its items are those of an annotated set."""
     body = {"header": header, "items": [json.loads(r[0]) for r in items.orderBy("item_id").select(F.to_json(F.struct(*items.columns), {"ignoreNullFields": "false"})).collect()]}
-    path = Path(folder) / f"{header['run_id']}.json"
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(json.dumps(body, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
-    return path
+    return write_text(items.sparkSession, f"{str(folder).rstrip('/')}/{header['run_id']}.json", json.dumps(body, ensure_ascii=False, indent=2) + "\n")
 
 
 def attribution(manifest: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from lexweave.operators import orphans
 from lexweave.sources import index
+from lexweave.sources.files import Files
 
 
 def upsert_points(stream: DataFrame, folder: str, name: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True) -> StreamingQuery:
@@ -35,7 +36,7 @@ def orphan_stream(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQ
 
     def step(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        if n and not index.Files(spark, folder).exists(f"state-{n - 1}/settled/_SUCCESS"):
+        if n and not Files(spark, folder).exists(f"state-{n - 1}/settled/_SUCCESS"):
             raise FileNotFoundError(f"{folder}/state-{n - 1}: the state before batch {n} is missing")
         refs = batch.where("ref_table IS NOT NULL")
         parents = batch.where("ref_table IS NULL AND delta IS NOT NULL").select("space", F.col("missing_key").alias("key"), "at", "delta")

@@ -106,7 +106,7 @@ def test_what_is_kept(spark, tmp_path):
     _, verdict = evaluate.compare_files(spark, str(runs[0]), str(runs[1]), "rung4", str(tmp_path / "report.json"))
     assert verdict.first().adopt and json.loads((tmp_path / "report.json").read_text())["verdict"][0]["net"] == 6
     sweep = spark.createDataFrame([(0.5, 3, 2), (0.6, 3, 2), (0.7, 3, 1)], "floor double, n_items long, n_correct long")
-    assert json.loads(evaluate.write_sweep(sweep, str(tmp_path / "sweep.json")).read_text())["best"] == [{"floor": 0.6, "n_correct": 2}]
+    assert json.loads(open(evaluate.write_sweep(sweep, str(tmp_path / "sweep.json"))).read())["best"] == [{"floor": 0.6, "n_correct": 2}]
     item = lambda i, q: spark.createDataFrame([(i, q, None, "reponse", None, None, None, None, None)], schemas.GOLDEN)
     check = lambda df: gates.repeated(df, "ids unique", "id").unionByName(gates.violations(df.where("question = ''"), "question", "id"))
     path = str(tmp_path / "set.json")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexweave import schemas
 from lexweave.operators import orphans
-from lexweave.sources import index, readers
+from lexweave.sources import files, index, readers
 from lexweave.streaming import pipelines
 
 
@@ -110,7 +110,7 @@ def test_upsert_keeps_one_row_per_id_and_survives_a_crash(spark, tmp_path, monke
     def crash(self, name, text):
         raise OSError("crash")
 
-    monkeypatch.setattr(index.Files, "write", crash)
+    monkeypatch.setattr(files.Files, "write", crash)
     with pytest.raises(OSError):
         index.upsert(spark, home, "v", points(spark, ("c", 1, "new")))
     monkeypatch.undo()
