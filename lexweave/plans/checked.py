@@ -139,6 +139,15 @@ def band_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.max(F.regexp_count("piece", F.lit(r"\S+"))).alias("longest"), F.sum(F.regexp_count("piece", F.lit(r"\S+")).cast("long")).alias("n_words"))
 
 
+def packed_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of every guide packed again as units of a text, with the last one rebalanced."""
+    rows = read(spark, d, "fiche_chunks").where("text IS NOT NULL AND fiche_id IS NOT NULL AND chunk_index IS NOT NULL").groupBy("fiche_id", "chunk_index").agg(F.max("text").alias("text"))
+    words = lambda t: len(re.findall(r"[^ \t\n\r]+", t))
+    pack = F.udf(lambda units: [words(t) for t in chunking.pack_units(units, size=words)], "array<int>", useArrow=True)
+    units = rows.groupBy("fiche_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]).alias("u"))  # a guide's pieces
+    return units.select("fiche_id", F.posexplode(pack("u")).alias("piece_no", "n_words"))
+
+
 def reference_scan(spark: SparkSession, d: str) -> DataFrame:
     """All distinct references of every held article's text, by the plain pattern."""
     rows = _articles(spark, d, "texte").select("cid", text.all_references(F.col("texte")).alias("r"))
@@ -463,7 +472,7 @@ def usage_windows(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        jsonl_articles, index_upsert, index_release, dataset_projection, dataset_inverse, attribution, enriched_articles, enriched_guides, text_forms, verbatim_parts, band_pieces, reference_scan, scope, sections_gate,
+        jsonl_articles, index_upsert, index_release, dataset_projection, dataset_inverse, attribution, enriched_articles, enriched_guides, text_forms, verbatim_parts, band_pieces, packed_pieces, reference_scan, scope, sections_gate,
         piece_gate, gate_counts, answer_scores, answer_links, answer_views, key_lookup, calibration_summary, calibration_errors, point_coverage, calibration_checks, judged_answers, second_reading, rejections, drafts, draft_twins, floor_gate, run_files, annotated_files, reading, section_articles, sections_shortlist,
         outside_guides, shortlists, disagreements, held_out_overlap, unused_guides, derived_tags, score_cells, usage_windows,
     )
@@ -540,6 +549,16 @@ FROM (SELECT chunk_id, text, [substr(text, 1, 20), coalesce(chapitre_titre, ''),
     "band_pieces": r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!])\s+([A-ZÀ-Ü0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, len(regexp_extract_all(s, '\S+')) AS n FROM s WHERE trim(s, chr(32) || chr(9) || chr(10) || chr(13)) <> '')
 SELECT doc_id, sum(CASE WHEN n <= 510 THEN 1 ELSE ceil(n / 510.0) END)::BIGINT AS n_pieces, max(least(n, 510))::INT AS longest, sum(n)::BIGINT AS n_words FROM w GROUP BY 1""",
+    "packed_pieces": r"""WITH RECURSIVE u AS (SELECT fiche_id AS f, row_number() OVER (PARTITION BY fiche_id ORDER BY chunk_index) AS i, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n
+  FROM (SELECT fiche_id, chunk_index, max(text) AS text FROM fiche_chunks WHERE text IS NOT NULL AND fiche_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY 1, 2)),
+g AS (SELECT f, i, 1 AS p, n AS held, n FROM u WHERE i = 1 UNION ALL SELECT u.f, u.i, CASE WHEN g.held + u.n + 2 > 512 THEN g.p + 1 ELSE g.p END, CASE WHEN g.held + u.n + 2 > 512 THEN u.n ELSE g.held + u.n END, u.n FROM g JOIN u ON u.f = g.f AND u.i = g.i + 1),
+m AS (SELECT f, max(p) AS last FROM g GROUP BY 1),
+s AS (SELECT g.f, last, sum(n) FILTER (p = last) AS tail, sum(n) FILTER (p >= last - 1) AS pair, min(i) FILTER (p = last - 1) AS a, min(i) FILTER (p = last) AS b FROM g JOIN m USING (f) GROUP BY 1, 2),
+w AS (SELECT g.f, g.i, sum(g.n) OVER (PARTITION BY g.f ORDER BY g.i DESC) AS suffix FROM g),
+c AS (SELECT s.f, s.last, CASE WHEN last = 1 OR tail + 2 >= 32 THEN b WHEN pair + 2 <= 512 THEN NULL ELSE least(b, greatest(a + 1, coalesce(max(w.i) FILTER (w.suffix + 2 >= 32), a + 1))) END AS cut, last > 1 AND tail + 2 < 32 AND pair + 2 <= 512 AS joined
+  FROM s JOIN w ON w.f = s.f AND w.i <= s.b GROUP BY s.f, s.last, s.tail, s.pair, s.a, s.b),
+d AS (SELECT g.f, CASE WHEN g.p < c.last - 1 THEN g.p WHEN c.joined THEN c.last - 1 WHEN g.i >= c.cut THEN c.last ELSE c.last - 1 END AS p, g.n FROM g JOIN c USING (f))
+SELECT f AS fiche_id, (p - 1)::INT AS piece_no, sum(n)::INT AS n_words FROM d GROUP BY 1, 2""",
     "reference_scan": f"""WITH {_held6('texte')}, r AS (SELECT cid, list_distinct(list_filter({_references('texte')}, lambda x: x IS NOT NULL)) AS r FROM last)
 SELECT cid, array_to_string(list_sort(r), ',') AS "references", len(r)::INT AS n_references FROM r""",
     "reference_sets": f"""WITH {_held6('texte')}, r AS (SELECT cid, unnest(list_distinct(list_filter({_references('texte', True)}, lambda x: x IS NOT NULL))) AS r FROM last)

@@ -14,6 +14,8 @@ from lexweave.plans.arms import ARMS, Index, with_lookup
 from lexweave.sources import index, readers
 
 REGISTERS = ("fiches", "articles")
+#: Stages of the chain, in order.
+STAGES = ("condense", "retrieve", "generate")
 
 
 def enrich_article(row_text: Column, breadcrumb: Column) -> Column:
@@ -142,15 +144,19 @@ def run_chain(spark: SparkSession, folder: str, turns: DataFrame, load: Callable
     return chain(spark, folder, turns, load, scorer, rewrite, generate, arm, system, load_sparse)[0]
 
 
-def chain(spark: SparkSession, folder: str, turns: DataFrame, load: Callable[[], models.Embed], scorer: Callable[[], models.Score], rewrite: Callable[[], models.Ask], generate: Callable[[], models.Ask], arm: str = "rung1", system: str = "", load_sparse: Callable[[], models.Embed] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(answers, contexts) of `run_chain`; every model is asked once, both are read from the shared folder."""
+def chain(spark: SparkSession, folder: str, turns: DataFrame, load: Callable[[], models.Embed], scorer: Callable[[], models.Score], rewrite: Callable[[], models.Ask], generate: Callable[[], models.Ask], arm: str = "rung1", system: str = "", load_sparse: Callable[[], models.Embed] | None = None, on_stage: Callable[[str], None] = lambda stage: None) -> tuple[DataFrame, DataFrame]:
+    """(answers, contexts) of `run_chain`; every model is asked once, both are read from the shared folder. `on_stage` is
+    told the name of each of STAGES when it begins, for all turns at once."""
+    on_stage(STAGES[0])
     known = index.live(spark, folder, "articles").select(F.col("payload.lookup_key").alias("lookup_key"))
     trimmed = turns.withColumn("history", text.trim_history(F.col("history")))
     asked = trimmed.withColumn("rewritten", F.when(F.coalesce(F.size("history"), F.lit(0)) > 0, models.ask(F.col("raw_turn"), rewrite)["answer"]))
     condensed = session.cut(answers.condense(asked, known).select("qid", "raw_turn", "history", "query", "condense_status"))
+    on_stage(STAGES[1])
     contexts = session.cut(contexts_of(spark, folder, condensed.select("qid", "query"), load, scorer, arm, load_sparse))
     rows = condensed.join(answers.render_contexts(contexts), "qid", "left").join(answers.retrieved_citations(contexts), "qid", "left")
     prompt = F.concat_ws("\n\n", F.lit(system), F.coalesce("context", F.lit("")), "raw_turn")
+    on_stage(STAGES[2])
     said = session.cut(rows.withColumn("a", models.ask(prompt, generate)))
     done = said.withColumn("p", answers.parse(F.col("a.answer"))).select(
         "qid", "raw_turn", "query", "condense_status", "context", F.col("a.answer").alias("answer"), F.col("p.envelope").alias("envelope"),
@@ -163,6 +169,16 @@ def chain(spark: SparkSession, folder: str, turns: DataFrame, load: Callable[[],
     return done.withColumn("state", there(answers.state(F.col("shown")))).withColumn("view_state", there(answers.view_state(F.col("shown")))), contexts
 
 
+def trace(answered: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(qid, stage, place, output): what every stage of `chain` gave for a turn, as JSON; of the contexts only ids, scores
+    and where they come from, not texts."""
+    found = F.transform(F.array_sort(F.collect_list(F.struct("slot", "id", "register", "score", "provenance"))), lambda c: c)  # a turn's contexts
+    retrieved = contexts.groupBy("qid").agg(F.to_json(found).alias("output"))
+    parts = (answered.select("qid", F.to_json(F.struct("condense_status", "query")).alias("output")), retrieved, answered.select("qid", F.to_json(F.struct("answer", "state", "citation_valid", "error")).alias("output")))
+    rows = [df.select("qid", F.lit(name).alias("stage"), F.lit(i).alias("place"), "output") for i, (name, df) in enumerate(zip(STAGES, parts))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def run_ab(spark: SparkSession, folders: tuple[str, str], items: DataFrame, load: Callable[[], models.Embed], scorer: Callable[[], models.Score], change: str, arm: str = "rung1") -> tuple[DataFrame, DataFrame]:
     """(comparison, verdict) of one change between two indexes, by its registered primary metric. Nothing is flipped."""
     primary = metrics.primary_of(change)

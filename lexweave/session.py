@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,20 @@ def build(cpus: int | str = "*", shuffle: int = 8, name: str = "lexweave") -> Sp
     return spark
 
 
+# What a switch may be set to.
+_ON, _OFF = ("1", "true", "yes", "on"), ("0", "false", "no", "off", "")
+
+
+def flag(name: str, values: Mapping[str, str] = os.environ, default: bool = False) -> bool:
+    """A switch among named values, in any letter case; one that is set to something else is an error, not false."""
+    if (raw := values.get(name)) is None:
+        return default
+    said = raw.strip().lower()
+    if said not in _ON + _OFF:
+        raise ValueError(f"{name} must be one of {', '.join(_ON + _OFF[:-1])}, not {raw!r}")
+    return said in _ON
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 

@@ -45,6 +45,10 @@ def test_ingest_search_and_answer(spark, tmp_path):
     assert out[0].fabricated_ids == ["L9"] and not out[0].citation_valid and [c.article_id for c in out[0].shown.fondement_juridique] == ["L. 1-2"] and (out[0].state, out[0].view_state, out[0].error) == ("reponse", "reponse", None)
     assert out[1].query == "MOTEUR ?" and out[1].condense_status == "rewritten" and out[1].context.count("— ") == 4
     assert (out[1].answer, out[1].envelope, out[1].error) == ("oui", None, "the answer is not an envelope")
+    seen = []
+    traced = ingest.trace(*ingest.chain(spark, home, turns, EMBED, SCORE, lambda: lambda p: p, said, on_stage=seen.append)).collect()
+    assert seen == list(ingest.STAGES) and sorted((r.qid, r.place) for r in traced) == [(q, i) for q in (0, 1) for i in range(3)]
+    assert [c["id"] for c in json.loads(next(r.output for r in traced if (r.qid, r.stage) == (0, "retrieve")))] == [r.id for r in index.live(spark, home, "articles").where("payload.lookup_key = 'L1-2'").collect()]
     golden = spark.createDataFrame([("gs-1", "voir L. 1-2 svp", None, "reponse", ["A1"], ["p", "q"]), ("gs-2", "moteur ?", None, "reponse", ["A2"], None)], "id string, question string, history array<struct<role:string,content:string>>, expected_state string, gold_articles array<string>, expected_points array<string>")
     judge = lambda: lambda prompts: ['{"score": 2}' if "share of the claims" in p else '{"verdicts": [{"index": 1, "asserted": true}, {"index": 2, "asserted": false}]}' for p in prompts]
     scores = evaluate.run_answers(spark, home, golden, EMBED, SCORE, lambda: lambda p: p, said, judge).collect()
