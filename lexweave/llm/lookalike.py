@@ -39,7 +39,14 @@ _CAPITAL, _SMALL = {"l": "I"}, {"O": "o"}
 
 def letters(spark: SparkSession) -> dict[int, str]:
     """Letters above Latin-1 and their prototypes, one letter each, from the public table (see `_letters`)."""
-    return _letters(spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton)
+    icu = spark._jvm.com.ibm.icu
+    version = icu.util.VersionInfo.ICU_VERSION.toString()
+    if version not in _letters_by_version:
+        _letters_by_version[version] = _letters(icu.text.SpoofChecker.Builder().build().getSkeleton)
+    return _letters_by_version[version]
+
+
+_letters_by_version: dict[str, dict[int, str]] = {}
 
 
 def _letters(public) -> dict[int, str]:  # type: ignore[no-untyped-def]
@@ -99,8 +106,8 @@ def shapes() -> dict[int, str | None]:
 def prototypes(spark: SparkSession) -> dict[int, str | None]:
     """The look-alike table: code point -> prototype, None if it vanishes. Prototypes are their own prototypes."""
     table = letters(spark) | shapes()
-    while later := {c: "".join(table.get(ord(x), x) or "" for x in p) for c, p in table.items() if p and any(ord(x) in table for x in p)}:
-        table |= later
+    for _ in range(4):  # a shape of a letter that has a prototype, and so on
+        table |= {c: "".join(table.get(ord(x), x) or "" for x in p) for c, p in table.items() if p and any(ord(x) in table for x in p)}
     return table
 
 
