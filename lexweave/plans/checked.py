@@ -16,7 +16,7 @@ from lexweave.operators.snapshots import held
 from lexweave.plans import evaluate, ingest
 from lexweave.plans.retrieval import SQL as _RETRIEVAL
 from lexweave.plans.retrieval import item_metrics
-from lexweave.plans.texts import _ITEMS, _KEY, _LAST, _answers, _articles, _golden, _term_shortlist
+from lexweave.plans.texts import _ITEMS, _KEY, _LAST, _answers, _articles, _golden, _reduced, _term_shortlist
 from lexweave.plans.texts import SQL as _TEXTS
 from lexweave.session import read
 from lexweave.sources import index, readers
@@ -99,8 +99,8 @@ def attribution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def enriched_articles(spark: SparkSession, d: str) -> DataFrame:
-    rows = _articles(spark, d, "texte", "fullSectionsTitre")
-    return rows.select("cid", F.lower(F.hex(digest(ingest.enrich_article(F.coalesce("texte", F.lit("")), F.col("fullSectionsTitre"))))).alias("text"))
+    rows = _reduced(spark, d, text=digest(ingest.enrich_article(F.coalesce("texte", F.lit("")), F.col("fullSectionsTitre"))))
+    return rows.select("cid", F.lower(F.hex("text")).alias("text"))
 
 
 def enriched_guides(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +150,7 @@ def packed_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_scan(spark: SparkSession, d: str) -> DataFrame:
     """All distinct references of every held article's text, by the plain pattern."""
-    rows = _articles(spark, d, "texte").select("cid", text.all_references(F.col("texte")).alias("r"))
+    rows = _reduced(spark, d, r=text.all_references(F.col("texte")))
     return rows.select("cid", F.array_join(F.array_sort("r"), ",").alias("references"), F.size("r").alias("n_references"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexweave.functions import ids, text
@@ -29,6 +29,11 @@ def _articles(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return snapshots.held(read(spark, d, "articles").where(F.col("snapshot_no") == LATEST), {c: F.col(c) for c in columns})
 
 
+def _reduced(spark: SparkSession, d: str, **payload: Column) -> DataFrame:
+    """The same with what is made of the texts where they are read, so that no text is shuffled."""
+    return snapshots.held(read(spark, d, "articles").where(F.col("snapshot_no") == LATEST), payload)
+
+
 def lookup_keys(spark: SparkSession, d: str) -> DataFrame:
     """The key of every held article's number, null for other designations."""
     return _articles(spark, d, "citation_id").select("cid", "citation_id", text.lookup_key(F.col("citation_id")).alias("lookup_key"))
@@ -36,7 +41,7 @@ def lookup_keys(spark: SparkSession, d: str) -> DataFrame:
 
 def reference_sets(spark: SparkSession, d: str) -> DataFrame:
     """Articles that the texts of held articles refer to: how often each key is named."""
-    rows = _articles(spark, d, "texte").select("cid", F.explode(text.all_references(F.col("texte"), strict=True)).alias("reference"))
+    rows = _reduced(spark, d, r=text.all_references(F.col("texte"), strict=True)).select("cid", F.explode("r").alias("reference"))
     return rows.groupBy("reference").agg(F.count(F.lit(1)).alias("n_articles"))
 
 
