@@ -125,14 +125,19 @@ def similarity(points: DataFrame, queries: DataFrame, limit: int, shape: Shape |
             kinds = register.indices.fill_null(-1).to_numpy()
             for kind in np.unique(kinds):
                 of = np.flatnonzero(kinds == kind)
+                of, parts = of[np.argsort(place[of])], []
                 for low in range(0, len(of), CHUNK):
                     some = of[low : low + CHUNK]
                     scores = np.round(y @ _unit(x[some]).T, SCORE_DIGITS)
                     k = min(limit, len(some))
-                    q, p = np.nonzero(scores >= np.partition(scores, len(some) - k, axis=1)[:, len(some) - k, None])
-                    part = q, some[p], scores[q, p]
-                    best = _best(part[0], place[part[1]], part[2], limit)
-                    found.append(tuple(c[best] for c in part))
+                    least = np.partition(scores, len(some) - k, axis=1)[:, len(some) - k, None]
+                    above, equal = scores > least, scores == least
+                    equal &= np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True)  # of equal scores those with the first ids
+                    q, p = np.nonzero(above | equal)
+                    parts.append((q, some[p], scores[q, p]))
+                q, p, sc = (np.concatenate([x[i] for x in parts]) for i in range(3))
+                best = _best(q, place[p], sc, limit)
+                found.append((q[best], p[best], sc[best]))
         q, p, s = (np.concatenate([f[i] for f in found]) if found else np.empty(0, (np.int64, np.int64, float)[i]) for i in range(3))
         names = ["qid", "id", "register", "score"]
         return pa.table([qids.take(pa.array(q)), ids.take(pa.array(p)), a.column("register").combine_chunks().take(pa.array(p)), pa.array(s, pa.float64())], names=names)

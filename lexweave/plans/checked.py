@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -503,6 +504,31 @@ def _references(c: str, strict: bool = False) -> str:
     return f"list_transform(list_transform({found}, lambda x: {cut}), lambda x: translate(upper(x), ' .*', ''))"
 
 
+#: White space as Python and the JVM's Unicode classes have it.
+_SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SIZE = f"len(regexp_extract_all({{0}}, '[^{_SPACE}]+'))"
+
+
+def _unescaped(c: str) -> str:
+    """Latin-1's named references and the numbers up to 255, read from the inside out; the ampersand comes last."""
+    named = {f"&{n};": chr(p) for n, p in sorted(name2codepoint.items()) if p < 256 and n != "amp"} | {"&#39;": "'", "&#160;": chr(160)}
+    for name, sign in (named | {"&amp;": "&"}).items():
+        c = f"replace({c}, '{name}', chr({ord(sign)}))"
+    return c
+
+
+#: Blocks of the fragments in `last`: tables go, some start tags part blocks, any other tag is a blank.
+_BLOCKS = rf"""raw AS (SELECT cid AS key, string_split(regexp_replace(regexp_replace(regexp_replace(texteHtml, '(?s)<table[^<>]*>.*?(</table>|$)', ' ', 'g'), '<(p|br|li|tr)(\s[^<>]*)?/?>', chr(1), 'g'), '</?[a-zA-Z][^<>]*>', ' ', 'g'), chr(1)) AS parts FROM last WHERE texteHtml IS NOT NULL),
+parts AS (SELECT key, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM raw),
+b AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY j) - 1 AS block_no, block FROM (SELECT key, j, trim(regexp_replace({_unescaped('part')}, '[{_SPACE}]+', ' ', 'g')) AS block FROM parts) WHERE block <> '')"""
+#: Units u (f, i, n words) packed within the band, and the last text of each f rebalanced: d (f, i, p, n).
+_PACKED = """g AS (SELECT f, i, 1 AS p, n AS held, n FROM u WHERE i = 1 UNION ALL SELECT u.f, u.i, CASE WHEN g.held + u.n + 2 > 512 THEN g.p + 1 ELSE g.p END, CASE WHEN g.held + u.n + 2 > 512 THEN u.n ELSE g.held + u.n END, u.n FROM g JOIN u ON u.f = g.f AND u.i = g.i + 1),
+m AS (SELECT f, max(p) AS last FROM g GROUP BY 1),
+s AS (SELECT g.f, last, sum(n) FILTER (p = last) AS tail, sum(n) FILTER (p >= last - 1) AS pair, min(i) FILTER (p = last - 1) AS a, min(i) FILTER (p = last) AS b FROM g JOIN m USING (f) GROUP BY 1, 2),
+sums AS (SELECT g.f, g.i, sum(g.n) OVER (PARTITION BY g.f ORDER BY g.i DESC) AS suffix FROM g),
+c AS (SELECT s.f, s.last, CASE WHEN last = 1 OR tail + 2 >= 32 THEN b WHEN pair + 2 <= 512 THEN NULL ELSE least(b, greatest(a + 1, coalesce(max(w.i) FILTER (w.suffix + 2 >= 32), a + 1))) END AS cut, last > 1 AND tail + 2 < 32 AND pair + 2 <= 512 AS joined
+  FROM s JOIN sums w ON w.f = s.f AND w.i <= s.b GROUP BY s.f, s.last, s.tail, s.pair, s.a, s.b),
+d AS (SELECT g.f, g.i, CASE WHEN g.p < c.last - 1 THEN g.p WHEN c.joined THEN c.last - 1 WHEN g.i >= c.cut THEN c.last ELSE c.last - 1 END AS p, g.n FROM g JOIN c USING (f))"""
 _POINT = f"""pts AS (SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(to_hex((('0x' || substr(h, 17, 2))::INT & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS id, text, tokens
   FROM (SELECT sha1(unhex('{ids.NAMESPACE.hex}') || encode(fiche_id || '#' || chunk_index)) AS h, text, tokens FROM (SELECT fiche_id, chunk_index, max(text) AS text, max(tokens) AS tokens FROM fiche_chunks
     WHERE fiche_id IS NOT NULL AND chunk_index IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2)))"""
@@ -549,16 +575,23 @@ FROM (SELECT chunk_id, text, [substr(text, 1, 20), coalesce(chapitre_titre, ''),
     "band_pieces": r"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.?!])\s+([A-ZÀ-Ü0-9])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, len(regexp_extract_all(s, '\S+')) AS n FROM s WHERE trim(s, chr(32) || chr(9) || chr(10) || chr(13)) <> '')
 SELECT doc_id, sum(CASE WHEN n <= 510 THEN 1 ELSE ceil(n / 510.0) END)::BIGINT AS n_pieces, max(least(n, 510))::INT AS longest, sum(n)::BIGINT AS n_words FROM w GROUP BY 1""",
-    "packed_pieces": r"""WITH RECURSIVE u AS (SELECT fiche_id AS f, row_number() OVER (PARTITION BY fiche_id ORDER BY chunk_index) AS i, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n
-  FROM (SELECT fiche_id, chunk_index, max(text) AS text FROM fiche_chunks WHERE text IS NOT NULL AND fiche_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY 1, 2)),
-g AS (SELECT f, i, 1 AS p, n AS held, n FROM u WHERE i = 1 UNION ALL SELECT u.f, u.i, CASE WHEN g.held + u.n + 2 > 512 THEN g.p + 1 ELSE g.p END, CASE WHEN g.held + u.n + 2 > 512 THEN u.n ELSE g.held + u.n END, u.n FROM g JOIN u ON u.f = g.f AND u.i = g.i + 1),
-m AS (SELECT f, max(p) AS last FROM g GROUP BY 1),
-s AS (SELECT g.f, last, sum(n) FILTER (p = last) AS tail, sum(n) FILTER (p >= last - 1) AS pair, min(i) FILTER (p = last - 1) AS a, min(i) FILTER (p = last) AS b FROM g JOIN m USING (f) GROUP BY 1, 2),
-w AS (SELECT g.f, g.i, sum(g.n) OVER (PARTITION BY g.f ORDER BY g.i DESC) AS suffix FROM g),
-c AS (SELECT s.f, s.last, CASE WHEN last = 1 OR tail + 2 >= 32 THEN b WHEN pair + 2 <= 512 THEN NULL ELSE least(b, greatest(a + 1, coalesce(max(w.i) FILTER (w.suffix + 2 >= 32), a + 1))) END AS cut, last > 1 AND tail + 2 < 32 AND pair + 2 <= 512 AS joined
-  FROM s JOIN w ON w.f = s.f AND w.i <= s.b GROUP BY s.f, s.last, s.tail, s.pair, s.a, s.b),
-d AS (SELECT g.f, CASE WHEN g.p < c.last - 1 THEN g.p WHEN c.joined THEN c.last - 1 WHEN g.i >= c.cut THEN c.last ELSE c.last - 1 END AS p, g.n FROM g JOIN c USING (f))
+    "packed_pieces": rf"""WITH RECURSIVE u AS (SELECT fiche_id AS f, row_number() OVER (PARTITION BY fiche_id ORDER BY chunk_index) AS i, len(regexp_extract_all(text, '[^ \t\n\r]+')) AS n
+  FROM (SELECT fiche_id, chunk_index, max(text) AS text FROM fiche_chunks WHERE text IS NOT NULL AND fiche_id IS NOT NULL AND chunk_index IS NOT NULL GROUP BY 1, 2)), {_PACKED}
 SELECT f AS fiche_id, (p - 1)::INT AS piece_no, sum(n)::INT AS n_words FROM d GROUP BY 1, 2""",
+    "html_blocks": f"WITH {_held6('texteHtml')}, {_BLOCKS} SELECT key, block_no::INT AS block_no, block FROM b",
+    "article_chunks": rf"""WITH RECURSIVE {_held6('id', 'citation_id', 'sectionParentTitre', 'texteHtml')}, {_BLOCKS},
+t AS (SELECT cid, id, citation_id, sectionParentTitre AS title, texteHtml, coalesce((SELECT string_agg(block, ' ' ORDER BY block_no) FROM b WHERE b.key = last.cid), '') AS text FROM last),
+z AS (SELECT *, {_SIZE.replace('{0}', 'text')} + 2 AS n FROM t),
+stubs AS (SELECT cid, concat_ws(' ', nullif(text, ''), coalesce(citation_id, '') || ' — ' || rtrim(coalesce(nullif(title, ''), citation_id, ''), '.') || '.' || CASE WHEN contains(coalesce(texteHtml, ''), '<table') THEN ' table non indexée.' ELSE '' END
+  || ' Texte intégral : https://legi.example/codes/article_lc/' || coalesce(id, 'None')) AS text FROM z WHERE n < 32),
+q AS (SELECT key, block_no, block, {_SIZE.replace('{0}', 'block')} + 2 AS n FROM b WHERE key IN (SELECT cid FROM z WHERE n > 512)),
+sent AS (SELECT key, block_no, s, generate_subscripts(s, 1) AS j FROM (SELECT key, block_no, CASE WHEN n <= 512 THEN [block] ELSE string_split(regexp_replace(block, '([.?!]) ([A-ZÀ-Ü0-9])', '\1' || chr(2) || '\2', 'g'), chr(2)) END AS s FROM q)),
+w AS (SELECT key, block_no, j, string_split(s[j], ' ') AS w FROM sent),
+cut AS (SELECT key, block_no, j, k, array_to_string(w[510 * k + 1 : 510 * k + 510], ' ') AS unit FROM (SELECT *, unnest(range(0, (len(w) + 509) // 510)) AS k FROM (SELECT key, block_no, j, w FROM w))),
+u AS (SELECT key AS f, row_number() OVER (PARTITION BY key ORDER BY block_no, j, k) AS i, unit, {_SIZE.replace('{0}', 'unit')} AS n FROM cut), {_PACKED},
+long AS (SELECT d.f, d.p, string_agg(u.unit, ' ' ORDER BY d.i) AS text FROM d JOIN u USING (f, i) GROUP BY 1, 2)
+SELECT cid, 0::INT AS chunk_index, text, ({_SIZE.replace('{0}', 'text')} + 2)::INT AS tokens, true AS is_stub FROM stubs UNION ALL SELECT cid, 0, text, n, false FROM z WHERE n BETWEEN 32 AND 512
+UNION ALL SELECT f, p - 1, text, {_SIZE.replace('{0}', 'text')} + 2, false FROM long""",
     "reference_scan": f"""WITH {_held6('texte')}, r AS (SELECT cid, list_distinct(list_filter({_references('texte')}, lambda x: x IS NOT NULL)) AS r FROM last)
 SELECT cid, array_to_string(list_sort(r), ',') AS "references", len(r)::INT AS n_references FROM r""",
     "reference_sets": f"""WITH {_held6('texte')}, r AS (SELECT cid, unnest(list_distinct(list_filter({_references('texte', True)}, lambda x: x IS NOT NULL))) AS r FROM last)

@@ -47,6 +47,14 @@ def test_wide_vectors_and_text_ids(spark, monkeypatch):
     assert rows(best.select("qid", "id")) == sorted(p for i in range(3) for p in top(i, [j for j in range(120) if j % 3 != 1]))
 
 
+def test_copies_of_one_vector_are_cut_by_id(spark, monkeypatch):
+    """A third of all points alike, more than a chunk."""
+    monkeypatch.setattr(s, "CHUNK", 50)
+    points = spark.createDataFrame([(i, "fiche", [1.0, 0.0] if i % 3 == 0 else [1.0, float(i)]) for i in range(600)], "id long, register string, vector array<double>")
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(3)], "qid long, vector array<double>")
+    assert rows(s.dense_leg(points, queries, "fiche", 7).select("qid", "rank", "id")) == [(q, r + 1, 3 * r) for q in range(3) for r in range(7)]
+
+
 def test_similarity_of_mixed_widths(spark):
     """A malformed vector that comes first in its block doesn't drop the others."""
     good = [(i, "fiche", [1.0, float(i)]) for i in range(1, 6)]
