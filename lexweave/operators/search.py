@@ -105,6 +105,8 @@ def similarity(points: DataFrame, queries: DataFrame, limit: int, shape: Shape |
         blocks = F.lit(max(-(-shape.points // POINT_BLOCK), min(8, -(-shape.points // 500)), 1))
         left, right = left.withColumn("g", F.lit(0)), right.withColumn("g", F.lit(0)).withColumn("blocks", blocks)
         left = left.withColumn("blocks", blocks)
+    elif shape.points <= POINT_BLOCK:  # no group can be more than a block
+        left, right = (df.where(F.col(within).isNotNull()).withColumn("g", F.col(within)).withColumn("blocks", F.lit(1)) for df in (left, right))
     else:
         sizes = left.where(F.col(within).isNotNull()).groupBy(F.col(within).alias("g")).agg(many(F.count(F.lit(1))).alias("blocks"))
         left = left.withColumn("g", F.col(within)).join(sizes, "g")
