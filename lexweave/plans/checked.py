@@ -590,8 +590,8 @@ w AS (SELECT key, block_no, j, string_split(s[j], ' ') AS w FROM sent),
 cut AS (SELECT key, block_no, j, k, array_to_string(w[510 * k + 1 : 510 * k + 510], ' ') AS unit FROM (SELECT *, unnest(range(0, (len(w) + 509) // 510)) AS k FROM (SELECT key, block_no, j, w FROM w))),
 u AS (SELECT key AS f, row_number() OVER (PARTITION BY key ORDER BY block_no, j, k) AS i, unit, {_SIZE.replace('{0}', 'unit')} AS n FROM cut), {_PACKED},
 long AS (SELECT d.f, d.p, string_agg(u.unit, ' ' ORDER BY d.i) AS text FROM d JOIN u USING (f, i) GROUP BY 1, 2)
-SELECT cid, 0::INT AS chunk_index, text, ({_SIZE.replace('{0}', 'text')} + 2)::INT AS tokens, true AS is_stub FROM stubs UNION ALL SELECT cid, 0, text, n, false FROM z WHERE n BETWEEN 32 AND 512
-UNION ALL SELECT f, p - 1, text, {_SIZE.replace('{0}', 'text')} + 2, false FROM long""",
+SELECT cid, 0::INT AS chunk_index, text, ({_SIZE.replace('{0}', 'text')} + 2)::INT AS tokens, true AS is_stub FROM stubs UNION ALL SELECT cid, 0, text, n::INT, false FROM z WHERE n BETWEEN 32 AND 512
+UNION ALL SELECT f, (p - 1)::INT, text, ({_SIZE.replace('{0}', 'text')} + 2)::INT, false FROM long""",
     "reference_scan": f"""WITH {_held6('texte')}, r AS (SELECT cid, list_distinct(list_filter({_references('texte')}, lambda x: x IS NOT NULL)) AS r FROM last)
 SELECT cid, array_to_string(list_sort(r), ',') AS "references", len(r)::INT AS n_references FROM r""",
     "reference_sets": f"""WITH {_held6('texte')}, r AS (SELECT cid, unnest(list_distinct(list_filter({_references('texte', True)}, lambda x: x IS NOT NULL))) AS r FROM last)
