@@ -75,11 +75,15 @@ def parse(answer: Column) -> Column:
     return F.struct(F.when(ok, whole.cast(ENVELOPE)).alias("envelope"), F.when(answer.isNotNull() & ~ok, F.lit("the answer is not an envelope")).alias("error"))
 
 
+# How a judge is shown the fields beside the explanation.
+CITED, REFUSED, UNFOUNDED = "Fondement juridique :", "Refus (motif : %s)", "Aucun fondement : %s"
+
+
 def render_answer(envelope: Column) -> Column:
     """An answer as a judge reads it: what it explains, and what its other fields say, where a fault may be hidden."""
     citations = F.transform(envelope["fondement_juridique"], lambda c: F.concat(F.lit("- "), c["article_id"], F.lit(" : "), F.coalesce(c["gloss"], F.lit(""))))
-    listed = F.when(F.size(envelope["fondement_juridique"]) > 0, F.concat(F.lit("\nFondement juridique :\n"), F.array_join(citations, "\n")))
-    end = F.when(envelope["type"] == "refus", F.concat(F.lit("\nRefus (motif : "), envelope["motif"], F.lit(")"))).when(envelope["aucun_fondement"].isNotNull(), F.concat(F.lit("\nAucun fondement : "), envelope["aucun_fondement"]))
+    listed = F.when(F.size(citations) > 0, F.concat(F.lit(f"\n{CITED}\n"), F.array_join(citations, "\n")))
+    end = F.when(envelope["type"] == "refus", F.format_string(f"\n{REFUSED}", envelope["motif"])).when(envelope["aucun_fondement"].isNotNull(), F.format_string(f"\n{UNFOUNDED}", envelope["aucun_fondement"]))
     return F.concat_ws("\n", envelope["explanation"], listed, end)
 
 
