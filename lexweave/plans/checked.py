@@ -435,9 +435,10 @@ def shortlists(spark: SparkSession, d: str) -> DataFrame:
 
 def disagreements(spark: SparkSession, d: str) -> DataFrame:
     """Gold articles against the best by terms, as a second reader would pick them."""
-    gold = _read_items(spark, d).select("id", F.explode("gold_articles").alias("cid"))
+    items = session.cut(_read_items(spark, d))
+    gold = items.select("id", F.explode("gold_articles").alias("cid"))
     picks = _term_shortlist(spark, d).where("rank <= 2").select("id", "cid")
-    rows = annotation.disagreements(gold, picks, _shortlist(spark, d))
+    rows = annotation.disagreements(gold, picks, annotation.in_sections(gold, items, _guides(spark, d), _by_section(spark, d)))
     return rows.select("id", *(F.array_join(c, ",").alias(c) for c in ("only_gold", "only_picks", "explained", "needs_review")))
 
 

@@ -105,7 +105,7 @@ def _term_shortlist(spark: SparkSession, d: str) -> DataFrame:
     asked = rows.join(weights.select("term").distinct(), "term", "left_semi").groupBy("row", "cid", "delivered_at", "version", "term").agg(F.count(F.lit(1)).alias("n"))
     won = snapshots.held(read(spark, d, "articles").where(F.col("snapshot_no") == LATEST), {"version": digest("texte")}).select("cid", "delivered_at", "version")
     held = asked.drop("row").distinct().join(won, ["cid", "delivered_at", "version"], "left_semi").select("cid", "term", "n")
-    return annotation.term_shortlist(weights, held)
+    return annotation.term_shortlist(weights, cut(held))
 
 
 def lexical_shortlist(spark: SparkSession, d: str) -> DataFrame:
