@@ -104,7 +104,8 @@ def _term_shortlist(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.select("row", "cid", "delivered_at", "version", F.explode(text.terms(F.col("texte"))).alias("term"))  # numbered before it's exploded
     asked = rows.join(weights.select("term").distinct(), "term", "left_semi").groupBy("row", "cid", "delivered_at", "version", "term").agg(F.count(F.lit(1)).alias("n"))
     won = snapshots.held(read(spark, d, "articles").where(F.col("snapshot_no") == LATEST), {"version": digest("texte")}).select("cid", "delivered_at", "version")
-    held = asked.drop("row").distinct().join(won, ["cid", "delivered_at", "version"], "left_semi").select("cid", "term", "n")
+    asked = asked.join(won, ["cid", "delivered_at", "version"], "left_semi")
+    held = asked.groupBy("cid", "delivered_at", "version", "term").agg(F.max("n").alias("n")).select("cid", "term", "n")  # rows of one version have equal counts
     return annotation.term_shortlist(weights, cut(held))
 
 

@@ -110,3 +110,22 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).columns
+
+
+def test_lexical_shortlist_of_repeated_deliveries(spark, tmp_path):
+    """Which text counts, and that no row is made per item and article, however common a term is."""
+    from pyspark.sql import functions as F
+
+    day = [F.to_timestamp(F.lit(f"2024-01-0{n}")) for n in (1, 2, 3)]
+    article = lambda i, at, text, state="VIGUEUR": (f"A{i:02d}", at, state, text)
+    told = [article(i, 1, "les délais " * (1 + i % 9)) for i in range(60)] + [article(3, 1, "les délais " * 4), article(5, 2, "les primes"), article(5, 0, "délais " * 99), article(7, 2, "délais", "ABROGE"), article(8, 2, None), (" a09 ", 2, "VIGUEUR", "Les Délais, les délais !")]
+    rows = spark.createDataFrame(told, "cid string, at int, etat string, texte string").withColumn("delivered_at", F.when(F.col("at") == 0, day[0]).when(F.col("at") == 1, day[1]).otherwise(day[2]))
+    rows.select("cid", "etat", "texte", "delivered_at", F.lit(6).alias("snapshot_no"), F.current_date().alias("snapshot_date")).write.parquet(f"{tmp_path}/articles.parquet")
+    items = spark.range(30).select(F.format_string("gs-%03d", "id").alias("id"), F.lit("Les délais ?").alias("question"), F.array(F.lit("Les primes.")).alias("expected_points"), F.lit("reponse").alias("expected_state"), day[0].alias("annotated_at"))
+    none = "array<string>"
+    items.select("*", *(F.lit(None).cast(none).alias(c) for c in ("gold_fiches", "gold_spans", "gold_articles", "tags")), F.lit(None).cast("array<map<string,string>>").alias("history")).write.parquet(f"{tmp_path}/golden_set.parquet")
+    n = {i: (4 + 3) * (1 + i % 9) for i in range(60)} | {5: 5, 7: 0, 8: 0, 9: 14}
+    best = sorted((-s, f"A{i:02d}") for i, s in n.items() if s)[:10]
+    got = registry.QUERIES["lexical_shortlist"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == sorted((f"gs-{i:03d}", c, -s, k) for i in range(30) for k, (s, c) in enumerate(best, 1))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
