@@ -170,8 +170,9 @@ def term_shortlist(weights: DataFrame, terms: DataFrame, limit: int = 10) -> Dat
 
 def shortlist_union(by_section: DataFrame, by_terms: DataFrame) -> DataFrame:
     """(id, cid, provenance): both shortlists, each article once with where it comes from."""
-    rows = by_section.select("id", "cid", F.lit("section").alias("p")).unionByName(by_terms.select("id", "cid", F.lit("lexical").alias("p")))
-    return rows.groupBy("id", "cid").agg(F.array_sort(F.collect_set("p")).alias("provenance"))  # two at most
+    rows = by_section.select("id", "cid", F.lit(1).alias("s"), F.lit(0).alias("l")).unionByName(by_terms.select("id", "cid", F.lit(0).alias("s"), F.lit(1).alias("l")))
+    one = rows.groupBy("id", "cid").agg(F.max("s").alias("s"), F.max("l").alias("l"))  # numbers, which a hash aggregate combines
+    return one.select("id", "cid", F.array_compact(F.array(F.when(F.col("l") == 1, "lexical"), F.when(F.col("s") == 1, "section"))).alias("provenance"))
 
 
 def disagreements(gold: DataFrame, picks: DataFrame, shortlist: DataFrame) -> DataFrame:

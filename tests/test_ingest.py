@@ -210,3 +210,13 @@ def test_gold_pairs_in_sections(spark):
     pairs = spark.createDataFrame([("1", "A1"), ("1", "A2"), ("2", "A2"), ("2", "A1"), ("2", "A3"), ("3", "A1"), ("1", "A1")], "id string, cid string")
     got = rows(a.in_sections(pairs, items, guides, articles))
     assert got == [("1", "A1"), ("2", "A1"), ("2", "A2")] == rows(a.section_shortlist(items, guides, articles).join(pairs, ["id", "cid"], "left_semi"))
+
+
+def test_shortlist_union_keeps_no_lists(spark):
+    """Where an article comes from is two numbers until the end: a list per pair sorts all pairs where they are many."""
+    pair = "id string, cid string"
+    by_section = spark.createDataFrame([("1", "A1"), ("1", "A2"), ("2", "A1")], pair)
+    got = a.shortlist_union(by_section, spark.createDataFrame([("1", "A1"), ("1", "A1"), ("2", "A9")], pair))
+    assert rows(got) == [("1", "A1", ["lexical", "section"]), ("1", "A2", ["section"]), ("2", "A1", ["section"]), ("2", "A9", ["lexical"])]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan
